@@ -20,17 +20,13 @@ BIN_DDL = "bin long, fill long, pieces array<struct<doc_id:long,piece:int,start:
 
 #: Byte-level vocabularies write each byte as a printable character: those that print stand for themselves, the others follow from U+0100.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_KNOWN = 200_000
-#: White space next to a space, at either end, or a NUL: such a text is encoded in one piece.
-_DOUBLE_SPACE = re.compile(r"\s | \s|\A\s|\s\Z|\0")
+#: The public pattern without its look-ahead, which matters only where white space stands next to white space.
+_SIMPLE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"""
+_DOUBLE_SPACE = re.compile(r"\s\s")
 
 
 class Encoder:
-    """A byte-level BPE vocabulary file of the `tokenizers` library, with the ids of frequent words kept.
-
-    No token crosses the place before a single space between two other characters, so a text whose spaces all stand so is
-    cut there, and each cut is looked up or encoded alone. At most _KNOWN cuts are kept.
-    """
+    """The ids of a byte-level BPE vocabulary file of the `tokenizers` library; strings of special tokens are ordinary text."""
 
     def __init__(self, path: str) -> None:
         import public_tokenizers
@@ -41,21 +37,11 @@ class Encoder:
         rest = [b for b in range(256) if b not in _PRINTED]
         byte_of = {chr(b): b for b in _PRINTED} | {chr(256 + i): b for i, b in enumerate(rest)}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if all(c in byte_of for c in token) and not token.startswith("<|")}
-        self.encode = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.known: dict[str, list[int]] = {}
+        simple, whole = (tiktoken.Encoding("file", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (_SIMPLE, public_tokenizers.PATTERN))
+        self.simple, self.whole = simple.encode_ordinary, whole.encode_ordinary
 
     def ids(self, text: str) -> list[int]:
-        if _DOUBLE_SPACE.search(text):
-            return self.encode(text)
-        known, encode, out = self.known, self.encode, []
-        for cut in text.replace(" ", "\0 ").split("\0"):
-            ids = known.get(cut)
-            if ids is None:
-                ids = encode(cut)
-                if len(known) < _KNOWN and len(cut) < 40:
-                    known[cut] = ids
-            out += ids
-        return out
+        return self.whole(text) if _DOUBLE_SPACE.search(text) else self.simple(text)
 
 
 def best_fit(fills: np.ndarray, capacity: int) -> list[list[int]]:
