@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, packing
+from . import decontaminate, lines, neardup, packing
 from .shared import table
 
 
@@ -28,8 +28,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_packing, op3_line_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_packing, op3_line_dedup, op7_minhash_near_dedup)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,5 +68,21 @@ FROM m GROUP BY doc_id
 """
 
 
+_SPACES = "[^\\x20\\x09-\\x0D]+"
+
+_OP7 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({_lower("text")}, '{_SPACES}'), []) AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s FROM d WHERE len(w) > 0),
+x AS (SELECT DISTINCT doc_id, md5(array_to_string(w[s : s + 4], ' ')) AS x FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.a),
+g AS (SELECT a AS doc_id, min(root) AS component_id FROM r GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM g LEFT JOIN n USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": _OP1, "op3_line_dedup": _OP3}
+    return {"op1_decontamination": _OP1, "op3_line_dedup": _OP3, "op7_minhash_near_dedup": _OP7}
