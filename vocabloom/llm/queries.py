@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, neardup, packing
+from . import decontaminate, lines, neardup, packing, substrings
 from .shared import table
 
 
@@ -28,12 +28,17 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_packing, op3_line_dedup, op7_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_packing, op3_line_dedup, op6_substring_dedup, op7_minhash_near_dedup)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -70,6 +75,18 @@ FROM m GROUP BY doc_id
 
 _SPACES = "[^\\x20\\x09-\\x0D]+"
 
+_OP6 = f"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{_SPACES}'), []) AS w FROM documents),
+q AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35),
+x AS (SELECT doc_id, s, md5(array_to_string(w[s : s + 34], ' ')) AS x FROM q),
+r AS (SELECT x FROM x GROUP BY x HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS i FROM x JOIN r USING (x)),
+k AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+m AS (SELECT k.*, c.i IS NOT NULL AS gone FROM k LEFT JOIN c USING (doc_id, i)),
+g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM m GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
+"""
+
 _OP7 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({_lower("text")}, '{_SPACES}'), []) AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s FROM d WHERE len(w) > 0),
@@ -85,4 +102,4 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": _OP1, "op3_line_dedup": _OP3, "op7_minhash_near_dedup": _OP7}
+    return {"op1_decontamination": _OP1, "op3_line_dedup": _OP3, "op6_substring_dedup": _OP6, "op7_minhash_near_dedup": _OP7}
