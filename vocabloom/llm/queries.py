@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, neardup, packing, substrings
+from . import decontaminate, lines, neardup, packing, sharding, spotsigs, substrings
 from .shared import table
 
 
@@ -28,6 +28,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substrings.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -37,8 +41,14 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signed = spotsigs.compared_with_next(table(spark, sf_dir, "documents"))
+    edited = F.sha2("edited_text", 256).alias("edited_sha256")
+    return signed.select("doc_id", "n_chars", edited, spotsigs.text_of("signatures").alias("fingerprint"), spotsigs.text_of("edited_signatures").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_packing, op3_line_dedup, op6_substring_dedup, op7_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_packing, op3_line_dedup, op5_sharding, op6_substring_dedup, op7_minhash_near_dedup, op9_spotsigs)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -75,6 +85,18 @@ FROM m GROUP BY doc_id
 
 _SPACES = "[^\\x20\\x09-\\x0D]+"
 
+_OP5 = """
+WITH t AS (SELECT list_transform(range(256), lambda b: list_reduce(list_concat([CAST(b AS BIGINT)], [CAST(0 AS BIGINT) FOR i IN range(8)]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+b AS (SELECT doc_id, coalesce(source, 'null') AS source, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+  list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM documents),
+c AS (SELECT doc_id, source, size, xor(list_reduce(list_concat([4294967295], bytes), lambda c, x: xor(c >> 8, t.crc[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b, t),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('7:' || doc_id), text_crc32, size) - 1 AS rank, count(*) OVER (PARTITION BY source) AS total FROM c),
+f AS (SELECT *, (rank + CAST(CAST('0x' || substr(md5('7:=' || source), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0) / total AS fraction FROM r),
+p AS (SELECT *, row_number() OVER (ORDER BY fraction, source, rank) - 1 AS place, count(*) OVER () AS n FROM f),
+s AS (SELECT *, CAST(place * 40 // n AS INTEGER) AS shard FROM p)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, shard, CAST(place - (shard * n + 39) // 40 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""
+
 _OP6 = f"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{_SPACES}'), []) AS w FROM documents),
 q AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35),
@@ -102,4 +124,4 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": _OP1, "op3_line_dedup": _OP3, "op6_substring_dedup": _OP6, "op7_minhash_near_dedup": _OP7}
+    return {"op1_decontamination": _OP1, "op3_line_dedup": _OP3, "op5_sharding": _OP5, "op6_substring_dedup": _OP6, "op7_minhash_near_dedup": _OP7}
