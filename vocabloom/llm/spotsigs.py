@@ -16,7 +16,7 @@ ANCHORS = (
 ).split()
 
 
-def _signed(df: DataFrame, text_col: str, name: str, chain: int, anchors: list[str]) -> DataFrame:
+def _signed(df: DataFrame, text_col: str, name: str, chain: int, anchors: list[str], few: int = 5) -> DataFrame:
     """Add the sorted distinct signatures of a text column, as 40-bit numbers, in the array column `name`."""
     words, content, places = f"{name}_words", f"{name}_content", f"{name}_places"
     anchored = sorted(set(anchors))
@@ -24,9 +24,9 @@ def _signed(df: DataFrame, text_col: str, name: str, chain: int, anchors: list[s
     df = df.withColumn(content, F.filter(words, lambda w: ~w.isin(anchored))).withColumn(places, F.filter(F.transform(words, lambda w, i: F.when(w.isin(anchored), i).otherwise(-1)), lambda i: i >= 0))
     spots = F.transform(places, lambda p, j: F.when(p - j + chain <= F.size(content), F.xxhash64(F.get(words, p), F.slice(content, p - j + 1, chain))))
     df = df.withColumn(places, F.array_compact(spots))
-    every = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - chain, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, chain + 1)))
-    rest = F.when(F.size(words) > 0, every).when(F.length(text_col) > 0, F.array(F.xxhash64(text_col))).otherwise(F.array().cast("array<long>"))
-    chosen = F.when(F.size(places) > 0, F.col(places)).otherwise(rest)
+    single = F.transform(F.when(F.size(content) > 0, F.col(content)).otherwise(F.col(words)), lambda w: F.xxhash64(w))
+    rest = F.when(F.size(words) > 0, F.concat(places, single)).when(F.length(text_col) > 0, F.array(F.xxhash64(text_col))).otherwise(F.array().cast("array<long>"))
+    chosen = F.when(F.size(places) >= few, F.col(places)).otherwise(rest)
     return df.withColumn(name, F.array_sort(F.array_distinct(F.transform(chosen, lambda x: x.bitwiseAND(F.lit((1 << 40) - 1)))))).drop(words, content, places)
 
 
@@ -34,8 +34,8 @@ def fingerprints(docs: DataFrame, text_col: str = "text", name: str = "signature
     """`docs` with an array column of the SpotSigs signatures of whole texts (null counts as empty).
 
     A signature is an anchor and the `chain` content words that follow it, where content words are those that are no
-    anchors. A text without such a chain is signed by all its runs of chain + 1 words, one without words by itself, and an
-    empty one has no signature. A column of the same name is replaced.
+    anchors. A text with fewer than five chains is signed by its content words too (by its words, if it has no content
+    words), one without words by itself, and an empty one has no signature. A column of the same name is replaced.
     """
     plain = docs.drop(name).withColumn("_signed", F.coalesce(F.col(text_col), F.lit("")))
     return _signed(plain, "_signed", name, chain, anchors).drop("_signed")
