@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lines, neardup, packing, quality, sharding, spotsigs, substrings
+from . import decontaminate, language, lines, neardup, packing, pii, quality, sharding, spotsigs, substrings
 from .shared import table
 
 
@@ -62,8 +62,15 @@ def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signed.select("doc_id", "n_chars", edited, spotsigs.text_of("signatures").alias("fingerprint"), spotsigs.text_of("edited_signatures").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = [F.size(F.filter("base_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    joined = {c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",") for c in ("base_spans", "spans")}
+    return found.select("doc_id", *count, F.sha2(joined["base_spans"], 256).alias("base_sha256"), joined["spans"].alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_packing, op3_line_dedup, op4_language_id, op5_sharding, op6_substring_dedup, op7_minhash_near_dedup, op8_quality_classifier, op9_spotsigs)}
+    return {f.__name__: f for f in (op1_decontamination, op2_packing, op3_line_dedup, op4_language_id, op5_sharding, op6_substring_dedup, op7_minhash_near_dedup, op8_quality_classifier, op9_spotsigs, op10_pii)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
