@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import scalars
+from . import lints, models, scalars
 
-_MODULES = (scalars,)
+_MODULES = (scalars, models, lints)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
