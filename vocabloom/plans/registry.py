@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import lints, models, scalars
+from . import changes, lints, models, scalars
 
-_MODULES = (scalars, models, lints)
+_MODULES = (scalars, models, lints, changes)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
