@@ -16,6 +16,8 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _SHIFT = np.uint64(32)
 _LOWER = bytes(range(256)).lower()
 _KEPT_WORDS = 300_000
+#: Counts by which shingles are put in order; more shingles share counts, no more counts are kept.
+RARITY = 1 << 17
 
 
 class WordHashes(dict):
@@ -115,29 +117,32 @@ def _possible(a: str, b: str, percent: int):
     return F.expr(f"100L * least({a}, {b}) >= {percent} * greatest({a}, {b})")
 
 
-def verified(edges: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, per_task: int = 2_000) -> DataFrame:
+def texts_of(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _text) of some ids, one row each. Both sides grow with the corpus, so neither is broadcast at any size."""
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    return written(texts.join(nodes.select("_id").distinct().hint("merge"), "_id").dropDuplicates(["_id"]), "texts")
+
+
+def verified(edges: DataFrame, texts: DataFrame, width: int, percent: int, per_task: int = 2_000) -> DataFrame:
     """The (_id, _pivot) edges whose whole shingle sets are alike enough.
 
     A pivot with many edges is dealt to several tasks, each of about `per_task` texts and the pivot's.
     """
     edges = written(edges, "edges")
-    nodes = edges.select("_id").unionByName(edges.select(F.col("_pivot").alias("_id"))).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(nodes, "_id").dropDuplicates(["_id"])
-    texts = written(texts, "candidates")
     degrees = edges.groupBy("_pivot").count().withColumn("_parts", F.ceil(F.col("count") / per_task).cast("int"))
-    parts = degrees.select("_pivot", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
     heavy = F.broadcast(degrees.filter("_parts > 1").select("_pivot", "_parts"))  # at most one in per_task of the edges
-    members = edges.join(heavy, "_pivot", "left").withColumn("_part", F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int")).otherwise(0))
-    rows = members.select("_pivot", "_part", "_id").join(texts, "_id").select("_pivot", "_part", "_id", "_text")
-    pivots = parts.join(texts.withColumnRenamed("_id", "_pivot"), "_pivot").select("_pivot", "_part", F.lit(None).cast("long").alias("_id"), "_text")
+    dealt = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int")).otherwise(0)
+    members = edges.join(heavy, "_pivot", "left").select("_pivot", dealt.alias("_part"), F.lit(1).alias("_role"), "_id")
+    pivots = degrees.select("_pivot", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.lit(0).alias("_role"), F.col("_pivot").alias("_id"))
+    rows = members.unionByName(pivots).hint("merge").join(texts, "_id").select("_pivot", "_part", "_role", "_id", "_text")
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, pivot, own = WordHashes(), None, np.zeros(0, np.uint64)
         for batch in batches:
             ids, to = [], []
-            for p, i, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).cast(pa.large_binary()), strict=True):
+            for p, role, i, text in zip(*(batch.column(n).to_pylist() for n in (0, 2, 3)), batch.column(4).cast(pa.large_binary()), strict=True):
                 one = shingle_sets([text.as_py()], hashes, width)[0]
-                if i is None:
+                if role == 0:
                     pivot, own = p, one
                 elif p == pivot:
                     common = len(np.intersect1d(one, own, assume_unique=True))
@@ -146,8 +151,54 @@ def verified(edges: DataFrame, docs: DataFrame, id_col: str, text_col: str, widt
                         to.append(p)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(to, pa.int64())], names=["_id", "_pivot"])
 
-    dealt = rows.unionByName(pivots).repartition("_pivot", "_part").sortWithinPartitions("_pivot", "_part", F.col("_id").asc_nulls_first())
-    return written(dealt.mapInArrow(check, "_id long, _pivot long"), "links")
+    return written(rows.repartition("_pivot", "_part").sortWithinPartitions("_pivot", "_part", "_role").mapInArrow(check, "_id long, _pivot long"), "links")
+
+
+def prefix_pairs(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (_id, _pivot) of nodes (_id, _root) of different roots that can be alike enough; none that is can be missing.
+
+    All sets are put in one order, rarest shingles first by a table of RARITY counts. Of sets alike enough, the first
+    n - ceil(n * percent / 100) + 1 of one and of the other share a shingle; sizes and the places of the first such shingle
+    bound the rest.
+    """
+    texts = written(texts.join(nodes.hint("merge"), "_id").select("_id", "_root", "_text"), "undecided")
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, totals = WordHashes(), np.zeros(RARITY, np.int64)
+        for batch in batches:
+            for _, some in slices(batch.column(0), 2 << 20):
+                for one in shingle_sets(some, hashes, width):
+                    np.add.at(totals, (one % np.uint64(RARITY)).astype(np.int64), 1)
+        at = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(totals[at])], names=["bucket", "n"])
+
+    rarity = np.zeros(RARITY, np.int64)
+    for r in texts.select("_text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # RARITY rows at most
+        rarity[r.bucket] = r.n
+    shared = nodes.sparkSession.sparkContext.broadcast(rarity)
+
+    def make():
+        hashes, rarity = WordHashes(), shared.value
+
+        def work(batch):
+            sizes, tokens = [], []
+            for _, some in slices(batch.column("_text"), 2 << 20):
+                for one in shingle_sets(some, hashes, width):
+                    n = len(one) + (-len(one) * percent // 100) + 1
+                    first = np.lexsort((one, rarity[(one % np.uint64(RARITY)).astype(np.int64)]))[:n]
+                    sizes.append(len(one))
+                    tokens.append(one[first].view(np.int64).tolist())
+            return [sizes, tokens]
+
+        return work
+
+    fields = [T.StructField("_size", T.LongType()), T.StructField("_tokens", T.ArrayType(T.LongType()))]
+    tokens = written(with_columns(texts, fields, make, ["_text"]).select("_id", "_root", "_size", F.posexplode("_tokens").alias("_at", "_token")), "prefixes")
+    a, b = tokens.alias("a"), tokens.alias("b")
+    most = "least(a._size - a._at, b._size - b._at)"  # shingles that both can have, if this is the first common one
+    alike = F.expr(f"100L * ({most}) >= {percent} * (a._size + b._size - ({most}))")
+    met = a.join(b, F.expr("a._token = b._token and a._id > b._id and a._root <> b._root")).filter(_possible("a._size", "b._size", percent) & alike)
+    return met.select(F.col("a._id").alias("_id"), F.col("b._id").alias("_pivot")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -196,9 +247,10 @@ def near_duplicates(
       the collections**2 tables are keyed by a left and a right key together. A pair of likeness s shares no table with
       probability 1 - (1 - (1 - s**rows)**collections)**2: below 1e-4 at 0.75, 1e-5 at 0.81.
     - Documents with equal shingle sets are one class, which the least id stands for. In each table the classes with one
-      key are linked to the least of them, checked on full sets. Where a key still holds several components, the pairs
-      across components that are left are checked too, so every pair that shares a key is decided or already connected.
-    - Empty sets link with nothing. Rows that share an id are one document. A row with a null id is kept alone, with a
+      key are linked to the least of them, checked on full sets. Where a key still holds several components, its
+      documents are joined once more across components by an exact prefix filter, and the pairs are checked: every pair
+      that shares a key is decided or already connected, without listing the pairs of a key.
+    - Empty sets link with nothing. Rows that share an id are one document; if their texts differ, one of them is compared. A row with a null id is kept alone, with a
       null component_id. An empty table gives an empty result. Columns of `docs` other than the two are not used.
     """
     signs = written(signatures(docs, id_col, text_col, width, rows, collections), "signatures")
@@ -207,16 +259,15 @@ def near_duplicates(
     keys = written(tables.groupBy("_table").agg(F.min(F.struct("_id", "_size")).alias("_first"), F.count("*").alias("count")).filter("count > 1").select("_table", F.col("_first._id").alias("_pivot"), F.col("_first._size").alias("_p_size")), "keys")
     met = written(tables.join(keys, "_table"), "met")
     stars = met.filter("_id <> _pivot").filter(_possible("_size", "_p_size", percent)).select("_id", "_pivot").distinct()
-    links = verified(stars, docs, id_col, text_col, width, percent)
+    texts = texts_of(met.select("_id"), docs, id_col, text_col)
+    links = verified(stars, texts, width, percent)
     roots = components(links)
 
     own = F.coalesce("_root", "_id")
-    placed = met.select("_table", "_id", "_size", "_pivot").join(roots, "_id", "left").withColumn("_root", own)
+    placed = met.select("_table", "_id").join(roots, "_id", "left").withColumn("_root", own)
     split = placed.groupBy("_table").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high")).filter("_low <> _high").select("_table")
-    rest = written(placed.join(split, "_table"), "rest")
-    a, b = rest.alias("a"), rest.alias("b")
-    pairs = a.join(b, F.expr("a._table = b._table and a._id > b._id and a._root <> b._root and b._id <> a._pivot")).filter(_possible("a._size", "b._size", percent))
-    more = verified(pairs.select(F.col("a._id").alias("_id"), F.col("b._id").alias("_pivot")).distinct(), docs, id_col, text_col, width, percent)
+    undecided = placed.join(split, "_table").select("_id", "_root").distinct()
+    more = verified(prefix_pairs(undecided, texts, width, percent), texts, width, percent)
 
     with_id = signs.filter("doc_id is not null")
     member = with_id.filter("_set is not null").join(classes.select("_set", "_id"), "_set").select("doc_id", "_id")
