@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import iri as I
+from ..vocabulary import DCTERMS
 from .model import KEY, Model, case_folds
 
 # Number words that a description may give, and vocabularies it may name with their namespaces.
@@ -16,6 +17,7 @@ NUMBER_WORDS = ["one", "two", "three", "four", "five", "six", "seven", "eight",
 NAMED_VOCABULARIES = {"DOAP": "http://usefulinc.com/ns/doap#", "ADMS": "http://www.w3.org/ns/adms#", "DCAT": "http://www.w3.org/ns/dcat#", "PROV": "http://www.w3.org/ns/prov#"}
 # Header fields that a root document should have, and how serious it is if one is missing.
 HEADER_FIELDS = {"title": "warning", "description": "warning", "license": "warning", "created": "info", "modified": "info", "issued": "info", "version_info": "info", "version_iri": "info", "status": "info", "prefix": "info", "namespace_uri": "info", "citation": "info", "identifier": "info"}
+HEADER_AGENTS = {"creators": DCTERMS + "creator", "contributors": DCTERMS + "contributor"}
 c = F.col
 
 
@@ -54,9 +56,14 @@ def empty_document(m: Model) -> DataFrame:
 
 
 def header_missing(m: Model) -> DataFrame:
+    """Fields of the root document that have no value; a prior version is only missed where there is a version."""
     root = m.documents.join(m.root.withColumnRenamed("root", "iri"), KEY)
+    named = m.named.filter(c("p").isin(list(HEADER_AGENTS.values()))).groupBy("release", c("s").alias("iri")).agg(*(F.count_if(c("p") == p).alias(f) for f, p in HEADER_AGENTS.items()))
+    root = root.join(named, KEY, "left")
     lists = ("title", "description")
     gone = [F.when((F.size(f) == 0) if f in lists else c(f).isNull(), F.lit(f)) for f in HEADER_FIELDS]
+    gone += [F.when(F.coalesce(f, F.lit(0)) == 0, F.lit(f)) for f in HEADER_AGENTS]
+    gone.append(F.when(c("prior_version").isNull() & c("version_info").isNotNull(), F.lit("prior_version")))
     return root.select("release", F.explode(F.array_compact(F.array(*gone))).alias("subject"))
 
 

@@ -21,6 +21,8 @@ _LOCAL = 'SELECT release, iri AS subject FROM terms WHERE NOT "foreign" AND '
 _TAKEN = "(SELECT DISTINCT m.release, m.ns, rtrim(substr(d.iri, length(m.ns) + 1), '/') AS segment FROM minted m JOIN (SELECT release, iri FROM doc UNION SELECT release, version_iri FROM docs WHERE version_iri IS NOT NULL) d ON d.release = m.release AND starts_with(d.iri, m.ns))"
 _TEXT = "(SELECT d.release, coalesce(array_to_string(list_transform(v.vs, lambda x: x.value), ' '), '') AS text FROM root d LEFT JOIN vals v ON v.release = d.release AND v.iri = d.root AND v.field = 'document_description')"
 _HEAD = ", ".join(f"CASE WHEN NOT EXISTS (SELECT 1 FROM vals v WHERE v.release = d.release AND v.iri = d.iri AND v.field = 'document_{f}') THEN '{f}' END" if f in ("title", "description") else f"CASE WHEN d.{f} IS NULL THEN '{f}' END" for f in lint.HEADER_FIELDS)
+_HEAD += "".join(f", CASE WHEN NOT EXISTS (SELECT 1 FROM q WHERE q.release = d.release AND q.s = d.iri AND q.p = '{p}') THEN '{f}' END" for f, p in lint.HEADER_AGENTS.items())
+_HEAD += ", CASE WHEN d.prior_version IS NULL AND d.version_info IS NOT NULL THEN 'prior_version' END"
 
 SQL = {
     "release.no-document": "SELECT DISTINCT release, CAST(NULL AS VARCHAR) AS subject FROM q WHERE release NOT IN (SELECT release FROM doc)",
