@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import flagged, slices, with_columns, written
+from .shared import HEAVY_SHARE, flagged, slices, with_columns, written
 
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _SHIFT = np.uint64(32)
@@ -123,14 +123,16 @@ def texts_of(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
     return written(texts.join(nodes.select("_id").distinct().hint("merge"), "_id").dropDuplicates(["_id"]), "texts")
 
 
-def verified(edges: DataFrame, texts: DataFrame, width: int, percent: int, per_task: int = 2_000) -> DataFrame:
+def verified(edges: DataFrame, texts: DataFrame, width: int, percent: int, per_task: int = 500) -> DataFrame:
     """The (_id, _pivot) edges whose whole shingle sets are alike enough.
 
-    A pivot with many edges is dealt to several tasks, each of about `per_task` texts and the pivot's.
+    A pivot with many edges (over `per_task`, and at least 1 / HEAVY_SHARE of all) is dealt to several tasks, each of
+    about `per_task` texts and the pivot's. Texts pass through a task one by one.
     """
     edges = written(edges, "edges")
-    degrees = edges.groupBy("_pivot").count().withColumn("_parts", F.ceil(F.col("count") / per_task).cast("int"))
-    heavy = F.broadcast(degrees.filter("_parts > 1").select("_pivot", "_parts"))  # at most one in per_task of the edges
+    bar = max(per_task, edges.count() / HEAVY_SHARE)
+    degrees = edges.groupBy("_pivot").count().withColumn("_parts", F.when(F.col("count") > bar, F.ceil(F.col("count") / per_task).cast("int")).otherwise(1))
+    heavy = F.broadcast(degrees.filter("_parts > 1").select("_pivot", "_parts"))  # at most HEAVY_SHARE rows
     dealt = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int")).otherwise(0)
     members = edges.join(heavy, "_pivot", "left").select("_pivot", dealt.alias("_part"), F.lit(1).alias("_role"), "_id")
     pivots = degrees.select("_pivot", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.lit(0).alias("_role"), F.col("_pivot").alias("_id"))
@@ -210,8 +212,8 @@ def components(edges: DataFrame) -> DataFrame:
             ends = ends.unionByName(ends.select(F.col("_v").alias("_u"), F.col("_u").alias("_v")))
         least = ends.groupBy("_u").agg(F.least(F.col("_u"), F.min("_v")).alias("_m"), F.count("*").alias("count"))
         n = F.col("_u"), F.col("_v"), F.col("_m")
-        bar = 50_000
-        heavy = F.broadcast(least.filter(F.col("count") >= bar).select("_u", "_m"))  # at most one in `bar` of the edges
+        bar = max(50_000, e.count() / HEAVY_SHARE)
+        heavy = F.broadcast(least.filter(F.col("count") >= bar).select("_u", "_m"))  # at most 2 * HEAVY_SHARE rows
         light = least.filter(F.col("count") < bar).select("_u", "_m")
         tagged = ends.join(heavy, "_u", "left")
         both = tagged.filter("_m is not null").select(*n).unionByName(tagged.filter("_m is null").drop("_m").join(light, "_u").select(*n))
