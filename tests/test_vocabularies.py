@@ -94,3 +94,19 @@ def test_stream_equals_batch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(map(tuple, spark.table("windows").collect())) == sorted(map(tuple, requests.counts_by_window(batch).collect()))
+
+
+def test_summary_reads_whole_texts(spark, tmp_path):
+    from vocabloom.plans import scalars
+
+    far = "word " * 60 + "end"
+    rows = [(1, far + ". Next one. Third"), (2, far), (3, "Short. " + far + ". Rest"), (4, None), (5, "é" * 30 + ".\n Rest"), (6, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.k: r.summary for r in scalars.QUERIES["summary"](spark, str(tmp_path)).collect()}
+
+    def brute(line):
+        line = " ".join(line.split())
+        at = line.encode().find(b". ")
+        return line.encode()[: at + 1].decode() if at > 40 else line
+
+    assert got == {k: brute(t) for k, t in rows if t is not None}
