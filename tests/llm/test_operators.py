@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -274,6 +275,50 @@ def test_pii_patterns():
     assert pii.base_spans(texts[-1]) == [] and pii.base_spans(texts[-2]) == []
 
 
+def test_pii_decodes_all_words():
+    """Against Viterbi over all words of each text, and for data in long tokens and without digits."""
+    crf, r = pii.train(), random.Random(11)
+    parts = [w for line in pii.LABELLED for w in line.replace("[email ", "").replace("[phone ", "").replace("[ip ", "").split()]
+    parts += ["fe::bad:cafe", "(212)", "555-0182", "555-0182", "of", "é", "...", "[at]", "(dot)", "1", "2019", "joe", "::", "x" * 300, "a1" * 200]
+    texts = [" ".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(1000)] + [' '.join(r.choice(parts) if r.random() < 0.15 else 'word' for _ in range(80)) for _ in range(300)] + ["", " "]
+    got = pii.added_spans(texts, crf, [[] for _ in texts], pii.Numbers(crf))
+    found = 0
+    for text, spans in zip(texts, got):
+        words = [m.span() for m in re.finditer(r"\S+", pii.blanked(text))]
+        around = ["", *(pii.shape(pii.blanked(text)[a:b]) for a, b in words), ""]
+        want = []
+        if words:
+            scores = np.array([crf.emit[[crf.features[n] for n in crf.names(*around[i : i + 3]) if n in crf.features]].sum(axis=0) for i in range(len(words))])
+            best, back = crf.start + scores[0], []
+            for s in scores[1:]:
+                ways = best[:, None] + crf.move
+                back.append(ways.argmax(axis=0))
+                best = ways.max(axis=0) + s
+            path = [int(best.argmax())]
+            for b in reversed(back):
+                path.append(int(b[path[-1]]))
+            names = [crf.labels[i] for i in reversed(path)]
+            for i, name in enumerate(names):
+                if name[0] == "B":
+                    j = next((j for j in range(i + 1, len(names)) if names[j] != "I" + name[2:] and names[j] != "I-" + name[2:]), len(names))
+                    a, b = words[i][0], words[j - 1][1]
+                    while a < b and not (text[a].isalnum() or text[a] in "(:"):
+                        a += 1
+                    while b > a and not (text[b - 1].isalnum() or text[b - 1] in ")]"):
+                        b -= 1
+                    want += [(name[2:], a, b)] * (a < b)
+        assert spans == want
+        found += len(want)
+    assert found > 100 and crf.reach < 40
+    filler = ",".join(f'{{"key":"value {i}"}}'.replace(" ", "_") for i in range(40))
+    for text, datum in [('{"list":[' + filler + ',{"phone":"718-555-0163","name":"Ann"},' + filler + "]}", "718-555-0163"), ("the host fe::bad:cafe is down", "fe::bad:cafe"), ("https://host.example/" + "a/" * 150 + "718-555-0163/today", "718-555-0163")]:
+        spans = pii.added_spans([text], crf, [[]], pii.Numbers(crf))[0]
+        assert datum in [text[a:b] for _, a, b in spans]
+    for text in ["password " + "ab1c" * 100_000, "1" * 500_000, "x" * 500_000, "fe80::1" + "a" * 100 + "q:" * 100]:
+        assert pii.added_spans([text], crf, [[]], pii.Numbers(crf)) is not None
+    assert pii.shape("(" + "x" * 90 + "1") == "(xd"
+
+
 def test_pii(spark):
     texts = [None, "", "call (212) 555-0182 or a.b@c.example now", "mail joe [at] example [dot] com please", "plain words of 2019 and 14", "é" * 10 + " 1.2.3.4"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import with_columns
+from .shared import slices, with_columns
 
 KINDS = ("email", "ip", "card", "phone")
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
@@ -120,7 +120,12 @@ a [at] sign and a (dot) there
 
 _EDGE = "\"'<>,;!?*#$%&|{}="
 _WORD = re.compile(r"\S+")
-_DIGIT = re.compile(r"[0-9]\S*")
+#: No datum of the labelled table's kinds has a longer word; longer ones are split at all that can't be in one.
+_LONG = 64
+_LONGER = re.compile(r"\S{65,}")
+_OTHER = re.compile(r"[^\w\s.:+()\[\]-]|_")
+_BLANKED = str.maketrans(dict.fromkeys(_EDGE, " "))
+_PIECE = 1 << 20
 _MARK = re.compile(r"[\[(](?:at|dot)[\])]", re.IGNORECASE)
 _PIECES = re.compile(r"\[(email|ip|card|phone) ((?:[^][]|\[[a-z]+\])*)\]|(\S+)")
 
@@ -129,7 +134,9 @@ def shape(word: str) -> str:
     """A word's shape: digits d, letters x (hexadecimal ones h next to a colon), others themselves; runs of over four letters or digits are cut to five."""
     if _MARK.fullmatch(word):
         return word.lower().translate({91: 40, 93: 41})
-    word = word.strip(_EDGE)[:80].rstrip(".,;:")
+    word = word.strip(_EDGE).rstrip(".,;:")
+    if word.isalpha():
+        return "x"
     colon = word.count(":") > 1
     out: list[str] = []
     for c in word:
@@ -157,7 +164,9 @@ class Crf:
             if label[0] == "I":
                 self.start[i] = -1e4
                 self.move[[j for j, o in enumerate(self.labels) if o == "O" or o[1:] != label[1:]], i] = -1e4
-        self.known: dict[tuple[str, str, str], np.ndarray] = {}
+        self.shapes: dict[str, int] = {}
+        self.index: dict[int, int] = {}
+        self.scored, self.margin, self.pulls = np.zeros((0, len(self.labels))), np.zeros((0, len(KINDS) + 1)), np.zeros((0, len(KINDS)))
 
     @staticmethod
     def names(before: str, own: str, after: str) -> tuple[str, ...]:
@@ -205,16 +214,107 @@ class Crf:
                     x -= rate * g / np.sqrt(s)
         return self
 
-    def scores(self, shapes: list[str], before: str, after: str) -> np.ndarray:
-        around, out = [before, *shapes, after], []
-        for i in range(len(shapes)):
-            key = (around[i], around[i + 1], around[i + 2])
-            if key not in self.known:
-                if len(self.known) > 100_000:
-                    self.known.clear()
-                self.known[key] = self.emit[[self.features[n] for n in self.names(*key) if n in self.features]].sum(axis=0)
-            out.append(self.known[key])
-        return np.array(out)
+    def ready(self) -> Crf:
+        """Number the shapes that occur in features: 0 is any other shape, 1 the edge of a text and the empty shape."""
+        self.shapes = {"": 1}
+        for name in self.features:
+            for x in name[1:].split("|") if name != "bias" else ():
+                self.shapes.setdefault(x, len(self.shapes) + 1)
+        self.names_of = {i: x for x, i in self.shapes.items()} | {0: "\0"}
+        self.base = len(self.shapes) + 1
+        x = self.shapes.get("x", 0)
+        self.plain = (x * self.base + x) * self.base + x
+        self.row(self.plain)
+        self.reach = self._reach()
+        return self
+
+    def _reach(self) -> float:
+        """Of a row of plain words (letters among letters), all but so many before its end are O on a best path; infinite if that can't be said.
+
+        A datum that lies in the row or ends there loses nothing if its words of the row turn O. One that goes on after the
+        row loses at most a fixed sum, as its next word turns B, but gains something for each word that turns O.
+        """
+        s, move = self.scored[0], self.move
+        outside = [i for i in range(len(self.labels)) if i == 0 or i % 2]
+        sides = defaultdict(lambda: np.zeros(len(self.labels)))
+        for name, i in self.features.items():
+            sides[name[0] if name != "bias" else "b"] = np.maximum(sides[name[0] if name != "bias" else "b"], np.append(0, self.emit[i][1:] - self.emit[i][:-1]))
+        reach = 0.0
+        for first in range(1, len(self.labels), 2):
+            inner = first + 1
+            each = s[0] - s[inner] + move[0, 0] - move[inner, inner]
+            begun = s[0] - s[first] + min(self.start[0] - self.start[first], *(move[p, 0] - move[p, first] for p in range(len(self.labels))))
+            tail = min(move[p, 0] - move[p, inner] for p in (first, inner)) + s[0] - s[inner]
+            ended = min(0.0, *(move[0, q] - move[inner, q] for q in outside))
+            alone = begun + min(0.0, *(move[0, q] - move[first, q] for q in outside))
+            pair = begun + move[0, 0] - move[first, inner] + s[0] - s[inner] + ended
+            if each <= 0 or min(alone, pair, tail + ended) < 0:
+                return np.inf
+            pull = sum(side[inner] for side in sides.values())
+            after = min(0.0, *(move[first, r] - move[inner, r] for r in [*outside, inner])) + move[0, first] - pull
+            one = min(begun - move[first, inner], tail - move[inner, inner])
+            reach = max(reach, np.ceil(-(one + after) / each) + 1)
+        return reach
+
+    def row(self, key: int) -> int:
+        """The row of a triple of shape numbers in the tables of scores, margins and pulls.
+
+        margin: by how much O at this word beats any other label at least, whatever the neighbours' labels (last column),
+        and by how much for each kind if the next word has to turn from I to B for that. pulls: by how much the next
+        word prefers I to B.
+        """
+        if key not in self.index:
+            own = [self.names_of[k] for k in (key // self.base**2, key // self.base % self.base, key % self.base)]
+            s = self.emit[[self.features[n] for n in self.names(*own) if n in self.features]].sum(axis=0)
+            inside = [i for i, name in enumerate(self.labels) if name[0] == "I"]
+            outside = [i for i in range(len(self.labels)) if i not in inside]
+            end = np.inf
+            turned = np.full(len(KINDS), np.inf)
+            for own in range(1, len(self.labels)):
+                first = own - (own in inside)
+                before = [first, own] if own in inside else range(len(self.labels))
+                gain = min(self.move[p, 0] - self.move[p, own] for p in before)
+                if own not in inside:
+                    gain = min(gain, self.start[0] - self.start[own])
+                gain += s[0] - s[own]
+                end = min(end, gain + min(0.0, *(self.move[0, q] - self.move[own, q] for q in outside)))
+                after = min(0.0, *(self.move[first, r] - self.move[first + 1, r] for r in [*outside, first + 1]))
+                k = (first - 1) // 2
+                turned[k] = min(turned[k], gain + self.move[0, first] - self.move[own, first + 1] + after)
+            self.index[key] = len(self.index)
+            self.scored = np.vstack([self.scored, s])
+            self.margin = np.vstack([self.margin, [*turned, end]])
+            self.pulls = np.vstack([self.pulls, [s[i] - s[i - 1] for i in inside]])
+        return self.index[key]
+
+    def open_runs(self, ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """Rows of the words of a text, and the runs of words that have to be decoded; on a best path, all others are O."""
+        around = np.concatenate([[1], ids, [1]])
+        keys = (around[:-2] * self.base + around[1:-1]) * self.base + around[2:]
+        rows = np.zeros(len(ids), np.int64)
+        odd = np.flatnonzero(keys != self.plain)
+        if len(odd):
+            unique, at = np.unique(keys[odd], return_inverse=True)
+            rows[odd] = np.array([self.row(int(k)) for k in unique])[at]
+        if len(odd) == 0 and self.reach < np.inf:
+            return rows, []
+        loose = np.full(len(ids), self.reach == np.inf)
+        look = np.unique(np.concatenate([odd, *(odd - i for i in range(1, int(min(self.reach, len(ids))) + 1))])) if self.reach < np.inf else np.arange(len(ids))
+        look = look[look >= 0]
+        loose[look] = self.margin[rows[look], -1] < 0
+        look = look[look < len(ids) - 1]
+        loose[look] |= (self.margin[rows[look], :-1] < self.pulls[rows[look + 1]]).any(axis=1)
+        at = np.flatnonzero(loose)
+        cuts = np.flatnonzero(np.diff(at) > 1)
+        return rows, list(zip(at[[0, *(cuts + 1)]].tolist(), (at[[*cuts, -1]] + 1).tolist(), strict=True)) if len(at) else []
+
+    def scores(self, rows: np.ndarray, start: int, end: int) -> np.ndarray:
+        """Scores of a run, with the moves from and to the O words around it."""
+        out = self.scored[rows[start:end]]
+        out[0] += self.move[0] if start else self.start
+        if end < len(rows):
+            out[-1] += self.move[:, 0]
+        return out
 
     def decode(self, runs: list[np.ndarray]) -> list[np.ndarray]:
         """Viterbi paths of many runs of scores; runs of one length are decoded together."""
@@ -225,10 +325,10 @@ class Crf:
         for size, own in by_size.items():
             for part in (own[i : i + 4096] for i in range(0, len(own), 4096)):
                 scores = np.stack([runs[i] for i in part])
-                best, back = self.start + scores[:, 0], []
+                best, back = scores[:, 0], []
                 for t in range(1, size):
                     ways = best[:, :, None] + self.move
-                    back.append(ways.argmax(axis=1))
+                    back.append(ways.argmax(axis=1).astype(np.int8))
                     best = ways.max(axis=1) + scores[:, t]
                 path = [best.argmax(axis=1)]
                 for b in reversed(back):
@@ -238,6 +338,21 @@ class Crf:
         return out
 
 
+class Numbers(dict):
+    """Shape numbers of words; keeps those of at most 200,000 words."""
+
+    def __init__(self, crf: Crf) -> None:
+        self.shapes = crf.shapes
+
+    def __missing__(self, word: str) -> int:
+        number = self.shapes.get(shape(word), 0)
+        if len(word) <= _LONG:
+            if len(self) >= 200_000:
+                self.clear()
+            self[word] = number
+        return number
+
+
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
@@ -249,76 +364,61 @@ def labelled_sentences(table: list[str]) -> list[tuple[list[str], list[str]]]:
     for line in table:
         shapes, tags = [], []
         for m in _PIECES.finditer(line):
-            words = (m[2] or m[3]).split()
+            words = blanked(m[2] or m[3]).split()
             shapes += map(shape, words)
-            tags += ["O"] if m[3] else [f"{'I' if i else 'B'}-{m[1]}" for i in range(len(words))]
+            tags += ["O"] * len(words) if m[3] else [f"{'I' if i else 'B'}-{m[1]}" for i in range(len(words))]
         out.append((shapes, tags))
     return out
 
 
 def train(table: list[str] = LABELLED) -> Crf:
-    return Crf().fit(labelled_sentences(table))
+    return Crf().fit(labelled_sentences(table)).ready()
 
 
-def _candidates(text: str) -> list[tuple[int, int]]:
-    """Words that may be personal data: those with a digit, and each bracketed at or dot with the words beside it. All others are O."""
-    found: set[tuple[int, int]] = set()
-    last = 0
-    for m in _DIGIT.finditer(text):
-        start = m.start()
-        while start > last and not text[start - 1].isspace():
-            start -= 1
-        last = m.end()
-        found.add((start, last))
-    if "[" in text or "(" in text:
-        for m in _MARK.finditer(text):
-            found |= {m.span(), *_beside(text, m.start(), m.end())}
-    return sorted(s for s in found if s[1] - s[0] < 200)
+def blanked(text: str) -> str:
+    """A text with blanks for what separates words: marks of _EDGE, colons that stand alone, and in longer words all that can't be in a datum."""
+    text = text.translate(_BLANKED).replace(" : ", "   ")
+    if max(map(len, text.split()), default=0) > _LONG:
+        text = _LONGER.sub(lambda m: _OTHER.sub(" ", m.group()), text)
+    return text
 
 
-def _beside(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """The words before and after a place, where white space lies between; words of over 100 characters aren't looked at."""
-    left, right = text[max(0, start - 101) : start], text[end : end + 101]
-    out = []
-    if left[-1:].isspace() and left.split():
-        word = left.split()[-1]
-        out.append((start - len(left) + left.rindex(word), start - len(left) + left.rindex(word) + len(word)))
-    if right[:1].isspace() and right.split():
-        word = right.split()[0]
-        out.append((end + right.index(word), end + right.index(word) + len(word)))
-    return out
+def pieces(text: str) -> Iterator[str]:
+    """Consecutive parts of a text, cut at blanks."""
+    start = 0
+    while start <= len(text):
+        end = text.find(" ", start + _PIECE)
+        end = len(text) if end < 0 else end
+        yield text[start:end]
+        start = end + 1
 
 
-def added_spans(texts: list[str], crf: Crf, base: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
+def added_spans(texts: list[str], crf: Crf, base: list[list[tuple[str, int, int]]], numbers: Numbers) -> list[list[tuple[str, int, int]]]:
     """What the field finds in whole texts beside the base spans; a span that overlaps a base span is left out."""
+    numbers = Numbers(crf) if numbers is None else numbers
     runs, where = [], []
     for n, text in enumerate(texts):
-        words = _candidates(text)
-        i = 0
-        while i < len(words):
-            j = i + 1
-            while j < len(words) and words[j][0] > words[j - 1][1] and text[words[j - 1][1] : words[j][0]].isspace():
-                j += 1
-            ends = _beside(text, words[i][0], words[j - 1][1])
-            before = next((shape(text[a:b]) for a, b in ends if b <= words[i][0]), "")
-            after = next((shape(text[a:b]) for a, b in ends if a >= words[j - 1][1]), "")
-            runs.append(crf.scores([shape(text[a:b]) for a, b in words[i:j]], before, after))
-            where.append((n, words[i:j]))
-            i = j
+        ids = np.concatenate([np.fromiter(map(numbers.__getitem__, part.split()), np.int64) for part in pieces(blanked(text))])
+        rows, own = crf.open_runs(ids)
+        runs += [crf.scores(rows, a, b) for a, b in own]
+        where += [(n, a) for a, _ in own]
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for (n, words), path in zip(where, crf.decode(runs), strict=True):
+    of, places = -1, []
+    for (n, a), path in zip(where, crf.decode(runs), strict=True):
         names = [crf.labels[i] for i in path]
         for i, name in enumerate(names):
             if name[0] == "B":
+                if of != n:
+                    of, places = n, [m.span() for m in _WORD.finditer(blanked(texts[n]))]
                 j = i + 1
                 while j < len(names) and names[j] == "I" + name[1:]:
                     j += 1
-                start, end = words[i][0], words[j - 1][1]
+                start, end = places[a + i][0], places[a + j - 1][1]
                 while start < end and not (texts[n][start].isalnum() or texts[n][start] in "(:"):
                     start += 1
                 while end > start and not (texts[n][end - 1].isalnum() or texts[n][end - 1] in ")]"):
                     end -= 1
-                if end > start and not any(a < end and start < b for _, a, b in base[n]):
+                if end > start and not any(x < end and start < y for _, x, y in base[n]):
                     out[n].append((name[2:], start, end))
     return out
 
@@ -327,21 +427,24 @@ def find_pii(docs: DataFrame, text_col: str = "text", table: list[str] = LABELLE
     """`docs` with base_spans and spans: arrays of kind, start and end (code points, end exclusive), by kind and start.
 
     base_spans are those of the fixed patterns; spans has them and what a conditional random field adds, which is trained
-    on `table`. Words without a digit that stand beside no bracketed "at" or "dot" are O by rule, so a text falls into runs
-    of the other words; they are decoded by Viterbi, many at a time. Null texts count as empty; repeated rows and null ids
+    on `table`. All words of a text are decoded, from their whole shapes. Marks of _EDGE and lone colons separate words like white space, and
+    words of over 64 characters, none of which the table has in personal data, are split at all marks but .:+-()[] too.
+    Words that are O on a best path whatever their neighbours' labels are found first, so a text falls into runs of the
+    other words; they are decoded by Viterbi, many at a time. Null texts count as empty; repeated rows and null ids
     pass through; columns of `docs` named as a result column are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(table))
 
     def make():
         crf = shared.value
+        numbers = Numbers(crf)
 
         def work(batch):
             base_out, all_out = [], []
-            for at in range(0, batch.num_rows, 500):
-                texts = [t or "" for t in batch.column(text_col).slice(at, 500).to_pylist()]
+            for _, part in slices(batch.column(text_col), 2 << 20):
+                texts = [(t or b"").decode() for t in part]
                 base = [base_spans(t) for t in texts]
-                for own, more in zip(base, added_spans(texts, crf, base), strict=True):
+                for own, more in zip(base, added_spans(texts, crf, base, numbers), strict=True):
                     base_out.append(_structs(own))
                     all_out.append(_structs(sorted(own + more, key=lambda s: (KINDS.index(s[0]), *s[1:]))))
             return [base_out, all_out]
