@@ -237,6 +237,29 @@ def test_quality(spark):
     assert {x.score for x in quality.score(docs, quality.train(docs, labels.limit(0))).collect()} == {0.5}
 
 
+def test_quality_takes_whole_long_words(spark):
+    """A word of 1 MB counts all its n-grams, in training and in scoring."""
+    r = random.Random(8)
+    run = "".join(r.choice("abcdefgh漢") for _ in range(700_000))
+    text = " ".join(["short", run, "x" * 129, "y" * 128, run[:1000], run[:1000], "short"])
+    want = Counter()
+    words = text.encode().split()
+    for w in words:
+        m = b"<" + w + b">"
+        want[zlib.crc32(w, 7) % quality.BUCKETS] += 1
+        want.update(zlib.crc32(m[i : i + n]) % quality.BUCKETS for n in (2, 3, 4) for i in range(len(m) - n + 1))
+    at, n = quality.document_features(text.encode())
+    assert dict(zip(at[:-2].tolist(), n[:-2].tolist())) == want and n[-2:].tolist() == [1, 10]
+    model = quality.train(spark.createDataFrame([(1, "short")], "doc_id long, text string"), spark.createDataFrame([(1, None)], "doc_id long, quality int"))
+    model.output = np.random.default_rng(1).normal(size=model.output.shape) * 100
+    scorer = quality.Scorer(model)
+    share = np.append(n, []) / n.sum()
+    expected = quality._softmax(model.output @ (share @ model.vectors[at]))[1]
+    for _ in range(2):  # words that are new, and words that are known
+        assert scorer.score([text.encode()])[0] == pytest.approx(expected, rel=1e-4)
+    assert all(len(w) <= 128 for w in scorer.known)
+
+
 def test_spotsigs(docs, none):
     got = spotsigs.compared_with_next(docs).collect()
     assert len(got) == len(ROWS)

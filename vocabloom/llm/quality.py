@@ -5,6 +5,7 @@ from __future__ import annotations
 import operator
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,15 +17,32 @@ from .shared import slices, with_columns
 
 BUCKETS = 1 << 16
 _KEPT_WORDS = 200_000
+#: Words of more bytes are taken in blocks by numpy, and aren't kept.
+_LONG, _BLOCK = 128, 1 << 16
+_CRC = np.array([zlib.crc32(bytes([i ^ 255])) ^ 0xFF000000 for i in range(256)], np.uint32)
 
 
 def word_features(word: bytes) -> list[int]:
-    """Buckets of a word and of its n-grams of 2 to 4 bytes, with marks at both ends; of a very long word, its 64 first and last bytes make the n-grams."""
-    marked = b"<" + (word if len(word) <= 128 else word[:64] + word[-64:]) + b">"
+    """Buckets of a word and of its n-grams of 2 to 4 bytes, with marks at both ends."""
+    marked = b"<" + word + b">"
     grams = [marked[i : i + n] for n in (2, 3, 4) for i in range(len(marked) - n + 1)]
     return [zlib.crc32(word, 7) % BUCKETS] + [zlib.crc32(g) % BUCKETS for g in grams]
 
 
+def long_features(word: bytes) -> Iterator[np.ndarray]:
+    """The same buckets, block by block."""
+    yield np.array([zlib.crc32(word, 7) % BUCKETS])
+    marked = np.frombuffer(b"<" + word + b">", np.uint8)
+    for start in range(0, len(marked), _BLOCK):
+        part = marked[start : start + _BLOCK + 3]
+        state = np.full(len(part), 0xFFFFFFFF, np.uint32)
+        for n in range(1, min(4, len(part)) + 1):
+            state = state[: len(part) - n + 1]
+            state = _CRC[(state ^ part[n - 1 :]) & 255] ^ (state >> 8)
+            if n > 1:
+                yield ((state ^ 0xFFFFFFFF) % BUCKETS)[:_BLOCK].astype(np.int64)
+
+
 def repeats(words: list[bytes]) -> int:
     """How many word pairs are a word and itself."""
     return sum(map(operator.eq, words, words[1:]))
@@ -36,6 +54,10 @@ def document_features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     flat, times = [], []
     words = (text or b"").split()
     for word, n in Counter(words).items():
+        if len(word) > _LONG:
+            for found in long_features(word):
+                totals[:BUCKETS] += n * np.bincount(found, minlength=BUCKETS)
+            continue
         found = word_features(word)
         flat += found
         times += [n] * len(found)
@@ -83,6 +105,17 @@ class Scorer:
 
     def sums_of(self, words: list[bytes]) -> np.ndarray:
         """For each word, the sum of its buckets' vectors and their number."""
+        out = np.zeros((len(words), self.sums.shape[1]))
+        short = [i for i, w in enumerate(words) if len(w) <= _LONG]
+        if len(short) < len(words):
+            for i, word in enumerate(words):
+                if len(word) > _LONG:
+                    for found in long_features(word):
+                        out[i, :-1] += self.model.vectors[found].sum(axis=0, dtype=float)
+                        out[i, -1] += len(found)
+            if short:
+                out[short] = self.sums_of([words[i] for i in short])
+            return out
         features = [word_features(w) for w in words]
         sizes = np.array([len(f) for f in features])
         flat = np.fromiter((x for f in features for x in f), np.int64, sizes.sum())
@@ -110,10 +143,10 @@ class Scorer:
                     own = np.fromiter((fresh[w] for w, k in zip(words, old, strict=True) if not k), np.int64, int((~old).sum()))
                     total = total + n[~old] @ extra[own]
             out.append(float(_softmax(self.model.output @ (total[:-1] / total[-1]))[1]))
-        room = min(len(new), _KEPT_WORDS - len(self.known))
-        if room > 0:
-            self.sums[len(self.known) : len(self.known) + room] = extra[:room]
-            self.known |= {w: len(self.known) + i for i, w in enumerate(new[:room])}
+        kept = [i for i, w in enumerate(new) if len(w) <= _LONG][: _KEPT_WORDS - len(self.known)]
+        if kept:
+            self.sums[len(self.known) : len(self.known) + len(kept)] = extra[kept]
+            self.known |= {new[j]: len(self.known) + i for i, j in enumerate(kept)}
         return out
 
 
