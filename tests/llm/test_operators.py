@@ -277,6 +277,29 @@ def test_spotsigs(docs, none):
     assert order and spotsigs.compared_with_next(none).count() == 0
 
 
+def test_spotsigs_pairs(spark, docs, none):
+    """All pairs of sets, also of texts that aren't neighbours by id, against brute force."""
+    base, r = prose(120, 21), random.Random(6)
+    spotted = [w if i % 3 else "the" for i, w in enumerate(base)]
+    more = [(1000 + 7 * i, " ".join(changed(spotted, r.sample(range(120), i), i)[: 120 - i]), "hot", "x", 1) for i in range(12)]
+    more += [(990, " ".join(spotted), "hot", "x", 1), (5000, " ".join(spotted), "hot", "x", 1), (5000, "the " + " ".join(base), "hot", "x", 1)]
+    more += [(6000 + i, "the " + " ".join(f"w{k}" for k in range(i)), "hot", "x", 1) for i in range(9)]
+    both = docs.unionByName(spark.createDataFrame(more, SCHEMA))
+    sets = defaultdict(set)
+    for x in spotsigs.fingerprints(both).filter("doc_id is not null").collect():
+        sets[tuple(x.signatures)].add(x.doc_id)
+    for threshold in (0.44, 0.55, 0.75, 0.9):
+        want = Counter((min(ids), i, 1.0) for ids in sets.values() for i in ids - {min(ids)})
+        for n, a in enumerate(sets):
+            for b in list(sets)[n + 1 :]:
+                x = len(set(a) & set(b)) / max(1, len(set(a) | set(b)))
+                if x >= threshold:
+                    want[(*sorted((min(sets[a]), min(sets[b]))), x)] += 1
+        got = Counter(map(tuple, spotsigs.near_pairs(both, threshold=threshold).collect()))
+        assert got == want and sum(a != b and x < 1 for a, b, x in want) > 3
+    assert spotsigs.near_pairs(none).count() == 0
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

@@ -62,6 +62,10 @@ def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signed.select("doc_id", "n_chars", edited, spotsigs.text_of("signatures").alias("fingerprint"), spotsigs.text_of("edited_signatures").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op9_spotsigs_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.near_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = [F.expr(f"CAST(size(filter(base_spans, s -> s.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in pii.KINDS]
@@ -70,7 +74,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_packing, op3_line_dedup, op4_language_id, op5_sharding, op6_substring_dedup, op7_minhash_near_dedup, op8_quality_classifier, op9_spotsigs, op10_pii)}
+    return {f.__name__: f for f in (op1_decontamination, op2_packing, op3_line_dedup, op4_language_id, op5_sharding, op6_substring_dedup, op7_minhash_near_dedup, op8_quality_classifier, op9_spotsigs, op9_spotsigs_pairs, op10_pii)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -41,16 +41,16 @@ def fingerprints(docs: DataFrame, text_col: str = "text", name: str = "signature
     return _signed(plain, "_signed", name, chain, anchors).drop("_signed")
 
 
-def length_class(signatures: str, threshold: float) -> Column:
-    """The partition of a set by its length: sets of likeness `threshold` or more are in the same or in adjoining ones."""
-    return F.floor(F.log(F.greatest(F.size(signatures), F.lit(1))) / F.lit(-1.0) / F.log(F.lit(threshold))).cast("int")
+def length_class(length: Column, threshold: float) -> Column:
+    """The partition of sets of this length: sets of likeness `threshold` or more are in the same or in adjoining ones."""
+    return F.floor(F.log(F.greatest(length, F.lit(1))) / F.lit(-1.0) / F.log(F.lit(threshold))).cast("int")
 
 
 def jaccard(a: str, b: str, threshold: float = 0.0) -> Column:
     """Likeness of two sets; 1 for two empty ones, and 0 where the lengths alone rule the threshold out."""
     least, most = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
     common = F.size(F.array_intersect(a, b))
-    return F.when(most == 0, 1.0).when((least == 0) | (least < most * threshold), 0.0).otherwise(common / (F.size(a) + F.size(b) - common))
+    return F.when(most == 0, 1.0).when((least == 0) | (least < most * threshold - 1e-9), 0.0).otherwise(common / (F.size(a) + F.size(b) - common))
 
 
 def text_of(signatures: str) -> Column:
@@ -93,3 +93,47 @@ def compared_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     both = both.withColumn("edited_text", F.expr("concat(substring(_text, 1, CAST(n_chars - n_chars DIV 2 AS INT)), _head)"))
     both = _signed(_signed(both, "_text", "signatures", chain, anchors).drop("_text", "_head"), "edited_text", "edited_signatures", chain, anchors)
     return both.select("doc_id", "n_chars", "edited_text", "signatures", "edited_signatures", jaccard("signatures", "edited_signatures").alias("near_edited"), jaccard("signatures", "_next").alias("near_next"))
+
+
+def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75, chain: int = 2, anchors: list[str] = ANCHORS) -> DataFrame:
+    """All pairs of fingerprints of likeness `threshold` (between 0 and 1) or more: first_id, second_id and likeness.
+
+    Texts of equal signatures are one set, named by the least id among them: each other id of the set is a pair with that
+    name, of likeness 1, and sets are paired by their names (an id with several texts can be paired with itself). Rows of one id and one set count once, null ids are left
+    out, null texts count as empty, and empty sets are alike. An empty table gives no rows.
+
+    - Of two sets of that likeness, the shorter is in a length class between those of the longer and of `threshold` times
+      its length, and among the first signatures of each, n - ceil(threshold * n) + 1 of n, one is common, whatever the
+      order of signatures. They are joined by class and signature, and then compared on whole sets.
+      Two sets can't share more than their common first signatures and what follows the last of these in either, so
+      pairs for which that is too little are not compared.
+    - Signatures are in the order of their values, which are hashes, but the 10,000 most frequent ones of a sample of the
+      sets come last, the most frequent one at the end. That bears on the number of candidates only.
+    """
+    signed = fingerprints(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter("_id is not null"), "_text", "_sigs", chain, anchors)
+    keyed = written(signed.select("_id", F.xxhash64("_sigs").alias("_k1"), F.xxhash64(F.lit(1), "_sigs").alias("_k2"), "_sigs"), "signed")
+    sets = keyed.groupBy("_k1", "_k2").agg(F.min("_id").alias("_name"), F.count("*").alias("_rows"), F.first("_sigs").alias("_sigs"))
+    sets = written(sets.select("*", F.size("_sigs").alias("_n"), F.monotonically_increasing_id().alias("_set")), "sets")
+
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("_salt")
+    shared = sets.filter("_rows > 1").select("_k1", "_k2", "_name", salts)
+    same = keyed.select("_id", "_k1", "_k2", F.pmod(F.xxhash64("_id"), F.lit(64)).alias("_salt")).join(shared, ["_k1", "_k2", "_salt"]).filter("_id <> _name")
+    same = same.select(F.col("_name").alias("first_id"), F.col("_id").alias("second_id"), F.lit(1.0).alias("likeness")).distinct()
+
+    sample = sets.filter(F.pmod("_k1", F.lit(8)) == 0).select(F.explode("_sigs").alias("_sig")).groupBy("_sig").count()
+    often = sample.filter("count > 1").orderBy(F.desc("count"), "_sig").limit(10_000)
+    common = often.agg(F.array_sort(F.collect_list(F.struct("count", "_sig")))["_sig"].alias("_common"))
+    least = F.greatest(F.ceil(F.col("_n") * threshold - 1e-9), F.lit(1)).cast("int")
+    ordered = sets.filter("_n > 0").crossJoin(F.broadcast(common)).withColumn("_ordered", F.concat(F.array_except("_sigs", "_common"), F.array_intersect("_common", "_sigs")))
+    first = ordered.select("_set", "_n", least.alias("_least"), F.posexplode(F.slice("_ordered", F.lit(1), F.col("_n") - least + 1)).alias("_at", "_sig"))
+    short = first.select(F.col("_set").alias("_a"), F.col("_n").alias("_na"), F.col("_at").alias("_ia"), "_sig", length_class(F.col("_n"), threshold).alias("_class"))
+    classes = F.sequence(length_class(F.col("_least"), threshold), length_class(F.col("_n"), threshold))
+    long = first.select(F.col("_set").alias("_b"), F.col("_n").alias("_nb"), F.col("_at").alias("_ib"), "_sig", F.explode(classes).alias("_class"))
+    ahead = (F.col("_na") < F.col("_nb")) | ((F.col("_na") == F.col("_nb")) & (F.col("_a") < F.col("_b")))
+    found = short.join(long, ["_class", "_sig"]).filter(ahead & (F.col("_na") >= F.col("_nb") * threshold - 1e-9))
+    found = found.groupBy("_a", "_b", "_na", "_nb").agg(F.count("*").alias("_c"), F.max("_ia").alias("_ia"), F.max("_ib").alias("_ib"))
+    most = F.col("_c") + F.least(F.col("_na") - F.col("_ia"), F.col("_nb") - F.col("_ib")) - 1
+    found = found.filter(most * (1 + threshold) >= (F.col("_na") + F.col("_nb")) * threshold - 1e-9).select("_a", "_b")
+    of = {x: sets.select(F.col("_set").alias(f"_{x}"), F.col("_name").alias(f"_{x}_name"), F.col("_sigs").alias(f"_{x}_sigs")) for x in "ab"}
+    both = found.join(of["a"], "_a").join(of["b"], "_b").withColumn("likeness", jaccard("_a_sigs", "_b_sigs", threshold)).filter(F.col("likeness") >= threshold)
+    return same.unionByName(both.select(F.least("_a_name", "_b_name").alias("first_id"), F.greatest("_a_name", "_b_name").alias("second_id"), "likeness"))
