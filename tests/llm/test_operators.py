@@ -209,6 +209,26 @@ def test_near_duplicates_of_a_large_family(spark):
     assert got == want and len({v[1] for v in want.values()}) > 3
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Texts that share an id don't bridge those that they resemble; one row of each group stays, whatever its id."""
+    one, two = " ".join(prose(60, 301)), " ".join(prose(60, 302))
+    rows = [(1, one, "a"), (2, two, "b"), (7, one, "c"), (7, two, "d"), (7, two, "d"), (8, None, "e"), (8, "", "e"), (None, one, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    got = bag(neardup.near_duplicates(docs).collect())
+    assert got == bag([(1, 56, 1, True), (2, 56, 2, True), (7, 56, 1, False), (7, 56, 2, False), (7, 56, 2, False), (8, 0, 8, True), (8, 0, 8, True), (None, 56, None, True)])
+    left = neardup.one_of_each(docs)
+    assert left.columns == docs.columns and bag(left.collect()) == bag([rows[i] for i in (0, 1, 5, 6, 7)])
+    assert neardup.one_of_each(docs.filter("doc_id = 0")).count() == 0
+
+
+def test_near_duplicates_that_share_a_passage(spark):
+    """Many texts that share most of their words, and yet too few of them: no link, and no list of all their pairs."""
+    passage = prose(60, 8)
+    rows = [(i, " ".join([*passage, *(f"w{i}x{k}" for k in range(20))])) for i in range(400)] + [(900, " ".join([*passage, *(f"w3x{k}" for k in range(19))]))]
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 3 if i == 900 else i for i, _ in rows}
+
+
 def test_language(spark, none):
     r = random.Random(4)
     letters = {"aa": "abcde ", "bb": "fghij ", "cc": "klmnoé "}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import bisect
 from collections import defaultdict
+from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,7 @@ _WORD_BYTES = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", SPANS), T.StructField("item_ids", T.ArrayType(T.StringType()))]
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -126,7 +129,8 @@ def decontaminate(
       shingles, so the rarest one is its prefix and the only one joined; the place of the window then follows, must lie
       inside the document, and is compared word by word.
     - The benchmark is joined in blocks of at most `block_pairs` (window, item) pairs and about `block_bytes`, each
-      broadcast: a larger benchmark makes more blocks, not larger ones.
+      broadcast: a larger benchmark makes more blocks, not larger ones. Each block reads the documents and writes what it
+      finds in which text; the blocks' findings are joined to the documents once.
     - Null and empty texts have no words and are not contaminated; items without words match nothing; an item with a
       null id is called "null". Repeated rows are each returned. Empty tables give empty or clean results.
     - Columns of `docs` named as a result column are replaced.
@@ -136,17 +140,42 @@ def decontaminate(
     n, size = pairs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("window") + 16), F.lit(0))).first()
     blocks = max(1, -(-n // block_pairs), -(-size // block_bytes))
     out = docs.drop("n_words", "hit_spans", "item_ids", "contaminated")
+    texts = out.select("text") if blocks == 1 else out.select(F.xxhash64("text").alias("_k1"), F.xxhash64(F.lit(1), "text").alias("_k2"), "text")
+    found = []
     for block in range(blocks):
         rows = [(bytes(r.window), r.item) for r in pairs.filter(F.pmod(F.xxhash64("window", "item"), F.lit(blocks)) == block).collect()]
         index = WindowIndex(rows, shingle)
-        counted = _shingle_counts(docs.select(F.col("text").cast("binary").alias("_text")), spark.sparkContext.broadcast(index))
-        index.order_by_rarity({r._key & 0xFFFFFFFFFFFFFFFF: r.n for r in counted.collect()}, shingle)
-        out = _matched(out, spark.sparkContext.broadcast(index))
-        if blocks > 1:
-            out = written(out, f"block{block}")
+        asked = spark.sparkContext.broadcast(index)
+        counts = {r._key & 0xFFFFFFFFFFFFFFFF: r.n for r in _shingle_counts(texts.select(F.col("text").cast("binary").alias("_text")), asked).collect()}
+        asked.destroy()
+        index.order_by_rarity(counts, shingle)
+        ready = spark.sparkContext.broadcast(index)
+        if blocks == 1:
+            out = _matched(out, ready)
+        else:
+            found.append(written(_matched(texts, ready, drop=["text", "n_words"]).filter(F.size("hit_spans") > 0).distinct(), f"block{block}"))
+            ready.destroy()
+    if blocks > 1:
+        out = _joined(out, reduce(DataFrame.unionByName, found))
     return out.withColumn("contaminated", F.size("hit_spans") > 0)
 
 
+def _joined(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Add n_words, and of what the blocks found for each text (_k1, _k2, hit_spans, item_ids) the union."""
+    per_text = found.groupBy("_k1", "_k2").agg(F.flatten(F.collect_list("hit_spans")).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    keyed = docs.select("*", F.xxhash64("text").alias("_k1"), F.xxhash64(F.lit(1), "text").alias("_k2")).join(per_text, ["_k1", "_k2"], "left")
+
+    def make():
+        def work(batch):
+            spans = [[(x["start"], x["end"]) for x in own or ()] for own in batch.column("_spans").to_pylist()]
+            n_words = [len(words_of(t.as_py().encode() if t.is_valid else None)) for t in batch.column("text")]
+            return [n_words, [[{"start": a, "end": b} for a, b in merged(x)] for x in spans], [x or [] for x in batch.column("item_ids").to_pylist()]]
+
+        return work
+
+    return with_columns(keyed, FIELDS, make, ["_k1", "_k2", "_spans"])
+
+
 def _shingle_counts(texts: DataFrame, shared) -> DataFrame:
     """How often each benchmark shingle occurs in all documents; at most as many rows as the block has shingles."""
 
@@ -166,9 +195,8 @@ def _shingle_counts(texts: DataFrame, shared) -> DataFrame:
     return texts.mapInArrow(run, "_key long, n long").groupBy("_key").agg(F.sum("n").alias("n"))
 
 
-def _matched(docs: DataFrame, shared) -> DataFrame:
-    """Add one block's matches to n_words, hit_spans and item_ids."""
-    again = "hit_spans" in docs.columns
+def _matched(docs: DataFrame, shared, drop: Sequence[str] = ()) -> DataFrame:
+    """Add n_words, and one block's hit_spans and item_ids."""
 
     def make():
         index = shared.value
@@ -194,13 +222,8 @@ def _matched(docs: DataFrame, shared) -> DataFrame:
                     own = hits.get(i, ([], set()))
                     spans.append(own[0])
                     items.append(own[1])
-            if again:
-                for i, (old, names) in enumerate(zip(batch.column("hit_spans").to_pylist(), batch.column("item_ids").to_pylist(), strict=True)):
-                    spans[i] = spans[i] + [(x["start"], x["end"]) for x in old]
-                    items[i] = items[i] | set(names)
             return [n_words, [[{"start": a, "end": b} for a, b in merged(x)] for x in spans], [sorted(x) for x in items]]
 
         return work
 
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", SPANS), T.StructField("item_ids", T.ArrayType(T.StringType()))]
-    return with_columns(docs, fields, make)
+    return with_columns(docs, FIELDS, make).drop(*drop)

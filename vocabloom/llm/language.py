@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import with_columns
+from .shared import bounded, with_columns, written
 
 BUCKETS = 1 << 15
 ORDERS = 3
@@ -93,7 +93,28 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def _ftrl(model: Model, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int, alpha: float, beta: float, l1: float, l2: float) -> None:
+class Rows:
+    """Labelled feature rows as bytes, two for each bucket's number and four for its count; a row is taken apart when it is read."""
+
+    def __init__(self, rows: pa.ChunkedArray, labels: list[int], model: Model) -> None:
+        self.rows, self.labels, self.model = rows, labels, model
+
+    def __len__(self) -> int:
+        return len(self.labels)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        raw = self.rows[i].as_buffer()
+        n = raw.size // 6
+        at = np.frombuffer(raw, "<u2", n).astype(np.int64)
+        return at, self.model.scaled(at, np.frombuffer(raw, "<u4", n, 2 * n))
+
+
+def packed(counts: np.ndarray | None) -> bytes:
+    at = np.zeros(0, int) if counts is None else np.flatnonzero(counts)
+    return at.astype("<u2").tobytes() + (b"" if counts is None else counts[at].astype("<u4").tobytes())
+
+
+def _ftrl(model: Model, rows: Rows, epochs: int, alpha: float, beta: float, l1: float, l2: float) -> None:
     """Follow-the-regularised-leader (proximal) with elastic-net penalties; sets the weights and the bias."""
     k = len(model.langs)
     z, n = np.zeros((k, BUCKETS + 1)), np.zeros((k, BUCKETS + 1))
@@ -103,13 +124,13 @@ def _ftrl(model: Model, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.nd
         return np.where(np.abs(zs) > l1, (np.sign(zs) * l1 - zs) / ((beta + np.sqrt(ns)) / alpha + l2), 0.0)
 
     for _ in range(epochs):
-        for i in order.permutation(len(rows)):
+        for i in order.permutation(len(rows)).tolist():
             at, x = rows[i]
             at, x = np.append(at, BUCKETS), np.append(x, 1.0)
             zs, ns = z[:, at], n[:, at]
             w = weights(zs, ns)
             p = _softmax(w @ x)
-            p[labels[i]] -= 1
+            p[rows.labels[i]] -= 1
             g = p[:, None] * x
             squares = ns + g * g
             z[:, at] = zs + g - (np.sqrt(squares) - np.sqrt(ns)) / alpha * w
@@ -118,16 +139,16 @@ def _ftrl(model: Model, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.nd
     model.weights, model.bias = whole[:, :-1], whole[:, -1]
 
 
-def _calibrate(model: Model, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> None:
+def _calibrate(model: Model, rows: Rows) -> None:
     """The temperature with the least log loss, by golden-section search over its logarithm."""
-    if not rows:
+    if not len(rows):
         return
-    logits = np.array([model.logits(*r) for r in rows])
+    logits = np.array([model.logits(*rows[i]) for i in range(len(rows))])
 
     def loss(log_t: float) -> float:
         x = logits / np.exp(log_t)
         x -= x.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(x).sum(axis=1)) - x[np.arange(len(x)), labels]).mean())
+        return float((np.log(np.exp(x).sum(axis=1)) - x[np.arange(len(x)), rows.labels]).mean())
 
     low, high, ratio = -3.0, 3.0, (5**0.5 - 1) / 2
     for _ in range(40):
@@ -136,11 +157,23 @@ def _calibrate(model: Model, rows: list[tuple[np.ndarray, np.ndarray]], labels:
     model.temperature = float(np.exp((low + high) / 2))
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = 1_500, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02) -> Model:
+def train(
+    labelled: DataFrame,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    per_lang: int = 1_500,
+    epochs: int = 3,
+    alpha: float = 0.5,
+    beta: float = 1.0,
+    l1: float = 0.02,
+    l2: float = 0.02,
+    most_bytes: int = 48 << 20,
+) -> Model:
     """Fit a model. Rows without text, letter or language are left out; an empty table gives a model without languages.
 
     Document frequencies are counted over all labelled rows. The regression is fitted on a sample of about `per_lang` rows
-    of each language, chosen by a hash of the text; a fifth of it, chosen alike, sets the temperature instead.
+    of each language, chosen by a hash of the text, and fewer of each if their features have more than `most_bytes` (six
+    bytes for each n-gram of a row); a fifth of it, chosen alike, sets the temperature instead.
     """
     rows = labelled.select(F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang")).dropna()
     counts = {r._lang: r["count"] for r in rows.groupBy("_lang").count().collect()}  # a row for each language
@@ -150,30 +183,19 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
     frequencies = document_frequencies(rows.select("_text"))
     idf = np.log((1 + frequencies[-1]) / (1 + frequencies[:-1])) + 1
     shares = F.create_map(*(F.lit(x) for lang in langs for x in (lang, min(1.0, per_lang / counts[lang]))))
-    sample = rows.filter(F.pmod(F.xxhash64("_text"), F.lit(1 << 30)) / (1 << 30) < shares[F.col("_lang")])
 
     def features():
-        def work(batch):
-            out = []
-            for text in batch.column("_text"):
-                found = ngram_counts(text.as_py())
-                at = np.zeros(0, int) if found is None else np.flatnonzero(found)
-                out.append(at.astype("<u2").tobytes() + (b"" if found is None else np.minimum(found[at], 65535).astype("<u2").tobytes()))
-            return [out]
-
-        return work
+        return lambda batch: [[packed(ngram_counts(text.as_py())) for text in batch.column("_text")]]
 
-    chosen = sample.withColumn("_rest", F.pmod(F.xxhash64("_text", F.lit(1)), F.lit(5)) == 0)
-    got = with_columns(chosen, [T.StructField("_row", T.BinaryType())], features, ["_text"]).orderBy("_lang", "_row").toArrow()
+    unit = F.pmod(F.xxhash64("_text"), F.lit(1 << 30)) / (1 << 30) / shares[F.col("_lang")]
+    sample = rows.withColumns({"_unit": unit, "_rest": F.pmod(F.xxhash64("_text", F.lit(1)), F.lit(5)) == 0}).filter("_unit < 1")
+    made = bounded(written(with_columns(sample, [T.StructField("_row", T.BinaryType())], features, ["_text"]), "ngrams").filter(F.octet_length("_row") > 0), most_bytes)
     model = Model(langs, idf, np.zeros((len(langs), BUCKETS)), np.zeros(len(langs)), 1.0)
-    parts: dict[bool, tuple[list, list]] = {True: ([], []), False: ([], [])}
-    for lang, rest, row in zip(*(got.column(c).to_pylist() for c in ("_lang", "_rest", "_row")), strict=True):
-        at, n = np.frombuffer(row, "<u2").astype(np.int64).reshape(2, -1)
-        if len(at):
-            parts[rest][0].append((at, model.scaled(at, n)))
-            parts[rest][1].append(langs.index(lang))
-    _ftrl(model, parts[False][0], np.array(parts[False][1]), epochs, alpha, beta, l1, l2)
-    _calibrate(model, parts[True][0], np.array(parts[True][1]))
+    got = made.select("_lang", "_rest", "_row").orderBy("_lang", "_row").toArrow()
+    rest, labels = (np.array(x) for x in (got.column("_rest").to_pylist(), [langs.index(x) for x in got.column("_lang").to_pylist()]))
+    learned, held = (Rows(got.column("_row").take(pa.array(at)), labels[at].tolist(), model) for at in (np.flatnonzero(~rest.astype(bool)), np.flatnonzero(rest.astype(bool))))
+    _ftrl(model, learned, epochs, alpha, beta, l1, l2)
+    _calibrate(model, held)
     return model
 
 

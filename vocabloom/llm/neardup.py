@@ -6,11 +6,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import HEAVY_SHARE, flagged, slices, with_columns, written
+from .shared import HEAVY_SHARE, counted, flagged, looked_up, row_keys, slices, with_columns, written
 
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _SHIFT = np.uint64(32)
@@ -18,6 +18,8 @@ _LOWER = bytes(range(256)).lower()
 _KEPT_WORDS = 300_000
 #: Counts by which shingles are put in order; more shingles share counts, no more counts are kept.
 RARITY = 1 << 17
+#: A pair of sets is left out at a shingle if they share one of so many before it.
+LOOK_BACK = 12
 
 
 class WordHashes(dict):
@@ -77,7 +79,7 @@ def half_keys(sets: list[np.ndarray], rows: int, collections: int) -> np.ndarray
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, rows: int, collections: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash (of the whole set; null for an empty one), keys (2 * collections)."""
+    """doc_id, _k2 (a hash of the text), n_shingles, _set (a hash of the whole set; null for an empty one), _keys (2 * collections)."""
 
     def make():
         from xxhash import xxh3_128_digest
@@ -96,7 +98,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, rows: in
         return work
 
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField("_set", T.BinaryType()), T.StructField("_keys", T.ArrayType(T.LongType()))]
-    return with_columns(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")), fields, make, ["_text"])
+    return with_columns(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("_k2"), F.col(text_col).alias("_text")), fields, make, ["_text"])
 
 
 def collisions(classes: DataFrame, collections: int) -> DataFrame:
@@ -104,9 +106,9 @@ def collisions(classes: DataFrame, collections: int) -> DataFrame:
 
     Only keys that a class shares with another are paired, as a pair of keys cannot be shared otherwise.
     """
-    halves = written(classes.select("_id", "n_shingles", F.posexplode("_keys").alias("_at", "_key")), "halves")
+    halves, n = counted(classes.select("_id", "n_shingles", F.posexplode("_keys").alias("_at", "_key")), "halves")
     shared_halves = written(halves.groupBy("_at", "_key").count().filter("count > 1"), "shared_halves")
-    both = flagged(halves, shared_halves, ["_at", "_key"], halves.count()).filter("_hit")
+    both = flagged(halves, shared_halves, ["_at", "_key"], n).filter("_hit")
     sides = both.groupBy("_id").agg(F.collect_list(F.when(F.col("_at") < collections, F.struct("_at", "_key"))).alias("_left"), F.collect_list(F.when(F.col("_at") >= collections, F.struct("_at", "_key"))).alias("_right"), F.first("n_shingles").alias("_size"))
     pairs = sides.select("_id", "_size", F.explode("_left").alias("_l"), "_right").select("_id", "_size", "_l", F.explode("_right").alias("_r"))
     return written(pairs.select(F.xxhash64("_l._at", "_l._key", "_r._at", "_r._key").alias("_table"), "_id", "_size"), "tables")
@@ -117,20 +119,21 @@ def _possible(a: str, b: str, percent: int):
     return F.expr(f"100L * least({a}, {b}) >= {percent} * greatest({a}, {b})")
 
 
-def texts_of(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _text) of some ids, one row each. Both sides grow with the corpus, so neither is broadcast at any size."""
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return written(texts.join(nodes.select("_id").distinct().hint("merge"), "_id").dropDuplicates(["_id"]), "texts")
+def texts_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _text) of some classes, one row each: the text of the row that stands for it. Both sides grow with the corpus, so neither is broadcast at any size."""
+    texts = docs.select(F.col(id_col).cast("long").alias("_name"), F.xxhash64(text_col).alias("_k2"), F.col(text_col).alias("_text"))
+    wanted = classes.select("_id", "_name", "_k2").join(nodes.select("_id").distinct().hint("merge"), "_id")
+    return written(texts.join(wanted.hint("merge"), ["_name", "_k2"]).select("_id", "_text").dropDuplicates(["_id"]), "texts")
 
 
-def verified(edges: DataFrame, texts: DataFrame, width: int, percent: int, per_task: int = 500) -> DataFrame:
+def verified(edges: DataFrame, texts: DataFrame, width: int, percent: int, per_task: int = 64) -> DataFrame:
     """The (_id, _pivot) edges whose whole shingle sets are alike enough.
 
     A pivot with many edges (over `per_task`, and at least 1 / HEAVY_SHARE of all) is dealt to several tasks, each of
     about `per_task` texts and the pivot's. Texts pass through a task one by one.
     """
-    edges = written(edges, "edges")
-    bar = max(per_task, edges.count() / HEAVY_SHARE)
+    edges, n = counted(edges, "edges")
+    bar = max(per_task, n / HEAVY_SHARE)
     degrees = edges.groupBy("_pivot").count().withColumn("_parts", F.when(F.col("count") > bar, F.ceil(F.col("count") / per_task).cast("int")).otherwise(1))
     heavy = F.broadcast(degrees.filter("_parts > 1").select("_pivot", "_parts"))  # at most HEAVY_SHARE rows
     dealt = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int")).otherwise(0)
@@ -156,12 +159,14 @@ def verified(edges: DataFrame, texts: DataFrame, width: int, percent: int, per_t
     return written(rows.repartition("_pivot", "_part").sortWithinPartitions("_pivot", "_part", "_role").mapInArrow(check, "_id long, _pivot long"), "links")
 
 
-def prefix_pairs(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def prefix_pairs(nodes: DataFrame, texts: DataFrame, width: int, percent: int, per_task: int = 500) -> DataFrame:
     """Pairs (_id, _pivot) of nodes (_id, _root) of different roots that can be alike enough; none that is can be missing.
 
-    All sets are put in one order, rarest shingles first by a table of RARITY counts. Of sets alike enough, the first
-    n - ceil(n * percent / 100) + 1 of one and of the other share a shingle; sizes and the places of the first such shingle
-    bound the rest.
+    All sets are put in one order, rarest shingles first by a table of RARITY counts. Of two sets alike enough, what they
+    share is at least percent / (100 + percent) of both sizes together, so the first shingle that they share is among the
+    first n - ceil(n * 2 * percent / (100 + percent)) + 1 of the smaller, n being its size, and among the first
+    n - ceil(n * percent / 100) + 1 of the larger; sizes and the places of that shingle bound the rest. A shingle with many
+    smaller sets, over `per_task`, has them dealt to several tasks, and the larger ones sent to each of those.
     """
     texts = written(texts.join(nodes.hint("merge"), "_id").select("_id", "_root", "_text"), "undecided")
 
@@ -195,43 +200,82 @@ def prefix_pairs(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -
         return work
 
     fields = [T.StructField("_size", T.LongType()), T.StructField("_tokens", T.ArrayType(T.LongType()))]
-    tokens = written(with_columns(texts, fields, make, ["_text"]).select("_id", "_root", "_size", F.posexplode("_tokens").alias("_at", "_token")), "prefixes")
-    a, b = tokens.alias("a"), tokens.alias("b")
+    listed = with_columns(texts, fields, make, ["_text"]).select("_id", "_root", "_size", "_tokens", F.posexplode("_tokens").alias("_at", "_token"))
+    before = F.slice("_tokens", F.greatest(F.col("_at") + 1 - LOOK_BACK, F.lit(1)), F.least(F.col("_at"), F.lit(LOOK_BACK)))
+    tokens = written(listed.select("_id", "_root", "_size", "_at", "_token", before.alias("_before")), "prefixes")
+    own = F.expr(f"_at <= _size - CAST(ceil(_size * {2 * percent}L / {100 + percent}) AS BIGINT)")
+    counts = written(tokens.groupBy("_token").agg(F.count_if(own).alias("_small"), F.count("*").alias("count")).filter("count > 1 and _small > 0").select("_token", F.ceil(F.col("_small") / per_task).cast("int").alias("_parts"), "count"), "tokens")
+    b = looked_up(tokens.filter(own), counts, ["_token"], ["_parts"]).withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int")).alias("b")
+    a = looked_up(tokens, counts, ["_token"], ["_parts"]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).alias("a")
     most = "least(a._size - a._at, b._size - b._at)"  # shingles that both can have, if this is the first common one
     alike = F.expr(f"100L * ({most}) >= {percent} * (a._size + b._size - ({most}))")
-    met = a.join(b, F.expr("a._token = b._token and a._id > b._id and a._root <> b._root")).filter(_possible("a._size", "b._size", percent) & alike)
+    larger = F.expr("a._size > b._size or (a._size = b._size and a._id > b._id)")
+    first = F.expr("not arrays_overlap(a._before, b._before)")  # else the pair is found at that earlier shingle
+    met = a.join(b.hint("merge"), F.expr("a._token = b._token and a._part = b._part and a._root <> b._root")).filter(larger & _possible("a._size", "b._size", percent) & alike & first)
     return met.select(F.col("a._id").alias("_id"), F.col("b._id").alias("_pivot")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(_id, _root): the least id that each id of the (_id, _pivot) edges reaches. Alternates large-star and small-star rounds."""
+def components(edges: DataFrame, much: int = 50_000) -> DataFrame:
+    """(_id, _root): the least id that each id of the (_id, _pivot) edges reaches. Alternates large-star and small-star rounds.
 
-    def star(e: DataFrame, large: bool, name: str) -> DataFrame:
+    The number of edges never grows. Ends with more than `much` edges, and at least 1 / HEAVY_SHARE of all, are looked up by
+    broadcast; with fewer edges in all there are none.
+    """
+
+    def star(e: DataFrame, large: bool, name: str) -> tuple[DataFrame, tuple]:
         ends = e.select(F.greatest("_a", "_b").alias("_u"), F.least("_a", "_b").alias("_v"))
         if large:
             ends = ends.unionByName(ends.select(F.col("_v").alias("_u"), F.col("_u").alias("_v")))
         least = ends.groupBy("_u").agg(F.least(F.col("_u"), F.min("_v")).alias("_m"), F.count("*").alias("count"))
-        n = F.col("_u"), F.col("_v"), F.col("_m")
-        bar = max(50_000, e.count() / HEAVY_SHARE)
-        heavy = F.broadcast(least.filter(F.col("count") >= bar).select("_u", "_m"))  # at most 2 * HEAVY_SHARE rows
-        light = least.filter(F.col("count") < bar).select("_u", "_m")
-        tagged = ends.join(heavy, "_u", "left")
-        both = tagged.filter("_m is not null").select(*n).unionByName(tagged.filter("_m is null").drop("_m").join(light, "_u").select(*n))
+        both = looked_up(ends, least, ["_u"], ["_m"], bar) if n > much else ends.join(least, "_u")
         new = both.filter("_v > _u" if large else "true").select(F.col("_v").alias("_a"), F.col("_m").alias("_b"))
         if not large:
             new = new.unionByName(least.select(F.col("_u").alias("_a"), F.col("_m").alias("_b")))
-        return written(new.filter("_a <> _b").distinct(), name)
+        seen = Observation()
+        sums = F.count("*").alias("n"), F.bit_xor(F.xxhash64("_a", "_b")).alias("x"), F.sum(F.pmod(F.xxhash64("_b", "_a"), F.lit(1 << 31))).alias("s")
+        made = written(new.filter("_a <> _b").distinct().observe(seen, *sums), name)
+        return made, tuple(seen.get[k] for k in "nxs")
 
-    edges = written(edges.filter("_id <> _pivot").select(F.greatest("_id", "_pivot").alias("_a"), F.least("_id", "_pivot").alias("_b")).distinct(), "graph")
-    mark = None
+    edges, n = counted(edges.filter("_id <> _pivot").select(F.greatest("_id", "_pivot").alias("_a"), F.least("_id", "_pivot").alias("_b")).distinct(), "graph")
+    bar, mark = max(much, n / HEAVY_SHARE), None
     while True:
-        edges = star(star(edges, True, "large"), False, "small")
-        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("_a", "_b")), F.sum(F.pmod(F.xxhash64("_b", "_a"), F.lit(1 << 31)))).first())
+        edges, now = star(star(edges, True, "large")[0], False, "small")
         if now == mark or not now[0]:
             return edges.select(F.col("_a").alias("_id"), F.col("_b").alias("_root"))
         mark = now
 
 
+def grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, rows: int, collections: int) -> DataFrame:
+    """doc_id, _k2, n_shingles and _group of each row: rows with one group hold near-duplicates; null for empty sets and null ids.
+
+    A node is a set of shingles, so rows that share an id but not a set are nodes of their own.
+    """
+    signs = written(signatures(docs, id_col, text_col, width, rows, collections), "signatures")
+    stands = F.min(F.struct(F.col("doc_id").alias("_name"), "_k2"))
+    classes = signs.filter("_set is not null and doc_id is not null").groupBy("_set").agg(stands.alias("_one"), F.first("n_shingles").alias("n_shingles"), F.first("_keys").alias("_keys"), F.count("*").alias("count"))
+    classes = written(classes.select("_set", F.monotonically_increasing_id().alias("_id"), "_one.*", "n_shingles", "_keys", "count"), "classes")
+    tables = collisions(classes, collections)
+    keys = written(tables.groupBy("_table").agg(F.min(F.struct("_id", "_size")).alias("_first"), F.count("*").alias("count")).filter("count > 1").select("_table", F.col("_first._id").alias("_pivot"), F.col("_first._size").alias("_p_size")), "keys")
+    met = written(tables.join(keys, "_table"), "met")
+    stars = met.filter("_id <> _pivot").filter(_possible("_size", "_p_size", percent)).select("_id", "_pivot").distinct()
+    texts = texts_of(met, classes, docs, id_col, text_col)
+    links = verified(stars, texts, width, percent)
+    roots = components(links)
+
+    own = F.coalesce("_root", "_id")
+    placed = met.select("_table", "_id").join(roots, "_id", "left").withColumn("_root", own)
+    split = placed.groupBy("_table").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high")).filter("_low <> _high").select("_table")
+    undecided = placed.join(split, "_table").select("_id", "_root").distinct()
+    more = verified(prefix_pairs(undecided, texts, width, percent), texts, width, percent)
+
+    roots = components(links.unionByName(more))
+    groups = written(classes.select("_set", "_id", "count").join(roots, "_id", "left").select("_set", "count", own.alias("_group")), "groups")
+    with_set = signs.filter("_set is not null and doc_id is not null")
+    placed = looked_up(with_set, groups, ["_set"], ["_group"]).select("doc_id", "_k2", "n_shingles", "_group")
+    rest = signs.filter("_set is null or doc_id is null").select("doc_id", "_k2", "n_shingles", F.lit(None).cast("long").alias("_group"))
+    return written(placed.unionByName(rest), "grouped")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -248,35 +292,32 @@ def near_duplicates(
     - Tensored banding: 2 * `collections` keys of `rows` minhashes each are computed, in a left and a right half, and
       the collections**2 tables are keyed by a left and a right key together. A pair of likeness s shares no table with
       probability 1 - (1 - (1 - s**rows)**collections)**2: below 1e-4 at 0.75, 1e-5 at 0.81.
-    - Documents with equal shingle sets are one class, which the least id stands for. In each table the classes with one
-      key are linked to the least of them, checked on full sets. Where a key still holds several components, its
-      documents are joined once more across components by an exact prefix filter, and the pairs are checked: every pair
-      that shares a key is decided or already connected, without listing the pairs of a key.
-    - Empty sets link with nothing. Rows that share an id are one document; if their texts differ, one of them is compared. A row with a null id is kept alone, with a
-      null component_id. An empty table gives an empty result. Columns of `docs` other than the two are not used.
+    - Documents with equal shingle sets are one class. In each table the classes with one key are linked to the least of
+      them, checked on full sets. Where a key still holds several components, its documents are joined once more across
+      components by an exact prefix filter, and the pairs are checked: every pair that shares a key is decided or already
+      connected, without listing the pairs of a key.
+    - Empty sets link with nothing. Each row is returned; rows that share an id but not a text are compared each, and
+      don't link each other's texts. A row with a null id is kept alone, with a null component_id. An empty table gives
+      an empty result. Columns of `docs` other than the two are not used.
     """
-    signs = written(signatures(docs, id_col, text_col, width, rows, collections), "signatures")
-    classes = written(signs.filter("_set is not null and doc_id is not null").groupBy("_set").agg(F.min("doc_id").alias("_id"), F.first("n_shingles").alias("n_shingles"), F.first("_keys").alias("_keys")), "classes")
-    tables = collisions(classes, collections)
-    keys = written(tables.groupBy("_table").agg(F.min(F.struct("_id", "_size")).alias("_first"), F.count("*").alias("count")).filter("count > 1").select("_table", F.col("_first._id").alias("_pivot"), F.col("_first._size").alias("_p_size")), "keys")
-    met = written(tables.join(keys, "_table"), "met")
-    stars = met.filter("_id <> _pivot").filter(_possible("_size", "_p_size", percent)).select("_id", "_pivot").distinct()
-    texts = texts_of(met.select("_id"), docs, id_col, text_col)
-    links = verified(stars, texts, width, percent)
-    roots = components(links)
+    found = grouped(docs, id_col, text_col, width, percent, rows, collections)
+    least = written(found.filter("_group is not null").groupBy("_group").agg(F.min("doc_id").alias("_least"), F.count("*").alias("count")), "least")
+    named = looked_up(found.filter("_group is not null"), least, ["_group"], ["_least"]).select("doc_id", "n_shingles", "_least")
+    alone = found.filter("_group is null").select("doc_id", "n_shingles", F.col("doc_id").alias("_least"))
+    out = named.unionByName(alone)
+    return out.select("doc_id", "n_shingles", F.col("_least").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("_least"), F.lit(True)).alias("kept"))
 
-    own = F.coalesce("_root", "_id")
-    placed = met.select("_table", "_id").join(roots, "_id", "left").withColumn("_root", own)
-    split = placed.groupBy("_table").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high")).filter("_low <> _high").select("_table")
-    undecided = placed.join(split, "_table").select("_id", "_root").distinct()
-    more = verified(prefix_pairs(undecided, texts, width, percent), texts, width, percent)
 
-    with_id = signs.filter("doc_id is not null")
-    member = with_id.filter("_set is not null").join(classes.select("_set", "_id"), "_set").select("doc_id", "_id")
-    several = member.groupBy("doc_id").agg(F.min("_id").alias("_low"), F.collect_set("_id").alias("_ids")).filter(F.size("_ids") > 1)
-    same_id = several.select(F.explode("_ids").alias("_id"), F.col("_low").alias("_pivot"))
-    roots = components(links.unionByName(more).unionByName(same_id))
-    groups = member.groupBy("doc_id").agg(F.min("_id").alias("_id")).join(roots, "_id", "left").select("doc_id", own.alias("_root"))
-    out = with_id.select("doc_id", "n_shingles").join(groups, "doc_id", "left").unionByName(signs.filter("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("_root")))
-    component = F.coalesce("_root", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, rows: int = 2, collections: int = 12) -> DataFrame:
+    """`docs` with one row of each group of near-duplicates: that with the least id, then with the least hash of its text.
+
+    Rows without words or id are in no group and stay. Columns of `docs` named _k1 or _k2 aren't allowed.
+    """
+    found = grouped(docs, id_col, text_col, width, percent, rows, collections)
+    chosen = found.filter("_group is not null").groupBy("_group").agg(F.min(F.struct("doc_id", "_k2")).alias("_one")).select("_one.*")
+    keys = lambda rows: rows.select(F.coalesce("doc_id", F.lit(-1)).alias("_k1"), "_k2").distinct()
+    keyed = docs.select(*row_keys(id_col, text_col, docs), "*")
+    named = keyed.filter(F.col(id_col).isNotNull()).join(keys(chosen).hint("merge"), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
+    alone = found.filter("_group is null and doc_id is not null")
+    rest = keyed.filter(F.col(id_col).isNotNull()).join(keys(alone).hint("merge"), ["_k1", "_k2"], "left_semi")
+    return named.unionByName(rest).unionByName(keyed.filter(F.col(id_col).isNull())).drop("_k1", "_k2")

@@ -9,11 +9,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import slices, with_columns
+from .shared import bounded, slices, with_columns, written
 
 BUCKETS = 1 << 16
 _KEPT_WORDS = 200_000
@@ -73,12 +74,12 @@ class Model:
     vectors: np.ndarray
     output: np.ndarray
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int, rate: float) -> None:
+    def fit(self, rows: pa.ChunkedArray, labels: list[int], epochs: int, rate: float) -> None:
         """Stochastic gradient descent on the log loss; the rate falls to nothing in a straight line."""
         order, step, steps = np.random.default_rng(8), 0, epochs * len(rows)
         for _ in range(epochs):
-            for i in order.permutation(len(rows)):
-                at, n = rows[i]
+            for i in order.permutation(len(rows)).tolist():
+                at, n = np.frombuffer(rows[i].as_buffer(), "<u4").reshape(2, -1)
                 share = n / n.sum()
                 mean = share @ self.vectors[at]
                 error = _softmax(self.output @ mean)
@@ -150,8 +151,20 @@ class Scorer:
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 2_500, dim: int = 12, epochs: int = 5, rate: float = 0.5) -> Model:
-    """Fit a model on a sample of about `per_label` rows of each label, chosen by a hash of the id.
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    per_label: int = 2_500,
+    dim: int = 12,
+    epochs: int = 5,
+    rate: float = 0.5,
+    most_bytes: int = 64 << 20,
+) -> Model:
+    """Fit a model on a sample of about `per_label` rows of each label, chosen by a hash of the id, and fewer of each if
+    their features have more than `most_bytes` (eight for each bucket of a row).
 
     Ids with several labels take the least; null ids or labels are left out. Without any label the scores are all 0.5.
     """
@@ -161,7 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not counts:
         return model
     share = F.create_map(*(F.lit(x) for label, n in counts.items() for x in (label, min(1.0, per_label / n))))
-    sample = marked.filter(F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(1 << 30)) / (1 << 30) < share[F.col("_label")])
+    unit = F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(1 << 30)) / (1 << 30) / share[F.col("_label")]
+    sample = marked.withColumn("_unit", unit).filter("_unit < 1")
 
     def features():
         def work(batch):
@@ -171,9 +185,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return work
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")  # about 2 * per_label ids
-    got = with_columns(rows, [T.StructField("_row", T.BinaryType())], features, ["_text"]).orderBy("_id", "_row").toArrow()
-    parsed = [tuple(np.frombuffer(r, "<u4").astype(np.int64).reshape(2, -1)) for r in got.column("_row").to_pylist()]
-    model.fit(parsed, got.column("_label").to_pylist(), epochs, rate)
+    made = bounded(written(with_columns(rows, [T.StructField("_row", T.BinaryType())], features, ["_text"]), "features"), most_bytes)
+    got = made.select("_label", "_id", "_row").orderBy("_id", "_row").toArrow()
+    model.fit(got.column("_row"), got.column("_label").to_pylist(), epochs, rate)
     return model
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,10 +19,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary folder where that is unset (local runs and tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local master gets a temporary folder (tests); others get an error."""
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_dir:
         return set_dir.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="spark-"))
     return _own_dir[0]
@@ -35,6 +38,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """`written`, and the number of rows, which is counted while they are written."""
+    seen = Observation()
+    made = written(df.observe(seen, F.count("*").alias("n")), name)
+    return made, seen.get["n"]
+
+
 def row_keys(id_col: str, text_col: str, docs: DataFrame) -> list[Column]:
     """Two longs that tell rows of different id or text apart; equal rows share them. Never null."""
     whole = isinstance(docs.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
@@ -58,6 +68,29 @@ def flagged(left: DataFrame, keys: DataFrame, on: Sequence[str], n_left: int, fl
     return hot.unionByName(cold)
 
 
+def looked_up(left: DataFrame, keys: DataFrame, on: Sequence[str], values: Sequence[str], bar: float | None = None) -> DataFrame:
+    """Inner join of `left` with the `values` of `keys` (a stored table, one row per key, with its number of rows in `left` as `count`).
+
+    Keys with more than `bar` rows, 1 / HEAVY_SHARE of all unless it is given, so at most HEAVY_SHARE of them, are
+    broadcast; the others, of which none has many rows, are joined by shuffle.
+    """
+    bar = keys.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0] / HEAVY_SHARE if bar is None else bar
+    heavy = F.broadcast(keys.filter(F.col("count") > bar).select(*on, *values, F.lit(True).alias("_heavy")))
+    light = keys.filter(F.col("count") <= bar).select(*on, *values)
+    marked = left.join(heavy, list(on), "left")
+    cold = marked.filter("_heavy is null").drop("_heavy", *values).join(light.hint("merge"), list(on))
+    return marked.filter("_heavy").drop("_heavy").unionByName(cold)
+
+
+def bounded(features: DataFrame, most_bytes: int) -> DataFrame:
+    """Rows of features (_row, and _unit from 0 to 1) with the least units, so many that they have about `most_bytes`.
+
+    What a driver reads of a sample is bounded then, however many classes it has and however long its texts are.
+    """
+    total = features.agg(F.coalesce(F.sum(F.octet_length("_row")), F.lit(0))).first()[0]
+    return features if total <= most_bytes else features.filter(F.col("_unit") < most_bytes / total)
+
+
 def slices(texts: pa.Array, most_bytes: int) -> Iterator[tuple[int, list[bytes | None]]]:
     """Consecutive pieces of a text column as UTF-8, each of about `most_bytes` or of one text."""
     start, size, out = 0, 0, []
