@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vocabloom.llm.decontaminate import decontaminate
 from vocabloom.llm.language import held_out, predict, train
 from vocabloom.llm.lines import dedup_lines
-from vocabloom.llm.neardup import near_duplicates
+from vocabloom.llm.neardup import one_of_each
 from vocabloom.llm.packing import pack
 from vocabloom.llm.shared import table, written
 
@@ -17,29 +17,46 @@ from vocabloom.llm.shared import table, written
 LEAST_SCORE = 0.3
 
 
+def hidden(docs: DataFrame, *names: str) -> DataFrame:
+    """Documents whose own columns of these names have other names, which `with_own` undoes."""
+    return docs.withColumnsRenamed({n: f"_own_{n}" for n in names if n in docs.columns})
+
+
+def with_own(docs: DataFrame, made: DataFrame) -> DataFrame:
+    """The columns of `docs` from a result of `hidden` documents."""
+    return made.select(*(F.col(f"_own_{n}" if f"_own_{n}" in made.columns and f"_own_{n}" not in docs.columns else n).alias(n) for n in docs.columns))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: those without a letter go, and those whose best language is hardly likelier than the others."""
+    """Documents in a language: those without a letter go, and those whose best language is hardly likelier than the others.
+
+    Null texts have no letter and go; repeated rows are judged each; with no labelled document nothing is in a language.
+    """
     model = train(docs.filter(~held_out("doc_id")))
-    return predict(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    return with_own(docs, predict(hidden(docs, "lang_pred", "score"), model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that ten or more of them share; n_chars follows the text."""
-    kept = dedup_lines(docs).withColumn("text", F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text")))
+    """All documents, without the lines that ten or more of them share; n_chars follows the text.
+
+    A document that loses all its lines stays, with an empty text; null texts stay null.
+    """
+    kept = dedup_lines(hidden(docs, "n_lines", "n_dropped", "kept_text"))
+    changed = F.col("n_dropped") > 0
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return kept.select(docs.columns)
+        kept = kept.withColumn("n_chars", F.when(changed, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return with_own(docs, kept.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text"))))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the least id; of rows that share an id one stays. Rows without an id stay."""
-    kept = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One document of each group of near-duplicates, that with the least id. Documents without words or without an id stay."""
+    return one_of_each(docs).select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated").select(docs.columns)
+    found = decontaminate(hidden(docs, "n_words", "hit_spans", "item_ids", "contaminated"), table(spark, sf_dir, "benchmark"))
+    return with_own(docs, found.filter("not contaminated"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
