@@ -73,6 +73,16 @@ def test_lines(docs, none):
     assert any(w[2] for w in want) and lines.dedup_lines(none).count() == 0
 
 
+def test_lines_of_repeated_ids(spark):
+    """Ten rows of one id are one document; with nine other documents they are ten."""
+    rows = [(1, "a line\nrest")] * 10 + [(None, "a line")] * 3
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 13 and all(r.n_dropped == 0 for r in got)
+    more = rows + [(i, "A LINE ") for i in range(2, 10)]
+    got = lines.dedup_lines(spark.createDataFrame(more, "doc_id long, text string")).collect()
+    assert len(got) == 21 and all(r.n_dropped == 1 for r in got)
+
+
 def test_decontaminate(spark, docs, none):
     items = [(1, " ".join(BASE[10:30]).upper()), (2, " ".join(PASSAGE[:10])), (3, "one"), (4, None), (5, ""), (None, "Of of of"), (6, " ".join(BASE[10:30]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -138,7 +148,7 @@ def test_encoder_equals_tokenizers():
 
 
 def test_sharding(docs, none):
-    got = sharding.shard(docs, n_shards=4, rows_per_bucket=5).collect()
+    got = sharding.shard(docs, n_shards=4, per_bucket=5).collect()
     assert bag((r.doc_id, r.size, r.text_crc32) for r in got) == bag((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, *_ in ROWS)
     slots = defaultdict(list)
     for r in got:
@@ -150,7 +160,25 @@ def test_sharding(docs, none):
     hot = Counter(r.shard for r in got if source[r.doc_id, r.text_crc32] == "hot")
     assert max(hot.values()) - min(hot.values()) <= 2
     assert sharding.shard(none).count() == 0
-
+    homes = defaultdict(set)
+    for r in got:
+        homes[r.text_crc32, r.size].add(r.shard)
+        assert r.whole
+    assert all(len(x) == 1 for x in homes.values())  # the largest group has three rows, fewer than a quarter of those alone
+
+
+def test_sharding_of_large_groups(spark):
+    """Groups that fit stay whole, a larger one is dealt row by row, and counts stay even."""
+    rows = [(i, "same" if i < 60 else f"twin {i // 2}" if i < 90 else f"own {i}", "s" + str(i % 3)) for i in range(130)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4), n_shards=7, per_bucket=4).collect()
+    counts = Counter(r.shard for r in got)
+    assert len(got) == 130 and sorted(counts) == list(range(7)) and set(counts.values()) <= {18, 19}
+    assert all(sorted(r.slot for r in got if r.shard == k) == list(range(n)) for k, n in counts.items())
+    text, homes = {i: t for i, t, _ in rows}, defaultdict(set)
+    for r in got:
+        homes[text[r.doc_id]].add(r.shard)
+        assert r.whole == (text[r.doc_id] != "same")
+    assert len(homes["same"]) == 7 and all(len(x) == 1 for t, x in homes.items() if t != "same")
 
 def test_substrings(docs, none):
     seen = Counter()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import flagged, row_keys, with_columns, written
+from .shared import counted, flagged, row_keys, with_columns, written
 
 _EDGE = b" \t\n\x0b\x0c\r"
 
@@ -24,8 +24,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     - The lines of each document are exploded, normalised and hashed (128 bits); a document counts once for each hash.
     - A null or empty text is one empty line. Keys shorter than `min_chars` code points never go.
-    - Every input row is a document: repeated rows count as often as they occur, and each is returned.
-    - Null ids are allowed. Columns of `docs` named as a result column are replaced; other columns pass through.
+    - Rows of one id are one document when documents are counted, and so are all rows without an id; each row is returned.
+    - Columns of `docs` named as a result column are replaced; other columns pass through.
     - An empty table gives an empty result.
     """
     docs = docs.drop("n_lines", "n_dropped", "kept_text")
@@ -44,9 +44,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return work
 
     texts = keyed.select("_k1", "_k2", F.col(text_col).cast("binary").alias("_text"))
-    pairs = written(with_columns(texts, [T.StructField("_h", T.ArrayType(T.BinaryType()))], hashes, ["_text"]).select("_k1", "_k2", F.explode("_h").alias("_h")), "lines")
+    pairs, n = counted(with_columns(texts, [T.StructField("_h", T.ArrayType(T.BinaryType()))], hashes, ["_text"]).select("_k1", "_k2", F.explode("_h").alias("_h")), "lines")
     common = written(pairs.groupBy("_h").count().filter(F.col("count") >= min_docs), "common")
-    doomed = flagged(pairs, common, ["_h"], pairs.count()).filter("_hit").groupBy("_k1", "_k2").agg(F.collect_set("_h").alias("_doomed"))
+    hits = flagged(pairs, common, ["_h"], n).filter("_hit").select("_k1", "_k2", "_h")
+    if keyed.groupBy("_k1").count().filter("count > 1").limit(1).count():
+        hits = written(hits, "hits")
+        few = hits.select("_h", "_k1").distinct().groupBy("_h").count().filter(F.col("count") < min_docs)
+        hits = hits.join(few, "_h", "left_anti")
+    doomed = hits.groupBy("_k1", "_k2").agg(F.collect_set("_h").alias("_doomed"))
 
     def kept():
         from xxhash import xxh3_128_digest

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import zlib
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import counted, written
 
 PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 BIN = pa.schema([("bin", pa.int64()), ("fill", pa.int64()), ("pieces", pa.list_(PIECE))])
@@ -108,9 +109,9 @@ def pack(
     - A document is its ids and then `end_id`; only longer ones than `capacity` are cut, the first piece being the short
       one. Null texts count as empty: one token.
     - Round 0 packs each input partition by best-fit decreasing, at most `most_items` items at a time. Bins with at most
-      `slack` free tokens are done. The underfull ones become the items of the next round, in `fan_in` times fewer
-      groups, until one group of at most `most_items` is left, or, with more items than that, until the groups reach
-      that size and have been packed once.
+      `slack` free tokens are done. The underfull ones become the items of the next round, dealt anew to `fan_in` times
+      fewer groups, until one group of at most `most_items` has been packed. With more items than that the groups keep
+      that size, and rounds go on until one no longer lowers the number of sequences.
     - A null id stays null; repeated rows are packed each. An empty table gives no rows. Other columns are not used.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -145,15 +146,15 @@ def pack(
         items = sorted(((b, f, [tuple(p.values()) for p in ps]) for b, f, ps in zip(*columns, strict=True)), key=lambda x: x[0])
         return pa.Table.from_batches([_batch(repacked(items, capacity))])
 
-    while groups > 1:
+    for turn in itertools.count():
         n = under.count()
         least = max(1, -(-n // most_items))
-        last, groups = groups <= least, max(least, groups // fan_in)
-        dealt = under.withColumn("_group", F.pmod(F.xxhash64("bin"), F.lit(groups)))
-        bins = written(dealt.groupBy("_group").applyInArrow(merge, BIN_DDL), f"groups{groups}")
+        groups = max(least, groups // fan_in)
+        dealt = under.withColumn("_group", F.pmod(F.xxhash64("bin", F.lit(turn)), F.lit(groups)))
+        bins, left = counted(dealt.groupBy("_group").applyInArrow(merge, BIN_DDL), f"round{turn + 1}")
         done.append(bins.filter(F.col("fill") >= capacity - slack))
         under = bins.filter(F.col("fill") < capacity - slack)
-        if last:
+        if groups == 1 or (groups == least and left == n):
             break
     whole = under
     for part in done:

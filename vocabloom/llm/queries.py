@@ -99,13 +99,13 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)
 """
 
 _OP3 = f"""
-WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-x AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM d),
-k AS (SELECT doc_id, i, line, {_lower("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM x),
-c AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT r, doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM d),
+k AS (SELECT r, doc_id, i, line, {_lower("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM x),
+c AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), 'null')) >= 10),
 m AS (SELECT k.*, c.key IS NOT NULL AS gone FROM k LEFT JOIN c USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY r, doc_id
 """
 
 
@@ -116,11 +116,23 @@ WITH t AS (SELECT list_transform(range(256), lambda b: list_reduce(list_concat([
 b AS (SELECT doc_id, coalesce(source, 'null') AS source, octet_length(encode(coalesce(text, ''))) + 16 AS size,
   list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM documents),
 c AS (SELECT doc_id, source, size, xor(list_reduce(list_concat([4294967295], bytes), lambda c, x: xor(c >> 8, t.crc[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b, t),
-r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('7:' || doc_id), text_crc32, size) - 1 AS rank, count(*) OVER (PARTITION BY source) AS total FROM c),
-f AS (SELECT *, (rank + CAST(CAST('0x' || substr(md5('7:=' || source), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0) / total AS fraction FROM r),
-p AS (SELECT *, row_number() OVER (ORDER BY fraction, source, rank) - 1 AS place, count(*) OVER () AS n FROM f),
-s AS (SELECT *, CAST(place * 40 // n AS INTEGER) AS shard FROM p)
-SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, shard, CAST(place - (shard * n + 39) // 40 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+x AS (SELECT c.* EXCLUDE (source), coalesce('=' || d.source, 'null') AS source, md5(coalesce(d.text, '')) AS t, md5('7:' || c.doc_id) AS o FROM c JOIN documents d USING (doc_id)),
+g AS (SELECT t, size, count(*) AS k, min(o) AS o, arg_min(source, o) AS source FROM x GROUP BY t, size),
+h AS (SELECT k, sum(k) AS r FROM g GROUP BY k),
+m AS (SELECT coalesce(max(k), 1) AS most FROM h a WHERE k > 1 AND coalesce((SELECT sum(r) FROM h b WHERE b.k > a.k OR b.k = 1), 0) >= k * 40),
+w AS (SELECT * FROM g, m WHERE k > 1 AND k <= most),
+wr AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY o, t, size) - 1 AS rank, count(*) OVER (PARTITION BY source) AS total FROM w),
+wp AS (SELECT *, coalesce(sum(k) OVER (ORDER BY (rank + CAST(CAST('0x' || substr(md5('7:' || source), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0) / total, source, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place, sum(k) OVER () AS heavy FROM wr),
+ws AS (SELECT t, size, k, place, CAST(place * 40 // heavy AS INTEGER) AS shard FROM wp),
+wo AS (SELECT *, place - min(place) OVER (PARTITION BY shard) AS start FROM ws),
+one AS (SELECT x.doc_id, x.size, text_crc32, shard, start + row_number() OVER (PARTITION BY x.t, x.size ORDER BY x.o, x.source, x.doc_id) - 1 AS slot, true AS whole FROM x JOIN wo ON wo.t = x.t AND wo.size = x.size),
+e AS (SELECT i, coalesce((SELECT sum(k) FROM ws WHERE shard = i), 0) AS own, sum(((i + 1) * n + 39) // 40 - (i * n + 39) // 40 - coalesce((SELECT sum(k) FROM ws WHERE shard = i), 0)) OVER (ORDER BY i) AS last FROM (SELECT unnest(range(40)) AS i), (SELECT count(*) AS n FROM x)),
+l AS (SELECT x.*, g.k = 1 AS whole FROM x JOIN g ON g.t = x.t AND g.size = x.size, m WHERE g.k = 1 OR g.k > m.most),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY o, t, size) - 1 AS rank, count(*) OVER (PARTITION BY source) AS total FROM l),
+p AS (SELECT *, row_number() OVER (ORDER BY (rank + CAST(CAST('0x' || substr(md5('7:' || source), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0) / total, source, rank) - 1 AS place FROM r),
+s AS (SELECT *, (SELECT count(*) FROM e WHERE last <= place) AS shard FROM p),
+two AS (SELECT s.doc_id, s.size, text_crc32, CAST(s.shard AS INTEGER) AS shard, e.own + place - coalesce(f.last, 0) AS slot, whole FROM s JOIN e ON e.i = s.shard LEFT JOIN e f ON f.i = s.shard - 1)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, shard, CAST(slot AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, whole FROM (SELECT * FROM one UNION ALL SELECT * FROM two)
 """
 
 _OP6 = f"""
