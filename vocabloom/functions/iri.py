@@ -8,13 +8,26 @@ from pyspark.sql import functions as F
 from ..vocabulary import MEDIA_TYPES, WELL_KNOWN_PREFIXES
 
 
+def _tail(iri: Column) -> Column:
+    """What follows the last # or /; the whole without one."""
+    return F.substring_index(F.substring_index(iri, "/", -1), "#", -1)
+
+
 def namespace_part(iri: Column) -> Column:
     """The IRI up to its last # or /, null where nothing follows."""
-    return F.nullif(F.regexp_extract(iri, r"(?s)^(.*[#/])([^#/]+)$", 1), F.lit(""))
+    left = F.length(iri) - F.length(_tail(iri))
+    return F.when((_tail(iri) != "") & (left > 0), F.left(iri, left))
 
 
 def local_part(iri: Column) -> Column:
-    return F.nullif(F.regexp_extract(iri, r"(?s)^(.*[#/])([^#/]+)$", 2), F.lit(""))
+    return F.when((_tail(iri) != "") & (F.length(_tail(iri)) < F.length(iri)), _tail(iri))
+
+
+def folder_of(iri: Column) -> Column:
+    """The longest beginning of an IRI that ends with # or / and is shorter than it; null without one."""
+    head = F.left(iri, F.length(iri) - 1)
+    left = F.length(head) - F.length(_tail(head))
+    return F.when(left > 0, F.left(head, left))
 
 
 def local_name(iri: Column) -> Column:

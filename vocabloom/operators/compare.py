@@ -17,7 +17,9 @@ def _change(rule: str, severity: str | Column, condition: Column, detail: Column
     return F.when(condition, F.struct(F.lit(rule).alias("rule"), kind.alias("severity"), (detail if detail is not None else F.lit("")).alias("detail")))
 
 
-def _exploded(rows: DataFrame, keys: list[str], changes: list[Column]) -> DataFrame:
+def _exploded(rows: DataFrame, keys: list[str], changes: list[tuple], rules: tuple[str, ...]) -> DataFrame:
+    """A row for each change; only those of `rules`, if there are any."""
+    changes = [_change(*x) for x in changes if not rules or x[0] in rules]
     return rows.select(*keys, F.explode(F.array_compact(F.array(*changes))).alias("x")).select(*keys, "x.rule", "x.severity", "x.detail")
 
 
@@ -28,7 +30,7 @@ def _sides(rows: DataFrame, old: str, new: str, keys: list[str]) -> DataFrame:
     return side(old, "o").join(side(new, "n"), keys, "full_outer")
 
 
-def term_changes(m: Model, old: str, new: str) -> DataFrame:
+def term_changes(m: Model, old: str, new: str, rules: tuple[str, ...] = ()) -> DataFrame:
     shown = m.local.select(
         "release",
         "iri",
@@ -48,29 +50,30 @@ def term_changes(m: Model, old: str, new: str) -> DataFrame:
         _sides(shown, old, new, ["iri"]),
         ["iri"],
         [
-            _change("term.removed", "breaking", c("n").isNull()),
-            _change("term.added", "additive", c("o").isNull()),
-            _change("term.kind-changed", "breaking", both & (o("kind") != n("kind")), F.concat_ws(" -> ", o("kind"), n("kind"))),
-            _change("term.deprecated", "additive", both & ~o("deprecated") & n("deprecated"), n("replaced_by")),
-            _change("term.undeprecated", "additive", both & o("deprecated") & ~n("deprecated")),
-            _change("term.relabelled", "editorial", both & (o("label") != n("label")), F.concat_ws(" -> ", o("label"), n("label"))),
-            _change("term.redefined", "editorial", both & (o("definition") != n("definition"))),
-            _change("term.definition-removed", "editorial", both & o("definition").isNotNull() & n("definition").isNull()),
-            _change("term.defined", "additive", both & o("definition").isNull() & n("definition").isNotNull()),
-            _change("term.parent-removed", "breaking", both & (F.size(lost) > 0), F.array_join(lost, " ")),
-            _change("term.parent-added", "additive", both & (F.size(gained) > 0), F.array_join(gained, " ")),
-            _change("term.domain-changed", "breaking", both & (o("domain") != n("domain"))),
-            _change("term.range-changed", "breaking", both & (o("range") != n("range"))),
+            ("term.removed", "breaking", c("n").isNull()),
+            ("term.added", "additive", c("o").isNull()),
+            ("term.kind-changed", "breaking", both & (o("kind") != n("kind")), F.concat_ws(" -> ", o("kind"), n("kind"))),
+            ("term.deprecated", "additive", both & ~o("deprecated") & n("deprecated"), n("replaced_by")),
+            ("term.undeprecated", "additive", both & o("deprecated") & ~n("deprecated")),
+            ("term.relabelled", "editorial", both & (o("label") != n("label")), F.concat_ws(" -> ", o("label"), n("label"))),
+            ("term.redefined", "editorial", both & (o("definition") != n("definition"))),
+            ("term.definition-removed", "editorial", both & o("definition").isNotNull() & n("definition").isNull()),
+            ("term.defined", "additive", both & o("definition").isNull() & n("definition").isNotNull()),
+            ("term.parent-removed", "breaking", both & (F.size(lost) > 0), F.array_join(lost, " ")),
+            ("term.parent-added", "additive", both & (F.size(gained) > 0), F.array_join(gained, " ")),
+            ("term.domain-changed", "breaking", both & (o("domain") != n("domain"))),
+            ("term.range-changed", "breaking", both & (o("range") != n("range"))),
         ],
+        rules,
     )
 
 
-def constraint_changes(m: Model, old: str, new: str) -> DataFrame:
+def constraint_changes(m: Model, old: str, new: str, rules: tuple[str, ...] = ()) -> DataFrame:
     """Constraints on local terms of either release; of several by one shape on one property the last in order counts."""
     local = m.local.filter(c("release").isin(old, new)).select(c("iri").alias("path")).distinct()
-    order = F.struct(~c("required"), "name", "path")
-    fields = F.struct("min_count", "max_count", "datatypes", "cardinality", "required")
-    latest = constraints(m).join(local, "path", "left_semi").groupBy("release", "path", "shape").agg(F.max_by(fields, order).alias("x")).select("release", "path", "shape", "x.*")
+    order = F.struct(~c("required"), "name", "path", "listed")
+    fields = F.struct("min_count", "max_count", "datatypes", "in_scheme", "values", "cardinality", "required")
+    latest = constraints(m).filter("path_kind = 'predicate'").join(local, "path", "left_semi").groupBy("release", "path", "shape").agg(F.max_by(fields, order).alias("x")).select("release", "path", "shape", "x.*")
     both = c("o").isNotNull() & c("n").isNotNull()
     o, n = (lambda f: c(f"o.{f}")), (lambda f: c(f"n.{f}"))
     top = lambda x: F.coalesce(x, F.lit(2**63 - 1))
@@ -81,27 +84,31 @@ def constraint_changes(m: Model, old: str, new: str) -> DataFrame:
         _sides(latest, old, new, ["path", "shape"]),
         ["path", "shape"],
         [
-            _change("constraint.removed", "additive", c("n").isNull()),
-            _change("constraint.added", "breaking", c("o").isNull()),
-            _change("constraint.now-required", "breaking", both & ~o("required") & n("required")),
-            _change("constraint.now-optional", "additive", both & o("required") & ~n("required")),
-            _change("constraint.cardinality-changed", worse(tighter), both & (o("required") == n("required")) & ~o("cardinality").eqNullSafe(n("cardinality"))),
-            _change("constraint.datatype-changed", worse(F.size(n("datatypes")) < F.size(o("datatypes"))), both & (o("datatypes") != n("datatypes"))),
+            ("constraint.removed", "additive", c("n").isNull()),
+            ("constraint.added", "breaking", c("o").isNull()),
+            ("constraint.now-required", "breaking", both & ~o("required") & n("required")),
+            ("constraint.now-optional", "additive", both & o("required") & ~n("required")),
+            ("constraint.cardinality-changed", worse(tighter), both & (o("required") == n("required")) & ~o("cardinality").eqNullSafe(n("cardinality"))),
+            ("constraint.scheme-changed", "breaking", both & (o("in_scheme") != n("in_scheme"))),
+            ("constraint.values-changed", worse(F.size(n("values")) < F.size(o("values"))), both & (o("values") != n("values"))),
+            ("constraint.datatype-changed", worse(F.size(n("datatypes")) < F.size(o("datatypes"))), both & (o("datatypes") != n("datatypes"))),
         ],
+        rules,
     )
 
 
-def document_changes(m: Model, old: str, new: str) -> DataFrame:
+def document_changes(m: Model, old: str, new: str, rules: tuple[str, ...] = ()) -> DataFrame:
     shown = m.documents.select("release", "iri", "version_info")
     both = c("o").isNotNull() & c("n").isNotNull()
     return _exploded(
         _sides(shown, old, new, ["iri"]),
         ["iri"],
         [
-            _change("document.removed", "breaking", c("n").isNull()),
-            _change("document.added", "additive", c("o").isNull()),
-            _change("document.version-changed", "editorial", both & ~c("o.version_info").eqNullSafe(c("n.version_info"))),
+            ("document.removed", "breaking", c("n").isNull()),
+            ("document.added", "additive", c("o").isNull()),
+            ("document.version-changed", "editorial", both & ~c("o.version_info").eqNullSafe(c("n.version_info"))),
         ],
+        rules,
     )
 
 

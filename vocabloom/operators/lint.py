@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import iri as I
 from ..vocabulary import DCTERMS
 from .model import KEY, Model, case_folds
 
@@ -25,10 +24,6 @@ def _subjects(rows: DataFrame) -> DataFrame:
     return rows.select("release", c("iri").alias("subject"))
 
 
-def _parts(m: Model) -> DataFrame:
-    return m.documents.join(m.root, "release").filter("iri <> root")
-
-
 def no_document(m: Model) -> DataFrame:
     return m.quads.select("release").distinct().join(m.document_set, "release", "left_anti").withColumn("subject", F.lit(None).cast("string"))
 
@@ -39,20 +34,44 @@ def prefix_unused(m: Model) -> DataFrame:
 
 def prefix_undeclared(m: Model) -> DataFrame:
     """Namespaces that a file with prefixes uses and others declare; the last prefix by name stands for a namespace."""
-    used = m.quads.join(m.prefixes.select("release", "file").distinct(), ["release", "file"], "left_semi")
-    iris = F.array(F.when(c("s_kind") == "iri", c("s")), c("p"), F.when(c("o_kind") == "iri", c("o")))
-    here = used.select("release", "file", F.explode(iris).alias("iri")).select("release", "file", I.namespace_part(c("iri")).alias("ns")).dropna().distinct()
+    here = m.file_namespaces.filter("not datatype").join(m.prefixes.select("release", "file").distinct(), ["release", "file"], "left_semi").select("release", "file", "ns")
     names = m.prefix_map.groupBy("release", "ns").agg(F.max("prefix").alias("prefix"))
     return here.join(names, ["release", "ns"]).join(m.prefixes.select("release", "file", "prefix"), ["release", "file", "prefix"], "left_anti").select("release", F.concat_ws(" ", "file", "ns").alias("subject"))
 
 
-def has_part_missing(m: Model) -> DataFrame:
-    listed = m.documents.join(m.root.withColumnRenamed("root", "iri"), KEY).select("release", F.explode("has_part").alias("iri"))
-    return _subjects(_parts(m).join(listed, KEY, "left_anti"))
+def empty_document(m: Model) -> DataFrame:
+    return _subjects(m.documents.filter("document_kind = 'Ontology'").join(m.placed.select("release", c("defined_in").alias("iri")), KEY, "left_anti"))
 
 
-def empty_document(m: Model) -> DataFrame:
-    return _subjects(m.documents.filter("document_kind = 'Ontology'").join(m.terms.select("release", c("defined_in").alias("iri")), KEY, "left_anti"))
+def _met(rows: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """(release, subject, rule): a row for each condition that a row meets, in one pass."""
+    hits = F.array_compact(F.array(*(F.when(x, F.lit(rule)) for rule, x in conditions.items())))
+    return rows.select("release", c("iri").alias("subject"), F.explode(hits).alias("rule"))
+
+
+#: Conditions on local terms, and on documents that aren't the root (with the root's parts as root_parts).
+TERM_CONDITIONS: dict[str, Callable[[], Column]] = {
+    "term.no-label": lambda: F.size("labels") == 0,
+    "term.no-definition": lambda: F.size("definitions") == 0,
+    "term.no-is-defined-by": lambda: c("is_defined_by").isNull(),
+    "term.deprecated-without-replacement": lambda: c("deprecated") & (F.size("replaced_by") == 0),
+    "term.untagged-literal": lambda: F.exists(F.concat("labels", "definitions"), lambda v: v["lang"].isNull()),
+}
+PART_CONDITIONS: dict[str, Callable[[], Column]] = {
+    "release.has-part-missing": lambda: ~F.array_contains("root_parts", c("iri")),
+    "release.part-no-is-part-of": lambda: F.size("is_part_of") == 0,
+    "release.part-no-version-iri": lambda: c("version_iri").isNull(),
+    "release.part-no-status": lambda: c("status").isNull(),
+}
+
+
+def term_findings(m: Model, rules: list[str]) -> DataFrame:
+    return _met(m.local, {r: TERM_CONDITIONS[r]() for r in rules})
+
+
+def part_findings(m: Model, rules: list[str]) -> DataFrame:
+    root = m.documents.join(m.root.withColumnRenamed("root", "iri"), KEY).select("release", c("iri").alias("root"), c("has_part").alias("root_parts"))
+    return _met(m.documents.join(root, "release").filter("iri <> root"), {r: PART_CONDITIONS[r]() for r in rules})
 
 
 def header_missing(m: Model) -> DataFrame:
@@ -72,10 +91,6 @@ def duplicate_label(m: Model) -> DataFrame:
     return labels.groupBy("release", "subject").count().filter("count > 1").drop("count")
 
 
-def untagged_literal(m: Model) -> DataFrame:
-    return _subjects(m.local.filter(F.exists(F.concat("labels", "definitions"), lambda v: v["lang"].isNull())))
-
-
 def reserved_path(m: Model) -> DataFrame:
     return _subjects(m.local.join(m.reserved, (m.local["release"] == m.reserved["release"]) & (m.local["namespace"] == m.reserved["ns"]) & (m.local["local_name"] == m.reserved["segment"]), "left_semi"))
 
@@ -97,34 +112,55 @@ def absent_vocabulary(m: Model) -> DataFrame:
     return _root_text(m).select("release", F.explode(named).alias("x")).select("release", "x.name", "x.ns").join(m.prefix_map, ["release", "ns"], "left_anti").select("release", c("name").alias("subject"))
 
 
-#: Rule -> severity and query.
-RULES: dict[str, tuple[str, Callable[[Model], DataFrame]]] = {
-    "release.no-document": ("error", no_document),
-    "release.prefix-unused": ("warning", prefix_unused),
-    "release.prefix-undeclared": ("warning", prefix_undeclared),
-    "release.has-part-missing": ("warning", has_part_missing),
-    "release.part-no-is-part-of": ("warning", lambda m: _subjects(_parts(m).filter(F.size("is_part_of") == 0))),
-    "release.part-no-version-iri": ("warning", lambda m: _subjects(_parts(m).filter("version_iri is null"))),
-    "release.part-no-status": ("warning", lambda m: _subjects(_parts(m).filter("status is null"))),
-    "release.empty-document": ("info", empty_document),
-    "header.missing": ("warning", header_missing),
-    "term.no-label": ("error", lambda m: _subjects(m.local.filter(F.size("labels") == 0))),
-    "term.no-definition": ("error", lambda m: _subjects(m.local.filter(F.size("definitions") == 0))),
-    "term.no-is-defined-by": ("warning", lambda m: _subjects(m.local.filter("is_defined_by is null"))),
-    "term.deprecated-without-replacement": ("warning", lambda m: _subjects(m.local.filter(c("deprecated") & (F.size("replaced_by") == 0)))),
-    "term.duplicate-label": ("warning", duplicate_label),
-    "term.untagged-literal": ("info", untagged_literal),
-    "site.reserved-path-collision": ("error", reserved_path),
-    "site.case-collision": ("warning", lambda m: _subjects(case_folds(m.local))),
-    "text.count-mismatch": ("warning", count_mismatch),
-    "text.mentions-absent-vocab": ("warning", absent_vocabulary),
+# The rules and how serious each is.
+SEVERITY = {
+    "release.no-document": "error",
+    "release.prefix-unused": "warning",
+    "release.prefix-undeclared": "warning",
+    "release.has-part-missing": "warning",
+    "release.part-no-is-part-of": "warning",
+    "release.part-no-version-iri": "warning",
+    "release.part-no-status": "warning",
+    "release.empty-document": "info",
+    "header.missing": "warning",
+    "term.no-label": "error",
+    "term.no-definition": "error",
+    "term.no-is-defined-by": "warning",
+    "term.deprecated-without-replacement": "warning",
+    "term.duplicate-label": "warning",
+    "term.untagged-literal": "info",
+    "site.reserved-path-collision": "error",
+    "site.case-collision": "warning",
+    "text.count-mismatch": "warning",
+    "text.mentions-absent-vocab": "warning",
+}
+#: Rules with a query of their own; the others are conditions.
+SINGLE: dict[str, Callable[[Model], DataFrame]] = {
+    "release.no-document": no_document,
+    "release.prefix-unused": prefix_unused,
+    "release.prefix-undeclared": prefix_undeclared,
+    "release.empty-document": empty_document,
+    "header.missing": header_missing,
+    "term.duplicate-label": duplicate_label,
+    "site.reserved-path-collision": reserved_path,
+    "site.case-collision": lambda m: _subjects(case_folds(m.local)),
+    "text.count-mismatch": count_mismatch,
+    "text.mentions-absent-vocab": absent_vocabulary,
 }
 
 
 def findings(m: Model, select: tuple[str, ...] = (), ignore: tuple[str, ...] = ()) -> DataFrame:
-    """Findings of all rules whose id starts with a selected beginning (any, if none is given) and with no ignored one."""
-    chosen = [r for r in RULES if (not select or r.startswith(select)) and not (ignore and r.startswith(ignore))]
-    return reduce(DataFrame.unionByName, (RULES[r][1](m).withColumns({"rule": F.lit(r), "severity": F.lit(RULES[r][0])}) for r in chosen))
+    """(release, subject, rule, severity) of all rules whose id starts with a selected beginning (any, if none is given) and with no ignored one.
+
+    Terms and documents are read once for all the conditions on them.
+    """
+    chosen = [r for r in SEVERITY if (not select or r.startswith(select)) and not (ignore and r.startswith(ignore))]
+    parts = [SINGLE[r](m).withColumn("rule", F.lit(r)) for r in chosen if r in SINGLE]
+    for conditions, family in ((TERM_CONDITIONS, term_findings), (PART_CONDITIONS, part_findings)):
+        own = [r for r in chosen if r in conditions]
+        parts += [family(m, own)] if own else []
+    severity = F.create_map(*(F.lit(x) for pair in SEVERITY.items() for x in pair))
+    return reduce(DataFrame.unionByName, parts).withColumn("severity", severity[c("rule")])
 
 
 def quality_gate(found: DataFrame) -> DataFrame:

@@ -50,6 +50,7 @@ HEADER_SCALARS = {
     "citation": DCTERMS + "bibliographicCitation",
     "identifier": DCTERMS + "identifier",
 }
+# Header and term fields that are the IRIs of some predicates.
 HEADER_IRIS = {"has_part": DCTERMS + "hasPart", "is_part_of": DCTERMS + "isPartOf", "see_also": RDFS + "seeAlso", "imports": OWL + "imports", "source": DCTERMS + "source"}
 TERM_IRIS = {
     "super_terms": [RDFS + "subClassOf", RDFS + "subPropertyOf"],
@@ -68,6 +69,8 @@ TERM_IRIS = {
     "narrower": [SKOS + "narrower"],
     "related": [SKOS + "related"],
 }
+#: All fields of a term that are sets of IRIs.
+FACT_IRIS = {"types": [TYPE], **TERM_IRIS, "mappings": MAPPING_RELATIONS}
 #: Predicates whose statements a term's shape tables show.
 STRUCTURAL = [SH + x for x in ("property", "targetClass", "targetSubjectsOf", "targetObjectsOf", "targetNode", "closed")]
 KEY = ["release", "iri"]
@@ -92,18 +95,40 @@ def prefixes_of(namespace: Column) -> Column:
     return F.filter(starts, lambda p: (F.length(p) < F.length(namespace)) & p.rlike("[#/]$"))
 
 
-def longest_prefix(rows: DataFrame, key: str, namespaces: DataFrame, out: str) -> DataFrame:
-    """(release, key, out): for each IRI the longest of the namespaces (release, ns) that it starts with and is longer than.
+def _delimited(namespaces: DataFrame) -> DataFrame:
+    return namespaces.filter(c("ns").rlike("[#/]$"))
 
-    Namespaces that end with # or / are looked up by hash join on the IRI's own beginnings. The rest, rare by design, is
-    compared by a range condition on the release.
+
+def _by_length(rows: DataFrame, by: list[str], key: str, namespaces: DataFrame) -> DataFrame:
+    """(by, key, ns): pairs with a namespace that ends with neither # nor /, joined on the beginnings of the lengths that such namespaces have."""
+    odd = namespaces.filter(~c("ns").rlike("[#/]$"))
+    lengths = odd.groupBy(*by).agg(F.collect_set(F.length("ns")).alias("_lengths"))
+    cut = rows.select(*by, key).distinct().join(lengths, by).select(*by, key, F.explode("_lengths").alias("_n")).filter(F.length(key) > c("_n"))
+    return cut.withColumn("ns", F.left(c(key), c("_n"))).drop("_n").join(odd, [*by, "ns"], "left_semi")
+
+
+def under(rows: DataFrame, by: list[str], key: str, namespaces: DataFrame) -> DataFrame:
+    """(by, key, ns): every pair of an IRI and a namespace (by, ns) that it starts with and is longer than."""
+    starts = rows.select(*by, key).distinct().select(*by, key, F.explode(prefixes_of(c(key))).alias("ns"))
+    marked = namespaces.select(*by, "ns").distinct()
+    return starts.join(_delimited(marked), [*by, "ns"]).unionByName(_by_length(rows, by, key, marked))
+
+
+def with_longest_prefix(rows: DataFrame, by: list[str], key: str, namespaces: DataFrame, out: str) -> DataFrame:
+    """`rows` and, as `out`, the longest of the namespaces (by, ns) that the IRI starts with and is longer than.
+
+    Namespaces that end with # or / depend on an IRI's folder only, so they are found for the few distinct folders, by hash
+    join on the folders' own beginnings. The others, rare by design, are found by their lengths.
     """
-    keys = rows.select("release", key).distinct()
-    marked = namespaces.select("release", "ns").distinct()
-    starts = keys.select("release", key, F.explode(prefixes_of(c(key))).alias("ns"))
-    hashed = starts.join(marked.filter(c("ns").rlike("[#/]$")), ["release", "ns"])
-    odd = keys.join(marked.filter(~c("ns").rlike("[#/]$")), "release").filter(F.startswith(c(key), c("ns")) & (F.length(key) > F.length("ns"))).select("release", "ns", key)
-    return hashed.unionByName(odd).groupBy("release", key).agg(F.max_by("ns", F.length("ns")).alias(out))
+    marked = namespaces.select(*by, "ns").distinct()
+    rows = rows.withColumn("_folder", I.folder_of(c(key)))
+    folders = rows.select(*by, "_folder").filter("_folder is not null").distinct()
+    starts = folders.select(*by, "_folder", F.explode(F.concat(prefixes_of(c("_folder")), F.array("_folder"))).alias("ns"))
+    found = starts.join(_delimited(marked), [*by, "ns"]).groupBy(*by, "_folder").agg(F.max_by("ns", F.length("ns")).alias("_near"))
+    odd = _by_length(rows, by, key, marked).groupBy(*by, key).agg(F.max_by("ns", F.length("ns")).alias("_odd"))
+    both = rows.join(found, [*by, "_folder"], "left").join(odd, [*by, key], "left")
+    longer = F.when(F.length("_odd") > F.coalesce(F.length("_near"), F.lit(0)), c("_odd")).otherwise(c("_near"))
+    return both.withColumn(out, longer).drop("_folder", "_near", "_odd")
 
 
 class Model:
@@ -116,6 +141,7 @@ class Model:
         self.quads = keep(quads.withColumns({"s": scoped("s", "s_kind"), "o": scoped("o", "o_kind")}), "quads")
         self.prefixes = prefixes
         self.spark = quads.sparkSession
+        self.made: dict[str, DataFrame] = {}
 
     # lookups
 
@@ -131,7 +157,12 @@ class Model:
     @cached_property
     def file_of(self) -> DataFrame:
         """The first file, by name, that mentions each subject."""
-        return self.quads.groupBy("release", c("s").alias("iri")).agg(F.min("file").alias("file"))
+        return self.mentions.select(*KEY, "file")
+
+    @cached_property
+    def mentions(self) -> DataFrame:
+        """(release, iri, file, s_kind) of each subject."""
+        return self.keep(self.quads.groupBy("release", c("s").alias("iri")).agg(F.min("file").alias("file"), F.min("s_kind").alias("s_kind")), "mentions")
 
     @cached_property
     def prefix_map(self) -> DataFrame:
@@ -143,10 +174,16 @@ class Model:
         """The first prefix by name of each declared namespace."""
         return self.prefix_map.groupBy("release", "ns").agg(F.min("prefix").alias("declared"))
 
+    @cached_property
+    def file_namespaces(self) -> DataFrame:
+        """(release, file, ns, datatype): the namespaces of each file's subjects, predicates and IRI objects, and, marked, of its datatypes."""
+        used = [(F.when(c("s_kind") == "iri", c("s")), False), (c("p"), False), (F.when(c("o_kind") == "iri", c("o")), False), (c("dt"), True)]
+        each = F.array(*(F.struct(I.namespace_part(iri).alias("ns"), F.lit(datatype).alias("datatype")) for iri, datatype in used))
+        return self.keep(self.quads.select("release", "file", F.explode(each).alias("x")).select("release", "file", "x.ns", "x.datatype").filter("ns is not null").distinct(), "file_namespaces")
+
     @cached_property
     def used_namespaces(self) -> DataFrame:
-        used = F.array(F.when(c("s_kind") == "iri", c("s")), c("p"), F.when(c("o_kind") == "iri", c("o")), c("dt"))
-        return self.quads.select("release", F.explode(used).alias("iri")).select("release", I.namespace_part(c("iri")).alias("ns")).dropna().distinct()
+        return self.file_namespaces.select("release", "ns").distinct()
 
     # documents
 
@@ -163,12 +200,14 @@ class Model:
 
     @cached_property
     def file_signals(self) -> DataFrame:
-        typed = F.when((c("p") == TYPE) & (c("o_kind") == "iri"), c("o"))
-        return self.quads.groupBy("release", "file").agg(F.array_sort(F.collect_set(typed)).alias("file_types"), F.array_sort(F.collect_set("p")).alias("file_predicates"))
+        facts = self.quads.select("release", "file", "p", F.when((c("p") == TYPE) & (c("o_kind") == "iri"), c("o")).alias("type")).distinct()
+        return facts.groupBy("release", "file").agg(F.array_sort(F.collect_set("type")).alias("file_types"), F.array_sort(F.collect_set("p")).alias("file_predicates"))
 
     @cached_property
     def document_profiles(self) -> DataFrame:
-        found = self.document_set.join(self.file_of, KEY).join(self.types, KEY).join(self.file_signals, ["release", "file"])
+        types = self.quads.join(self.document_set.withColumnRenamed("iri", "s"), ["release", "s"], "left_semi").filter((c("p") == TYPE) & (c("o_kind") == "iri"))
+        types = types.groupBy("release", c("s").alias("iri")).agg(F.array_sort(F.collect_set("o")).alias("types"))
+        found = self.document_set.join(self.file_of, KEY).join(types, KEY).join(self.file_signals, ["release", "file"])
         chosen = profiles.detect(found, self.spark)
         kind = F.when(c("profile") == "shacl", "Shapes").when(F.array_contains("types", SKOS + "ConceptScheme"), "Scheme").when(F.array_contains("types", OWL + "Ontology"), "Ontology").otherwise("Document")
         return self.keep(found.select(*KEY, "file", "types").join(chosen, KEY).withColumn("kind", kind), "document_profiles")
@@ -176,9 +215,9 @@ class Model:
     def lang_values(self, subjects: DataFrame, fields: list[str]) -> DataFrame:
         """For subjects (release, iri, profile), a column for each field: its literals by rank of predicate, then as listed."""
         wanted = F.broadcast(profiles.predicates(self.spark).filter(c("field").isin(fields)))  # the profiles' rows
-        own = subjects.select(*KEY, "profile").join(wanted, "profile")
-        literals = self.named.filter("o_kind = 'literal'").select("release", c("s").alias("iri"), c("p").alias("predicate"), "seq", c("o").alias("value"), "lang")
-        found = own.join(literals, [*KEY, "predicate"])
+        known = sorted({p for _, field, p, _ in profiles.predicate_rows() if field in fields})
+        literals = self.named.filter((c("o_kind") == "literal") & c("p").isin(known)).select("release", c("s").alias("iri"), c("p").alias("predicate"), "seq", c("o").alias("value"), "lang")
+        found = literals.join(subjects.select(*KEY, "profile"), KEY).join(wanted, ["profile", "predicate"])
         value = F.struct("rank", "seq", "value", "lang", c("predicate").alias("source"))
         plain = lambda f: F.transform(F.array_sort(F.collect_list(F.when(c("field") == f, value))), lambda v: F.struct(v["value"].alias("value"), v["lang"].alias("lang"), v["source"].alias("source")))
         return found.groupBy(*KEY).agg(*(plain(f).alias(f) for f in fields))
@@ -205,7 +244,7 @@ class Model:
     def agents(self, predicate: str) -> DataFrame:
         """(release, iri, seq, agent, name, kind): who a predicate names; a name is a foaf:name, else an rdfs:label."""
         named = self.quads.filter((c("p") == predicate)).join(self.document_set.withColumnRenamed("iri", "s"), ["release", "s"])
-        facts = self.quads.filter(c("p").isin(FOAF + "name", RDFS + "label", TYPE)).groupBy("release", c("s").alias("o")).agg(first_of(c("p") == FOAF + "name").alias("foaf"), first_of(c("p") == RDFS + "label").alias("label"), F.min(F.when((c("p") == TYPE) & (c("o_kind") == "iri"), c("o"))).alias("kind"))
+        facts = self.quads.filter(c("p").isin(FOAF + "name", RDFS + "label", TYPE)).join(named.select("release", c("o").alias("s")).distinct(), ["release", "s"], "left_semi").groupBy("release", c("s").alias("o")).agg(first_of(c("p") == FOAF + "name").alias("foaf"), first_of(c("p") == RDFS + "label").alias("label"), F.min(F.when((c("p") == TYPE) & (c("o_kind") == "iri"), c("o"))).alias("kind"))
         literal = c("o_kind") == "literal"
         joined = named.select("release", c("s").alias("iri"), "seq", "o", "o_kind").join(facts, ["release", "o"], "left")
         return joined.select(*KEY, "seq", F.when(c("o_kind") == "iri", c("o")).alias("agent"), F.when(literal, c("o")).otherwise(F.coalesce("foaf", "label")).alias("name"), F.when(~literal, c("kind")).alias("kind"))
@@ -214,8 +253,8 @@ class Model:
 
     @cached_property
     def subjects(self) -> DataFrame:
-        """Named subjects that aren't documents."""
-        return self.named.select("release", c("s").alias("iri")).distinct().join(self.document_set, KEY, "left_anti")
+        """(release, iri, file) of named subjects that aren't documents."""
+        return self.mentions.filter("s_kind = 'iri'").select(*KEY, "file").join(self.document_set, KEY, "left_anti")
 
     @cached_property
     def placed(self) -> DataFrame:
@@ -224,13 +263,13 @@ class Model:
         links = self.named.filter((c("o_kind") == "iri") & c("p").isin(RDFS + "isDefinedBy", SKOS + "inScheme")).join(docs.select("release", c("doc").alias("o")), ["release", "o"])
         linked = links.groupBy("release", c("s").alias("iri")).agg(F.min(F.when(c("p") == RDFS + "isDefinedBy", c("o"))).alias("is_defined_by"), F.min(F.when(c("p") == SKOS + "inScheme", c("o"))).alias("scheme"))
         in_file = docs.groupBy("release", c("doc_file").alias("file")).agg(F.when(F.count("*") == 1, F.min("doc")).alias("lone"), F.count("*").alias("n_docs"))
-        terms = self.subjects.join(self.file_of, KEY).join(longest_prefix(self.subjects, "iri", self.minted, "ns"), KEY, "left").join(linked, KEY, "left").join(in_file, ["release", "file"], "left")
-        spread = terms.filter("n_docs > 1").select("release", F.concat("file", F.lit("|"), "iri").alias("at"), "iri")
-        in_own_file = longest_prefix(spread, "at", docs.select("release", F.concat("doc_file", F.lit("|"), "doc").alias("ns")), "own").select("release", F.substring_index("at", "|", -1).alias("iri"), F.substring_index("own", "|", -1).alias("in_file"))
-        anywhere = longest_prefix(self.subjects, "iri", docs.select("release", c("doc").alias("ns")), "nearest")
+        terms = self.subjects.join(linked, KEY, "left").join(in_file, ["release", "file"], "left")
+        terms = with_longest_prefix(terms, ["release"], "iri", self.minted, "ns")
+        terms = with_longest_prefix(terms, ["release", "file"], "iri", docs.select("release", c("doc_file").alias("file"), c("doc").alias("ns")), "in_file")
+        terms = with_longest_prefix(terms, ["release"], "iri", docs.select("release", c("doc").alias("ns")), "nearest")
         namespace = F.coalesce("ns", I.namespace_part(c("iri")), "iri")
         tail = F.substr(c("iri"), F.length(namespace) + 1)
-        found = terms.join(in_own_file, KEY, "left").join(anywhere, KEY, "left").select(
+        found = terms.select(
             *KEY,
             "file",
             namespace.alias("namespace"),
@@ -245,20 +284,25 @@ class Model:
     def terms(self) -> DataFrame:
         docs = self.document_profiles.select("release", c("iri").alias("defined_in"), "profile")
         placed = self.placed.join(docs, ["release", "defined_in"], "left").withColumn("profile", F.coalesce("profile", F.lit("generic")))
-        sets = [iri_set(c("p").isin(ps)).alias(n) for n, ps in TERM_IRIS.items()]
-        mapping = F.array_sort(F.collect_set(F.when(c("p").isin(MAPPING_RELATIONS) & (c("o_kind") == "iri"), F.struct(F.array_position(F.array(*map(F.lit, MAPPING_RELATIONS)), c("p")).alias("rank"), c("p").alias("relation"), c("o").alias("target")))))
-        facts = self.named.groupBy("release", c("s").alias("iri")).agg(
-            F.array_sort(F.collect_set(F.when((c("p") == TYPE) & (c("o_kind") == "iri"), c("o")))).alias("types"),
-            *sets,
-            F.transform(mapping, lambda m: F.struct(m["relation"].alias("relation"), m["target"].alias("iri"))).alias("mappings"),
+        field_of = F.create_map(*(F.lit(x) for field, ps in FACT_IRIS.items() for p in ps for x in (p, field)))
+        shown = [p for ps in FACT_IRIS.values() for p in ps]
+        link = F.when((c("o_kind") == "iri") & c("p").isin(shown), F.struct(field_of[c("p")].alias("field"), "p", "o"))
+        facts = self.named.filter(c("p").isin(*shown, SKOS + "notation", OWL + "deprecated")).groupBy("release", c("s").alias("iri")).agg(
+            F.collect_set(link).alias("links"),
             first_of(c("p") == SKOS + "notation").alias("notation"),
             F.coalesce(first_of(c("p") == OWL + "deprecated") == "true", F.lit(False)).alias("deprecated"),
         )
+        own = lambda field: F.filter(F.coalesce("links", F.array().cast(facts.schema["links"].dataType)), lambda x: x["field"] == field)
+        sets = [F.array_sort(F.array_distinct(F.transform(own(n), lambda x: x["o"]))).alias(n) for n in ("types", *TERM_IRIS)]
+        rank = F.create_map(*(F.lit(x) for i, p in enumerate(MAPPING_RELATIONS) for x in (p, i)))
+        mapping = F.array_sort(F.transform(own("mappings"), lambda x: F.struct(rank[x["p"]].alias("rank"), x["p"].alias("relation"), x["o"].alias("iri"))))
+        mappings = F.transform(mapping, lambda m: F.struct(m["relation"].alias("relation"), m["iri"].alias("iri"))).alias("mappings")
         fields = ["label", "definition", "alt_label", "comment", "note", "example"]
         texts = self.lang_values(placed, fields)
         empty = lambda n: F.coalesce(n, F.array().cast(texts.schema[n].dataType)).alias(f"{n}s")
         kind = F.coalesce(*(F.when(F.array_contains("types", t), k) for t, k in KIND_OF_TYPE), F.when((F.size("domain") > 0) | (F.size("range") > 0), "RdfProperty"), F.when(F.size("types") == 0, "Other"), F.lit("Individual"))
-        whole = placed.join(facts, KEY).join(texts, KEY, "left").join(self.prefix_of.withColumnRenamed("ns", "namespace"), ["release", "namespace"], "left")
+        facts = placed.join(facts, KEY, "left").select(*placed.columns, *sets, mappings, "notation", F.coalesce("deprecated", F.lit(False)).alias("deprecated"))
+        whole = facts.join(texts, KEY, "left").join(self.prefix_of.withColumnRenamed("ns", "namespace"), ["release", "namespace"], "left")
         prefix = F.coalesce("declared", I.well_known(c("namespace")))
         traits = F.filter(F.array(*(F.when(F.array_contains("types", t), n) for t, n in CHARACTERISTICS.items())), lambda x: x.isNotNull())
         made = whole.select(
@@ -280,6 +324,16 @@ class Model:
     def local(self) -> DataFrame:
         return self.terms.filter("not foreign")
 
+    @cached_property
+    def stats(self) -> DataFrame:
+        """(release, terms_local, terms_foreign, triples, files, documents, namespaces)."""
+        terms = self.placed.groupBy("release").agg(F.count_if(~c("foreign")).alias("terms_local"), F.count_if("foreign").alias("terms_foreign"))
+        files = self.quads.groupBy("release", "file").agg(F.count("*").alias("n")).groupBy("release").agg(F.sum("n").alias("triples"), F.count("*").alias("files"))
+        documents = self.document_set.groupBy("release").agg(F.count("*").alias("documents"))
+        namespaces = self.minted.groupBy("release").agg(F.count("*").alias("namespaces"))
+        whole = files.join(terms, "release", "left").join(documents, "release", "left").join(namespaces, "release", "left")
+        return whole.select("release", *(F.coalesce(n, F.lit(0)).alias(n) for n in ("terms_local", "terms_foreign", "triples", "files", "documents", "namespaces")))
+
     def children(self, up: str) -> DataFrame:
         """(release, iri, children): a hierarchy turned over, for parents that are terms."""
         edges = self.terms.select("release", F.explode(up).alias("parent"), "iri")
@@ -298,7 +352,7 @@ class Model:
         """(release, ns, segment): single segments under a namespace that documents and versions take."""
         taken = self.document_set.unionByName(self.documents.filter("version_iri is not null").select("release", c("version_iri").alias("iri")))
         tail = F.regexp_replace(F.substr(c("iri"), F.length("ns") + 1), "/+$", "")
-        return self.minted.join(taken, "release").filter(F.startswith(c("iri"), c("ns"))).select("release", "ns", tail.alias("segment")).filter((c("segment") != "") & ~c("segment").contains("/")).distinct()
+        return under(taken, ["release"], "iri", self.minted).select("release", "ns", tail.alias("segment")).filter((c("segment") != "") & ~c("segment").contains("/")).distinct()
 
     @cached_property
     def namespaces(self) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import iri as I
 from ..functions.text import language_tag_valid
 
 c = F.col
@@ -70,6 +72,103 @@ def dangling_fragment(t: DataFrame) -> DataFrame:
     return links.select("page", "id").distinct().join(_ids(t).select("page", "id"), ["page", "id"], "left_anti").select("page", c("id").alias("subject"))
 
 
+def empty_link(t: DataFrame) -> DataFrame:
+    """Links without text up to their end, and without a label or title."""
+    order = Window.partitionBy("page").orderBy("pos")
+    link = (c("name") == "a") & ~c("closing")
+    ends = t.withColumn("part", F.count_if(c("name") == "a").over(order.rowsBetween(Window.unboundedPreceding, 0)))  # each tag of a link begins a part
+    filled = lambda n: F.length(F.trim(F.coalesce(attribute(n), F.lit("")))) > 0
+    named = filled("aria-label") | filled("title") | attribute("aria-labelledby").isNotNull()
+    parts = ends.filter("part > 0").groupBy("page", "part").agg(
+        F.max(F.when(link, F.struct(F.coalesce(attribute("href"), F.lit("(no href)")).alias("href"), named.alias("named")))).alias("a"),
+        F.max(F.length(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")))).alias("text"),
+    )
+    return parts.filter("a is not null and not a.named and text = 0").select("page", c("a.href").alias("subject"))
+
+
+def tables(t: DataFrame) -> DataFrame:
+    """(page, at, captions, headers, scoped): for each table the captions and header cells up to its end, those of tables in it too."""
+    order = Window.partitionBy("page").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    own = t.filter("name = 'table'").withColumn("depth", F.sum(F.when(c("closing"), -1).otherwise(1)).over(order))
+    begun = own.filter(~c("closing")).select("page", c("pos").alias("at"), "depth")
+    ended = own.filter("closing").select("page", c("pos").alias("end"), (c("depth") + 1).alias("depth"))
+    spans = begun.join(ended, ["page", "depth"], "left").groupBy("page", "at").agg(F.min(F.when(c("end") > c("at"), c("end"))).alias("end"))
+    cells = t.filter(c("name").isin("caption", "th") & ~c("closing")).select("page", "pos", "name", attribute("scope").isNotNull().alias("scope"))
+    both = spans.join(cells, "page", "left").withColumn("inside", F.coalesce((c("pos") > c("at")) & (c("end").isNull() | (c("pos") < c("end"))), F.lit(False)))
+    count = lambda x: F.count_if(c("inside") & x)
+    return both.groupBy("page", "at").agg(count(c("name") == "caption").alias("captions"), count(c("name") == "th").alias("headers"), count((c("name") == "th") & c("scope")).alias("scoped"))
+
+
+def _tables(condition: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda t: tables(t).filter(condition).select("page", c("at").cast("string").alias("subject"))
+
+
+# Beginnings of markup that a page shows as text if a template escaped it.
+ESCAPED = ["&lt;a ", "&lt;code", "&lt;span", "&lt;p&gt;", "&lt;div", "&lt;strong"]
+
+
+def escaped_markup(t: DataFrame) -> DataFrame:
+    """Escaped markup outside of pre elements, once for each kind and page."""
+    order = Window.partitionBy("page").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    depth = F.sum(F.when(c("raw").startswith("<pre"), 1).when(c("raw").startswith("</pre>"), -1).otherwise(0)).over(order)
+    hits = F.array_compact(F.array(*(F.when(c("raw").contains(x), F.lit(x)) for x in ESCAPED)))
+    found = t.withColumn("depth", F.coalesce(depth, F.lit(0))).filter((c("depth") <= 0) & c("raw").contains("&lt;"))
+    return found.select("page", F.explode(hits).alias("subject")).distinct()
+
+
+def lang_part_invalid(t: DataFrame) -> DataFrame:
+    return t.filter(~c("name").isin("html", "") & ~language_tag_valid(attribute("lang"))).select("page", attribute("lang").alias("subject"))
+
+
+def charset_late(pages: DataFrame, key: str = "page", html: str = "html") -> DataFrame:
+    """Pages that don't name their encoding in the first 1024 bytes."""
+    head = F.lower(F.decode(F.substring(F.encode(html, "UTF-8"), 1, 1024), "ISO-8859-1"))
+    return pages.filter(~head.contains("charset")).select(c(key).alias("page"), F.lit("").alias("subject"))
+
+
+def _is_external(target: Column, paths: Column) -> Column:
+    """Whether a site path belongs to another publisher: the root, or what begins with one of the paths."""
+    root = F.array_contains(paths, "/") & target.isin("", "index.html")
+    return root | F.exists(F.filter(paths, lambda p: p != "/"), lambda p: F.startswith(target, F.regexp_replace(p, "^/+", "")))
+
+
+def page_links(t: DataFrame, sites: DataFrame, known: DataFrame) -> DataFrame:
+    """(page, href, target, absolute, external, found): links of pages resolved in their site.
+
+    sites: page, site, path, base_url, base_path, external_paths (array); known: site, path of the files there are. A target
+    is found as a file, as a page without its extension, or as the index of a folder.
+    """
+    links = t.filter((c("name") == "a") & ~c("closing")).select("page", "pos", attribute("href").alias("href")).filter("href is not null").join(sites, "page")
+    target = I.resolve_internal(c("path"), c("href"), c("base_url"), c("base_path"))
+    rows = links.withColumn("target", target).filter("target is not null")
+    wanted = rows.select("site", "target").distinct()
+    ways = F.array("target", F.concat("target", F.lit(".html")), F.concat("target", F.lit("index.html")), F.concat("target", F.lit("/index.html")))
+    there = wanted.select("site", "target", F.explode(ways).alias("path")).join(known.select("site", "path").distinct(), ["site", "path"]).select("site", "target").distinct().withColumn("found", F.lit(True))
+    absolute = (c("base_url") != "") & F.startswith(c("href"), c("base_url"))
+    return rows.join(there, ["site", "target"], "left").select("page", "pos", "href", "target", absolute.alias("absolute"), _is_external(c("target"), c("external_paths")).alias("external"), F.coalesce("found", F.lit(False)).alias("found"))
+
+
+#: Rules over resolved links.
+LINK_RULES: dict[str, tuple[str, str]] = {
+    "html.absolute-nav-link": ("error", "absolute and not external and found"),
+    "a11y.broken-internal-link": ("warning", "not external and not found"),
+}
+
+
+def markdown_links(bodies: DataFrame, known: DataFrame) -> DataFrame:
+    """(site, path, target, rule): faulty links of Markdown files (site, path, body, base_url, base_path)."""
+    found = F.regexp_extract_all("body", F.lit(r"\]\(([^)]*)\)"), 1)
+    links = bodies.select("site", "path", "base_url", "base_path", F.explode(found).alias("target")).filter("not startswith(target, '#')")
+    absolute = (c("base_url") != "") & F.startswith(c("target"), c("base_url"))
+    rows = links.withColumn("absolute", absolute).filter(c("absolute") | ~c("target").contains(":"))
+    rows = rows.withColumn("at", I.resolve_internal(c("path"), c("target"), c("base_url"), c("base_path")))
+    there = known.select("site", c("path").alias("at")).distinct().withColumn("found", F.lit(True))
+    marked = rows.join(there, ["site", "at"], "left")
+    broken = c("at").isNotNull() & c("found").isNull()
+    rule = F.when(c("absolute"), "markdown.absolute-link").when(broken, "markdown.broken-link")
+    return marked.select("site", "path", "target", rule.alias("rule")).filter("rule is not null")
+
+
 #: Rule -> level and query from the tag table to (page, subject).
 RULES: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "a11y.no-html-element": ("error", _whole_page(lambda: c("n_html") == 0)),
@@ -87,4 +186,18 @@ RULES: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "a11y.invalid-id": ("error", lambda t: _ids(t).filter(c("id").rlike("[: ]")).select("page", c("id").alias("subject"))),
     "a11y.duplicate-id": ("error", duplicate_id),
     "a11y.dangling-fragment": ("error", dangling_fragment),
+    "a11y.empty-link": ("error", empty_link),
+    "a11y.table-no-caption": ("warning", _tables("captions = 0")),
+    "a11y.table-no-headers": ("error", _tables("headers = 0")),
+    "a11y.th-no-scope": ("warning", _tables("headers > 0 and scoped < headers")),
+    "html.escaped-markup": ("error", escaped_markup),
+    "a11y.lang-part-invalid": ("error", lang_part_invalid),
 }
+
+
+def audit(pages: DataFrame, t: DataFrame, links: DataFrame) -> DataFrame:
+    """(page, rule, level, subject): the findings of all rules on pages, their tag table and their links."""
+    parts = [find(t).select("page", F.lit(rule).alias("rule"), F.lit(level).alias("level"), "subject") for rule, (level, find) in RULES.items()]
+    parts.append(charset_late(pages).select("page", F.lit("a11y.charset-late").alias("rule"), F.lit("error").alias("level"), "subject"))
+    parts += [links.filter(where).select("page", F.lit(rule).alias("rule"), F.lit(level).alias("level"), c("href").alias("subject")) for rule, (level, where) in LINK_RULES.items()]
+    return reduce(DataFrame.unionByName, parts)

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import compare, shapes
-from ..vocabulary import SH
-from .models import PRELUDE, model
+from ..operators import compare
+from .models import model
+from .shacl import SHAPES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -19,9 +19,8 @@ _PICK = "coalesce(list_filter({0}, lambda v: v.lang = 'en')[1].value, list_filte
 _SHOWN = f"(SELECT *, coalesce({_PICK.format('labels')}, local_name) AS label, {_PICK.format('definitions')} AS definition FROM terms WHERE NOT \"foreign\" AND release = '{{}}')"
 _TERMS = f"FROM {_SHOWN.format('old')} o FULL OUTER JOIN {_SHOWN.format('new')} n USING (iri) WHERE "
 _DOCS = "FROM (SELECT * FROM docs WHERE release = 'old') o FULL OUTER JOIN (SELECT * FROM docs WHERE release = 'new') n USING (iri) WHERE "
-_NODE = f"""(SELECT l.release, l.s AS shape, f.* EXCLUDE (release), CASE WHEN coalesce(min_count, max_count) IS NOT NULL THEN coalesce(min_count, 0) || '..' || coalesce(CAST(max_count AS VARCHAR), '*') END AS cardinality, coalesce(min_count, 0) >= 1 AS required
-  FROM q l JOIN (SELECT release, s AS node, min(o) FILTER (p = '{SH}path') AS path, min(o) FILTER (p = '{SH}name') AS name, CAST(min(o) FILTER (p = '{SH}minCount') AS BIGINT) AS min_count, CAST(min(o) FILTER (p = '{SH}maxCount') AS BIGINT) AS max_count, coalesce(string_agg(o, ' ') FILTER (p = '{SH}datatype'), '') AS datatypes FROM q GROUP BY ALL) f ON f.release = l.release AND f.node = l.o WHERE l.p = '{SH}property')"""
-_CONSTRAINTS = f"FROM (SELECT * FROM {_NODE} WHERE release = 'old') o FULL OUTER JOIN (SELECT * FROM {_NODE} WHERE release = 'new') n USING (path, shape) WHERE path IN (SELECT iri FROM terms WHERE NOT \"foreign\") AND "
+_LAST = "(SELECT * FROM con WHERE path_kind = 'predicate' QUALIFY row_number() OVER (PARTITION BY release, path, shape ORDER BY NOT required DESC, name DESC NULLS LAST, listed DESC) = 1)"
+_CONSTRAINTS = f"FROM (SELECT * FROM {_LAST} WHERE release = 'old') o FULL OUTER JOIN (SELECT * FROM {_LAST} WHERE release = 'new') n USING (path, shape) WHERE path IN (SELECT iri FROM terms WHERE NOT \"foreign\") AND "
 _BOTH = "o.release IS NOT NULL AND n.release IS NOT NULL AND "
 _TIGHT = "CASE WHEN coalesce(n.max_count, 9e18) < coalesce(o.max_count, 9e18) OR coalesce(n.min_count, 0) > coalesce(o.min_count, 0) THEN 'breaking' ELSE 'additive' END"
 SQL = {
@@ -43,7 +42,9 @@ SQL = {
     "constraint.now-required": ("'breaking'", _CONSTRAINTS + _BOTH + "NOT o.required AND n.required"),
     "constraint.now-optional": ("'additive'", _CONSTRAINTS + _BOTH + "o.required AND NOT n.required"),
     "constraint.cardinality-changed": (_TIGHT, _CONSTRAINTS + _BOTH + "o.required = n.required AND o.cardinality IS DISTINCT FROM n.cardinality"),
-    "constraint.datatype-changed": ("CASE WHEN length(n.datatypes) < length(o.datatypes) THEN 'breaking' ELSE 'additive' END", _CONSTRAINTS + _BOTH + "o.datatypes <> n.datatypes"),
+    "constraint.scheme-changed": ("'breaking'", _CONSTRAINTS + _BOTH + "o.in_scheme <> n.in_scheme"),
+    "constraint.values-changed": ("CASE WHEN len(n.vals) < len(o.vals) THEN 'breaking' ELSE 'additive' END", _CONSTRAINTS + _BOTH + "o.vals <> n.vals"),
+    "constraint.datatype-changed": ("CASE WHEN len(n.datatypes) < len(o.datatypes) THEN 'breaking' ELSE 'additive' END", _CONSTRAINTS + _BOTH + "o.datatypes <> n.datatypes"),
     "document.removed": ("'breaking'", _DOCS + "n.release IS NULL"),
     "document.added": ("'additive'", _DOCS + "o.release IS NULL"),
     "document.version-changed": ("'editorial'", _DOCS + _BOTH + "o.version_info IS DISTINCT FROM n.version_info"),
@@ -53,16 +54,13 @@ _ALL = "(" + " UNION ALL ".join(f"SELECT '{r}' AS rule, {severity} AS severity,
 
 def query(name: str, build: Callable, sql: str) -> None:
     QUERIES[name] = lambda spark, sf_dir: build(model(spark, sf_dir))
-    ORACLE[name] = PRELUDE + sql
+    ORACLE[name] = SHAPES + sql
 
 
 for _rule, (_severity, _rest) in SQL.items():
     _kind = {"term": compare.term_changes, "constraint": compare.constraint_changes, "document": compare.document_changes}[_rule.split(".")[0]]
     _iri = "path" if _rule.startswith("constraint") else "iri"
-    query("diff_" + _rule.replace(".", "_").replace("-", "_"), lambda m, rule=_rule, find=_kind, iri=_iri: find(m, "old", "new").filter(c("rule") == rule).select(c(iri).alias("iri"), "severity"), f"SELECT {_iri} AS iri, {_severity} AS severity {_rest}")
+    query("diff_" + _rule.replace(".", "_").replace("-", "_"), lambda m, rule=_rule, find=_kind, iri=_iri: find(m, "old", "new", (rule,)).select(c(iri).alias("iri"), "severity"), f"SELECT {_iri} AS iri, {_severity} AS severity {_rest}")
 query("diff_counts", lambda m: compare.changes(m).groupBy("rule", "severity").agg(F.count("*").alias("n")), f"SELECT rule, severity, count(*) AS n FROM {_ALL} GROUP BY ALL")
 query("breaking_gate", lambda m: compare.changes(m).agg((F.count("*") > 0).alias("changed"), (F.count_if(c("severity") == "breaking") > 0).alias("breaking")), f"SELECT count(*) > 0 AS changed, count(*) FILTER (severity = 'breaking') > 0 AS breaking FROM {_ALL}")
 query("diff_sides", lambda m: m.local.groupBy("release").agg(F.count("*").alias("terms")).join(m.documents.groupBy("release").agg(F.count("*").alias("documents"), F.max("version_info").alias("version")), "release"), "SELECT release, (SELECT count(*) FROM terms t WHERE t.release = d.release AND NOT \"foreign\") AS terms, count(*) AS documents, max(version_info) AS version FROM docs d GROUP BY release")
-query("property_shapes", lambda m: shapes.constraints(m).select("release", "shape", "path", "name", "min_count", "max_count", F.array_join("datatypes", " ").alias("datatypes"), "cardinality", "required"), f"SELECT release, shape, path, name, min_count, max_count, datatypes, cardinality, required FROM {_NODE}")
-query("constraints_for_property", lambda m: shapes.constraints(m).groupBy("release", "path").agg(F.count("*").alias("n"), F.count_if("required").alias("required")), f"SELECT release, path, count(*) AS n, count(*) FILTER (required) AS required FROM {_NODE} GROUP BY ALL")
-query("shape_applies_to", lambda m: shapes.applies_to(m), f"SELECT DISTINCT release, s AS shape, o AS class FROM q WHERE p = '{SH}targetClass' AND s_kind = 'iri'")

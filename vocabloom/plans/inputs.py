@@ -48,7 +48,7 @@ UNION ALL SELECT p_partkey, CAST(NULL AS STRING), upper(p_name), 3 FROM {part} W
 UNION ALL SELECT p_partkey, 'fr', 'pièce ' || p_name, 4 FROM {part} WHERE p_partkey % 7 = 0
 """
 
-TEXTS = "SELECT doc_id AS k, text FROM {documents} WHERE text IS NOT NULL"
+TEXTS = "SELECT doc_id AS k, text FROM {documents}"
 
 PATHS = """
 SELECT c_custkey AS k, CASE c_custkey % 6 WHEN 0 THEN '/vocab/part/' || c_custkey WHEN 1 THEN '/' WHEN 2 THEN '/vocab/' || c_mktsegment || '/x/y' WHEN 3 THEN '/vocab/part/' || c_custkey || '/index.md' WHEN 4 THEN '/a' ELSE '/vocab/part/' END AS a,

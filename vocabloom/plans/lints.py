@@ -45,11 +45,11 @@ SQL = {
     "text.count-mismatch": f"SELECT release, w AS subject FROM (SELECT release, text, unnest({lint.NUMBER_WORDS}) AS w, unnest(range(1, 11)) AS n FROM {_TEXT}) x WHERE contains(lower(text), w || ' classes') AND n <> (SELECT count(*) FROM terms t WHERE t.release = x.release AND kind = 'Class' AND NOT \"foreign\")",
     "text.mentions-absent-vocab": f"SELECT release, k AS subject FROM (SELECT release, text, unnest({list(lint.NAMED_VOCABULARIES)}) AS k, unnest({list(lint.NAMED_VOCABULARIES.values())}) AS ns FROM {_TEXT}) x WHERE contains(text, k) AND NOT EXISTS (SELECT 1 FROM pmap p WHERE p.release = x.release AND p.ns = x.ns)",
 }
-for _rule, (_severity, _find) in lint.RULES.items():
+for _rule in lint.SEVERITY:
     _name = _rule.replace(".", "_").replace("-", "_")
-    QUERIES[_name] = lambda spark, sf_dir, find=_find: find(model(spark, sf_dir))
+    QUERIES[_name] = lambda spark, sf_dir, rule=_rule: lint.findings(model(spark, sf_dir), (rule,)).select("release", "subject")
     ORACLE[_name] = PRELUDE + SQL[_rule]
-_ALL = "(" + " UNION ALL ".join(f"SELECT release, subject, '{r}' AS rule, '{lint.RULES[r][0]}' AS severity FROM ({sql}) AS f" for r, sql in SQL.items()) + ")"
+_ALL = "(" + " UNION ALL ".join(f"SELECT release, subject, '{r}' AS rule, '{lint.SEVERITY[r]}' AS severity FROM ({sql}) AS f" for r, sql in SQL.items()) + ")"
 QUERIES["lint_summary"] = lambda spark, sf_dir: lint.findings(model(spark, sf_dir)).groupBy("release", "severity", "rule").agg(F.count("*").alias("n"))
 ORACLE["lint_summary"] = PRELUDE + f"SELECT release, severity, rule, count(*) AS n FROM {_ALL} GROUP BY ALL"
 QUERIES["rule_filter"] = lambda spark, sf_dir: lint.findings(model(spark, sf_dir), ("term.", "site."), ("term.no-",)).select("release", "rule", "subject")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from ..operators.model import CHARACTERISTICS, HEADER_IRIS, HEADER_SCALARS, KIND
 from ..sources.tables import written
 from ..vocabulary import DCTERMS, FOAF, OWL, RDFS, SKOS, TYPE, VANN, WELL_KNOWN_PREFIXES
 from .derived import PREFIXES, QUADS, quads
-from .inputs import duck
+from .inputs import duck, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,10 +22,21 @@ c = F.col
 KEY = ["release", "iri"]
 
 
-@lru_cache(maxsize=4)
+_kept: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object], tables: tuple[str, ...] = ("part", "lineitem")) -> object:
+    """What queries over a folder share in a session; built anew when one of the tables has changed."""
+    stamps = [spark.read.parquet(f"{sf_dir}/{t}.parquet").agg(F.max("_metadata.file_modification_time")).first()[0] for t in tables]
+    own = _kept.setdefault(spark, {})
+    if own.get(name, (None,))[0] != (sf_dir, stamps):
+        own[name] = ((sf_dir, stamps), build())
+    return own[name][1]
+
+
 def model(spark: SparkSession, sf_dir: str) -> Model:
-    """One model for all queries over a folder in a session; its main tables are written once."""
-    return Model(quads(spark, sf_dir), spark.sql(PREFIXES), written)
+    """One model for all queries over a folder; its main tables are written once."""
+    return kept(spark, sf_dir, "model", lambda: Model(quads(spark, sf_dir), view(spark, sf_dir, PREFIXES), written))
 
 
 def _sql(values: list[str]) -> str:
@@ -33,7 +44,7 @@ def _sql(values: list[str]) -> str:
 
 
 _RULES = " UNION ALL ".join(f"SELECT '{p}' AS profile, '{f}' AS field, '{x}' AS p, {r} AS rank" for p, f, x, r in profiles.predicate_rows())
-_KNOWN = "CASE {} " + " ".join(f"WHEN '{ns}' THEN '{p}'" for p, ns in WELL_KNOWN_PREFIXES.items()) + " END"
+KNOWN = "CASE {} " + " ".join(f"WHEN '{ns}' THEN '{p}'" for p, ns in WELL_KNOWN_PREFIXES.items()) + " END"
 
 
 def _first(p: str) -> str:
@@ -53,7 +64,7 @@ _KIND = "CASE " + " ".join(f"WHEN list_contains(types, '{t}') THEN '{k}'" for t,
 PRELUDE = f"""
 WITH RECURSIVE raw AS ({duck(QUADS)}),
 q AS MATERIALIZED (SELECT release, file, seq, CASE s_kind WHEN 'bnode' THEN file || '|' || s ELSE s END AS s, s_kind, p, CASE o_kind WHEN 'bnode' THEN file || '|' || o ELSE o END AS o, o_kind, lang, dt FROM raw),
-pre AS ({PREFIXES}),
+pre AS ({duck(PREFIXES)}),
 pmap AS (SELECT release, prefix, arg_min(ns, file) AS ns FROM pre GROUP BY ALL),
 pof AS (SELECT release, ns, min(prefix) AS declared FROM pmap GROUP BY ALL),
 doc AS MATERIALIZED (SELECT DISTINCT release, s AS iri FROM q WHERE s_kind = 'iri' AND o_kind = 'iri' AND p = '{TYPE}' AND o IN ('{OWL}Ontology', '{SKOS}ConceptScheme')),
@@ -63,7 +74,7 @@ typ AS (SELECT release, s AS iri, list_sort(list(DISTINCT o)) AS types FROM q WH
 sig AS (SELECT release, file, list_sort(coalesce(list(DISTINCT o) FILTER (p = '{TYPE}' AND o_kind = 'iri'), [])) AS file_types, list_sort(list(DISTINCT p)) AS file_predicates FROM q GROUP BY ALL),
 prof AS (SELECT release, iri, file, types, CASE WHEN list_has_any(file_types, {list(profiles.PROFILES['shacl']['file_has_type'])}) THEN 'shacl' WHEN list_contains(types, '{SKOS}ConceptScheme') THEN 'skos' WHEN list_contains(types, '{OWL}Ontology') AND list_has_any(file_types, {list(profiles.PROFILES['dcap']['file_has_type'])}) THEN 'dcap' ELSE 'generic' END AS profile FROM doc JOIN fileof USING (release, iri) JOIN typ USING (release, iri) JOIN sig USING (release, file)),
 rules AS ({_RULES}),
-docs AS (SELECT release, iri, file, profile, CASE WHEN profile = 'shacl' THEN 'Shapes' WHEN list_contains(types, '{SKOS}ConceptScheme') THEN 'Scheme' ELSE 'Ontology' END AS document_kind, {', '.join(HEADER_SCALARS)}, {', '.join(HEADER_IRIS)} FROM prof JOIN (SELECT release, s AS iri, {', '.join(f'{_scalar(p)} AS {n}' for n, p in HEADER_SCALARS.items())}, {', '.join(f'{_set([p])} AS {n}' for n, p in HEADER_IRIS.items())} FROM q WHERE s_kind = 'iri' GROUP BY ALL) USING (release, iri)),
+docs AS (SELECT release, iri, file, profile, CASE WHEN profile = 'shacl' THEN 'Shapes' WHEN list_contains(types, '{SKOS}ConceptScheme') THEN 'Scheme' WHEN list_contains(types, '{OWL}Ontology') THEN 'Ontology' ELSE 'Document' END AS document_kind, {', '.join(HEADER_SCALARS)}, {', '.join(HEADER_IRIS)} FROM prof JOIN (SELECT release, s AS iri, {', '.join(f'{_scalar(p)} AS {n}' for n, p in HEADER_SCALARS.items())}, {', '.join(f'{_set([p])} AS {n}' for n, p in HEADER_IRIS.items())} FROM q WHERE s_kind = 'iri' GROUP BY ALL) USING (release, iri)),
 root AS (SELECT release, arg_min(iri, (CASE document_kind WHEN 'Ontology' THEN '1' WHEN 'Scheme' THEN '2' ELSE '3' END) || iri) AS root FROM docs d WHERE NOT EXISTS (SELECT 1 FROM docs e WHERE e.release = d.release AND list_contains(e.has_part, d.iri)) GROUP BY release),
 subj AS MATERIALIZED (SELECT DISTINCT release, s AS iri FROM q WHERE s_kind = 'iri' EXCEPT SELECT release, iri FROM doc),
 nsof AS (SELECT release, iri, arg_max(ns, length(ns)) AS ns FROM subj JOIN minted USING (release) WHERE starts_with(iri, ns) AND length(iri) > length(ns) GROUP BY ALL),
@@ -76,7 +87,7 @@ placed AS MATERIALIZED (SELECT release, iri, file, coalesce(ns, {_NS.format('iri
 tprof AS (SELECT p.release, p.iri, coalesce(d.profile, 'generic') AS profile FROM placed p LEFT JOIN prof d ON d.release = p.release AND d.iri = p.defined_in),
 vals AS (SELECT release, s AS iri, v.profile, field, list(struct_pack(value := o, lang := lang, source := p) ORDER BY rank, seq) AS vs FROM q JOIN rules v USING (p) JOIN (SELECT release, iri AS s, profile FROM prof UNION ALL SELECT release, iri, profile FROM tprof) USING (release, s, profile) WHERE o_kind = 'literal' AND s_kind = 'iri' GROUP BY ALL),
 facts AS (SELECT release, s AS iri, {_set([TYPE]).replace(f"p IN {_sql([TYPE])}", f"p = '{TYPE}'")} AS types, {', '.join(f'{_set(ps)} AS {n}' for n, ps in TERM_IRIS.items())}, coalesce({_scalar(OWL + 'deprecated')} = 'true', false) AS deprecated FROM q WHERE s_kind = 'iri' GROUP BY ALL),
-terms AS MATERIALIZED (SELECT placed.*, tprof.profile, facts.* EXCLUDE (release, iri), {_KIND} AS kind, coalesce(declared, {_KNOWN.format('namespace')}) AS prefix,
+terms AS MATERIALIZED (SELECT placed.*, tprof.profile, facts.* EXCLUDE (release, iri), {_KIND} AS kind, coalesce(declared, {KNOWN.format('namespace')}) AS prefix,
   coalesce(l.vs, []) AS labels, coalesce(e.vs, []) AS definitions
   FROM placed JOIN tprof USING (release, iri) JOIN facts USING (release, iri) LEFT JOIN pof ON pof.release = placed.release AND pof.ns = namespace
   LEFT JOIN vals l ON l.release = placed.release AND l.iri = placed.iri AND l.field = 'label' LEFT JOIN vals e ON e.release = placed.release AND e.iri = placed.iri AND e.field = 'definition')
@@ -93,7 +104,7 @@ query("scan_triples", lambda m: m.quads.groupBy("release", "file", "o_kind").agg
 query("file_stats", lambda m: m.quads.groupBy("release", "file").agg(F.count("*").alias("triples")), "SELECT release, file, count(*) AS triples FROM q GROUP BY ALL")
 query("prefix_map", lambda m: m.prefix_map, "SELECT * FROM pmap")
 query("bnode_labels", lambda m: m.quads.filter("s_kind = 'bnode'").groupBy("release", "s").agg(F.count("*").alias("n")), "SELECT release, s, count(*) AS n FROM q WHERE s_kind = 'bnode' GROUP BY ALL")
-query("about", lambda m: m.quads.filter(c("s") == "https://tpch.example.org/part/").select("release", "seq", "p", "o"), "SELECT release, seq, p, o FROM q WHERE s = 'https://tpch.example.org/part/'")
+query("about", lambda m: m.quads.join(m.quads.filter((c("p") == TYPE) & (c("o") == SKOS + "Concept")).select("release", "s"), ["release", "s"], "left_semi").select("release", "s", "seq", "p", "o"), f"SELECT release, s, seq, p, o FROM q WHERE (release, s) IN (SELECT (release, s) FROM q WHERE p = '{TYPE}' AND o = '{SKOS}Concept')")
 query("objects", lambda m: m.quads.filter(c("p") == RDFS + "label").groupBy("release", "s").agg(F.min_by("o", "seq").alias("first"), F.count("*").alias("n")), f"SELECT release, s, arg_min(o, seq) AS first, count(*) AS n FROM q WHERE p = '{RDFS}label' GROUP BY ALL")
 query("iri_objects", lambda m: m.quads.filter((c("p") == RDFS + "subClassOf") & (c("o_kind") == "iri")).groupBy("release", "s").agg(F.array_join(F.array_sort(F.collect_set("o")), " ").alias("objects")), f"SELECT release, s, string_agg(DISTINCT o, ' ' ORDER BY o) AS objects FROM q WHERE p = '{RDFS}subClassOf' AND o_kind = 'iri' GROUP BY ALL")
 query("subjects_of", lambda m: m.quads.filter(c("p") == OWL + "deprecated").select("release", "s").distinct(), f"SELECT DISTINCT release, s FROM q WHERE p = '{OWL}deprecated'")
@@ -128,9 +139,9 @@ query("invert_hierarchy", lambda m: m.children("super_terms").select(*KEY, F.lit
 query("attach_terms", lambda m: m.terms.groupBy("release", "defined_in").agg(F.count_if(~c("foreign")).alias("local"), F.count_if("foreign").alias("reused")), "SELECT release, defined_in, count(*) FILTER (NOT \"foreign\") AS local, count(*) FILTER (\"foreign\") AS reused FROM placed GROUP BY ALL")
 _TAKEN = "(SELECT DISTINCT m.release, m.ns, rtrim(substr(d.iri, length(m.ns) + 1), '/') AS segment FROM minted m JOIN (SELECT release, iri FROM doc UNION SELECT release, version_iri FROM docs WHERE version_iri IS NOT NULL) d ON d.release = m.release AND starts_with(d.iri, m.ns))"
 query("reserved_segments", lambda m: m.reserved, f"SELECT * FROM {_TAKEN} WHERE segment <> '' AND NOT contains(segment, '/')")
-query("namespace_table", lambda m: m.namespaces.withColumn("reserved", F.array_join("reserved", " ")), f"""SELECT m.release, m.ns, coalesce(declared, {_KNOWN.format('m.ns')}) AS prefix, doc.iri AS document, coalesce((SELECT string_agg(segment, ' ' ORDER BY segment) FROM {_TAKEN} t WHERE t.release = m.release AND t.ns = m.ns AND segment <> '' AND NOT contains(segment, '/')), '') AS reserved, (SELECT count(*) FROM placed p WHERE p.release = m.release AND p.namespace = m.ns AND NOT "foreign") AS term_count
+query("namespace_table", lambda m: m.namespaces.withColumn("reserved", F.array_join("reserved", " ")), f"""SELECT m.release, m.ns, coalesce(declared, {KNOWN.format('m.ns')}) AS prefix, doc.iri AS document, coalesce((SELECT string_agg(segment, ' ' ORDER BY segment) FROM {_TAKEN} t WHERE t.release = m.release AND t.ns = m.ns AND segment <> '' AND NOT contains(segment, '/')), '') AS reserved, (SELECT count(*) FROM placed p WHERE p.release = m.release AND p.namespace = m.ns AND NOT "foreign") AS term_count
   FROM minted m LEFT JOIN pof ON pof.release = m.release AND pof.ns = m.ns LEFT JOIN doc ON doc.release = m.release AND doc.iri = m.ns""")
-query("release_stats", lambda m: m.terms.groupBy("release").agg(F.count_if(~c("foreign")).alias("terms_local"), F.count_if("foreign").alias("terms_foreign")).join(m.quads.groupBy("release").agg(F.count("*").alias("triples"), F.countDistinct("file").alias("files")), "release").join(m.document_set.groupBy("release").agg(F.count("*").alias("documents")), "release").join(m.minted.groupBy("release").agg(F.count("*").alias("namespaces")), "release"), "SELECT release, count(*) FILTER (NOT \"foreign\") AS terms_local, count(*) FILTER (\"foreign\") AS terms_foreign, (SELECT count(*) FROM q WHERE q.release = t.release) AS triples, (SELECT count(DISTINCT file) FROM q WHERE q.release = t.release) AS files, (SELECT count(*) FROM doc WHERE doc.release = t.release) AS documents, (SELECT count(*) FROM minted WHERE minted.release = t.release) AS namespaces FROM placed t GROUP BY release")
+query("release_stats", lambda m: m.stats, "SELECT release, count(*) FILTER (NOT \"foreign\") AS terms_local, count(*) FILTER (\"foreign\") AS terms_foreign, (SELECT count(*) FROM q WHERE q.release = t.release) AS triples, (SELECT count(DISTINCT file) FROM q WHERE q.release = t.release) AS files, (SELECT count(*) FROM doc WHERE doc.release = t.release) AS documents, (SELECT count(*) FROM minted WHERE minted.release = t.release) AS namespaces FROM placed t GROUP BY release")
 query("kind_counts", lambda m: m.local.groupBy("release", "kind").agg(F.count("*").alias("n")), "SELECT release, kind, count(*) AS n FROM terms WHERE NOT \"foreign\" GROUP BY ALL")
 query("case_folded_terms", lambda m: case_folds(m.local).select(*KEY, "local_name"), "SELECT release, iri, local_name FROM (SELECT *, row_number() OVER (PARTITION BY release, namespace, lower(local_name) ORDER BY local_name) AS n FROM terms WHERE NOT \"foreign\") WHERE n > 1")
 query("reference_view", lambda m: m.terms.select("release", F.explode("super_terms").alias("iri")).distinct().join(m.terms.select(*KEY, F.get("labels", 0)["value"].alias("label"), "curie", "foreign"), KEY, "left").select(*KEY, F.coalesce("label", I.local_name(c("iri"))).alias("label"), "curie", "foreign"), f"SELECT DISTINCT x.release, x.iri, coalesce(t.labels[1].value, {_LOCAL.format('x.iri')}, x.iri) AS label, t.prefix || ':' || t.local_name AS curie, t.\"foreign\" FROM (SELECT release, unnest(super_terms) AS iri FROM terms) x LEFT JOIN terms t ON t.release = x.release AND t.iri = x.iri")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import audits, changes, lints, models, requests, scalars
+from . import audits, changes, lints, models, publish, requests, scalars, shacl
 
-_MODULES = (scalars, models, lints, changes, audits, requests)
+_MODULES = (scalars, models, lints, shacl, changes, audits, requests, publish)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

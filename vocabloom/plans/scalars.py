@@ -53,13 +53,10 @@ scalar("resolve_internal", _LINKS, lambda: {"target": iri.resolve_internal(c("pa
 scalar("percent_decode", "SELECT p_partkey AS k, '/part/' || replace(p_name, ' ', CASE p_partkey % 4 WHEN 0 THEN '%20' WHEN 1 THEN '+' WHEN 2 THEN '%C3%A9' ELSE '%2B' END) AS path FROM {part}", lambda: {"path": iri.percent_decode(c("path"))}, "url_decode(path) AS path")
 
 scalar("oneline", TEXTS, lambda: {"line": text.oneline(c("text"))}, "trim(regexp_replace(text, '\\s+', ' ', 'g')) AS line")
-_SUMMED = "SELECT doc_id AS k, substr(text, 1, 200) AS text FROM {documents} WHERE text IS NOT NULL"
 _LINE = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
-scalar("summary", _SUMMED, lambda: {"summary": text.summary(c("text"))}, f"CASE WHEN contains({_LINE}, '. ') AND strlen(split_part({_LINE}, '. ', 1)) > 40 THEN split_part({_LINE}, '. ', 1) || '.' ELSE {_LINE} END AS summary")
-# The SQL still reads 200 characters; the query reads whole texts.
-QUERIES["summary"] = lambda spark, sf_dir: view(spark, sf_dir, TEXTS).select("k", text.summary(c("text")).alias("summary"))
+scalar("summary", TEXTS, lambda: {"summary": text.summary(c("text"))}, f"CASE WHEN contains({_LINE}, '. ') AND strlen(split_part({_LINE}, '. ', 1)) > 40 THEN split_part({_LINE}, '. ', 1) || '.' ELSE {_LINE} END AS summary")
 scalar("yaml_scalar", TEXTS, lambda: {"yaml": text.yaml_scalar(c("text"))}, "'\"' || replace(replace(replace(replace(replace(text, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') || '\"' AS yaml")
-scalar("abstract_paragraphs", "SELECT doc_id AS k, replace(text, chr(10), CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) ELSE '  ' END) AS text FROM {documents} WHERE text IS NOT NULL", lambda: {"n": F.size(text.paragraphs(c("text"))).cast("long"), "joined": F.array_join(text.paragraphs(c("text")), "|")}, "len(ps) AS n, array_to_string(ps, '|') AS joined".replace("ps", "list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: trim(regexp_replace(p, '\\s+', ' ', 'g'))), lambda p: p <> '')"))
+scalar("abstract_paragraphs", "SELECT doc_id AS k, replace(text, chr(10), CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) ELSE '  ' END) AS text FROM {documents}", lambda: {"n": F.size(text.paragraphs(c("text"))).cast("long"), "joined": F.array_join(text.paragraphs(c("text")), "|")}, "len(ps) AS n, array_to_string(ps, '|') AS joined".replace("ps", "list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: trim(regexp_replace(p, '\\s+', ' ', 'g'))), lambda p: p <> '')"))
 _TITLES = "SELECT p_partkey AS k, repeat(p_name || ' ', p_size % 9 + 1) || 'é' AS label, CASE WHEN p_partkey % 3 > 0 THEN 'part:' || p_partkey END AS curie, p_brand AS site FROM {part}"
 _HEAD = "CASE WHEN length(coalesce(label || ' (' || curie || ')', label)) <= 70 THEN coalesce(label || ' (' || curie || ')', label) ELSE label END"
 scalar("page_title", _TITLES, lambda: {"title": text.page_title(c("label"), c("curie"), c("site"))}, f"CASE WHEN length({_HEAD}) + 3 + length(site) <= 70 THEN {_HEAD} || ' — ' || site WHEN length({_HEAD}) <= 70 THEN {_HEAD} ELSE rtrim(left({_HEAD}, 69)) || '…' END AS title")

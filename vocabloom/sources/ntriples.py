@@ -7,25 +7,37 @@ from pyspark.sql import functions as F
 
 from ..vocabulary import RDF, XSD
 
-_TERM = r'<[^>]*>|_:[^\s]+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?'
-_LINE = rf"^\s*(<[^>]*>|_:[^\s]+)\s+<([^>]*)>\s+({_TERM})\s*(?:<([^>]*)>)?\s*\.\s*(?:#.*)?$"
-# The escapes of the format.
-_ESCAPES = {"\\t": "\t", "\\n": "\n", "\\r": "\r", '\\"': '"'}
+# possessive quantifiers: a literal of any length is read without recursion
+_TERM = r'<[^>]*+>|_:[^\s]++|"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:@[A-Za-z0-9-]++|\^\^<[^>]*+>)?'
+_LINE = rf"^\s*+(<[^>]*+>|_:[^\s]++)\s++<([^>]*+)>\s++({_TERM})\s*+(?:<([^>]*+)>)?\s*+\.\s*+(?:#.*+)?$"
+# The single-letter escapes of the format.
+_ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
 c = F.col
 
 
+def _code_point(hexadecimal: Column) -> Column:
+    """The character of a code point, by way of UTF-32."""
+    return F.decode(F.unhex(F.lpad(hexadecimal, 8, "0")), "UTF-32BE")
+
+
 def _plain(text: Column) -> Column:
-    """Undo the single-letter escapes."""
-    out = F.replace(text, F.lit("\\\\"), F.lit("\x00"))
-    for escaped, raw in _ESCAPES.items():
-        out = F.replace(out, F.lit(escaped), F.lit(raw))
-    return F.replace(out, F.lit("\x00"), F.lit("\\"))
+    """Undo the escapes of a literal or an IRI: pieces that begin with a backslash are replaced one by one."""
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)(\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]++)"), 1)
+    letters = F.create_map(*(F.lit(x) for pair in _ESCAPES.items() for x in pair))
+
+    def piece(x: Column) -> Column:
+        one = F.substring(x, 2, 1)
+        coded = (one.isin("u", "U")) & (F.length(x) > 2)
+        return F.when(~x.startswith("\\"), x).when(coded, _code_point(F.substr(x, F.lit(3)))).otherwise(F.coalesce(letters[one], x))
+
+    return F.when(text.contains("\\"), F.array_join(F.transform(pieces, piece), "")).otherwise(text)
 
 
 def _escaped(text: Column) -> Column:
     out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    for escaped, raw in _ESCAPES.items():
-        out = F.replace(out, F.lit(raw), F.lit(escaped))
+    for letter, raw in _ESCAPES.items():
+        if letter not in "'\\":
+            out = F.replace(out, F.lit(raw), F.lit("\\" + letter))
     return out
 
 
@@ -42,8 +54,8 @@ def scan(spark: SparkSession, paths: str | list[str], release: str = "") -> Data
     """
     lines = spark.read.text(paths).select(F.lit(release).alias("release"), c("_metadata.file_path").alias("file"), _place().alias("seq"), "value")
     parts = {n: F.regexp_extract("value", _LINE, i) for i, n in enumerate(("s", "p", "o", "g"), 1)}
-    rows = lines.filter(c("value").rlike(_LINE)).withColumns(parts)
-    node = lambda x: F.when(x.startswith("_:"), F.substr(x, F.lit(3))).otherwise(F.regexp_replace(x, "^<|>$", ""))
+    rows = lines.withColumns(parts).filter("p <> ''")
+    node = lambda x: F.when(x.startswith("_:"), F.substr(x, F.lit(3))).otherwise(_plain(F.regexp_replace(x, "^<|>$", "")))
     literal = c("o").startswith('"')
     dt = F.nullif(F.regexp_extract("o", r'\^\^<([^>]*)>$', 1), F.lit(""))
     return rows.select(
@@ -54,7 +66,7 @@ def scan(spark: SparkSession, paths: str | list[str], release: str = "") -> Data
         node(c("s")).alias("s"),
         F.when(c("s").startswith("_:"), "bnode").otherwise("iri").alias("s_kind"),
         "p",
-        F.when(literal, _plain(F.regexp_extract("o", r'(?s)^"(.*)"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?$', 1))).otherwise(node(c("o"))).alias("o"),
+        F.when(literal, _plain(F.regexp_extract("o", r'(?s)^"([^"\\]*+(?:\\.[^"\\]*+)*+)"', 1))).otherwise(node(c("o"))).alias("o"),
         F.when(literal, "literal").when(c("o").startswith("_:"), "bnode").otherwise("iri").alias("o_kind"),
         F.when(literal, F.nullif(F.regexp_extract("o", r'"@([A-Za-z0-9-]+)$', 1), F.lit(""))).alias("lang"),
         F.when(literal & ~dt.isin(XSD + "string", RDF + "langString"), dt).alias("dt"),
