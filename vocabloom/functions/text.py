@@ -82,6 +82,11 @@ def node_key(value: Column, kind: Column) -> Column:
     return F.when(kind == "iri", value).when(kind == "bnode", F.concat(F.lit("_:"), value))
 
 
+def term_iri(value: Column, kind: Column) -> Column:
+    """The IRI of a named node; null for others."""
+    return F.when(kind == "iri", value)
+
+
 def quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
 

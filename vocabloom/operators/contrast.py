@@ -42,3 +42,31 @@ def merged(defaults: DataFrame, overlay: DataFrame) -> DataFrame:
     """A palette where the overlay's colours win."""
     keys = ["theme", "scheme", "role"]
     return defaults.withColumnRenamed("hex", "_old").join(overlay.withColumnRenamed("hex", "_new"), keys, "full_outer").select(*keys, F.coalesce("_new", "_old").alias("hex"))
+
+
+# The roles that a palette has.
+ROLES = ["text", "text-muted", "link", "link-visited", "focus", "surface", "surface-alt", "surface-code", "border", "badge-fg", "badge-bg", "banner-fg", "banner-bg"]
+
+
+def schema_faults(palette: DataFrame) -> DataFrame:
+    """(theme, scheme, role, fault): roles that a palette lacks, and roles that are none."""
+    unknown = palette.filter(~c("role").isin(ROLES)).select("theme", "scheme", "role", F.lit("unknown").alias("fault"))
+    held = palette.groupBy("theme", "scheme").agg(F.collect_set(F.when(c("role").isin(ROLES), c("role"))).alias("roles"))
+    missing = held.select("theme", "scheme", F.explode(F.array_except(F.array(*map(F.lit, ROLES)), "roles")).alias("role"), F.lit("missing").alias("fault"))
+    return unknown.unionByName(missing)
+
+
+def published_gate(palette: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(theme, failed, faults, publishable): whether all pairs of a theme pass and its tokens are sound."""
+    failed = contrast_pairs(palette, pairs).filter(~c("passed")).groupBy("theme").agg(F.count("*").alias("failed"))
+    faults = malformed(palette).select("theme").unionByName(schema_faults(palette).select("theme")).groupBy("theme").agg(F.count("*").alias("faults"))
+    rows = palette.select("theme").distinct().join(failed, "theme", "left").join(faults, "theme", "left")
+    zero = lambda n: F.coalesce(n, F.lit(0))
+    return rows.select("theme", zero("failed").alias("failed"), zero("faults").alias("faults"), ((zero("failed") == 0) & (zero("faults") == 0)).alias("publishable"))
+
+
+def undefined_tokens(sheets: DataFrame) -> DataFrame:
+    """(site, path, token): custom properties that a style sheet (site, path, css) reads and no sheet of its site sets; one with a fallback is no fault."""
+    read = sheets.select("site", "path", F.explode(F.array_distinct(F.regexp_extract_all("css", F.lit(r"var\(\s*(--[A-Za-z0-9_-]+)\s*\)"), 1))).alias("token"))
+    made = sheets.select("site", F.explode(F.regexp_extract_all("css", F.lit(r"(--[A-Za-z0-9_-]+)\s*:"), 1)).alias("token")).distinct()
+    return read.join(made, ["site", "token"], "left_anti").select("site", "path", "token")

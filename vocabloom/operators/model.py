@@ -138,6 +138,7 @@ class Model:
         """keep: called with the tables that others build on and their names; it may store them."""
         scoped = lambda node, kind: F.when(c(kind) == "bnode", F.concat_ws("|", "file", node)).otherwise(c(node))
         self.keep = keep
+        self.raw = quads
         self.quads = keep(quads.withColumns({"s": scoped("s", "s_kind"), "o": scoped("o", "o_kind")}), "quads")
         self.prefixes = prefixes
         self.spark = quads.sparkSession

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import http
+from ..functions import iri as I
+from .layout import STATUS, Layout, public_path, term_path
 from .model import prefixes_of
 
 #: Media types of a term's representations with their suffixes; the first is the default and has none in its address.
@@ -34,24 +36,54 @@ def select_representation(accept: Column, query: Column) -> Column:
     )
 
 
-def resolve(requests: DataFrame, mounts: DataFrame, terms: DataFrame, key: str = "request_id", status: int = 303) -> DataFrame:
-    """(key, outcome, media_type, target, status) of requests, given mounts (mount) and terms (mount, local).
+def match(requests: DataFrame, layout: Layout) -> DataFrame:
+    """(release, path, ns, segment, local): for each path of requests (release, path) the namespace with the longest mount that it starts with.
 
-    The longest mount that a path starts with owns it. What is no published term in its mount, has a suffix or goes
-    deeper passes through; a term is served in the default type, or redirected to the chosen one.
+    A first segment that is a snapshot's, with more after it, belongs to that snapshot. Paths under no mount are left out.
     """
-    paths = requests.select("path").distinct()
-    starts = paths.select("path", F.explode(F.concat(prefixes_of(c("path")), F.filter(F.array("path"), lambda p: p.endswith("/")))).alias("mount"))
-    owner = starts.join(mounts, "mount").groupBy("path").agg(F.max_by("mount", F.length("mount")).alias("mount"))
-    local = F.regexp_replace(F.substr(c("path"), F.length("mount") + 1), "/+$", "")
-    found = owner.select("path", "mount", local.alias("local")).join(terms, ["mount", "local"])
-    chosen = requests.join(found, "path", "left").withColumn("media_type", F.when(c("mount").isNotNull(), select_representation(c("accept"), c("query"))))
-    suffix = F.create_map(*(F.lit(x) for pair in REPRESENTATIONS.items() for x in pair))[c("media_type")]
+    paths = requests.select("release", "path").distinct()
+    starts = paths.select("release", "path", F.explode(F.concat(prefixes_of(c("path")), F.filter(F.array("path"), lambda p: p.endswith("/")))).alias("mount"))
+    latest = layout.entries.filter("segment = ''").select("release", "mount", "ns")
+    owner = starts.join(latest, ["release", "mount"]).groupBy("release", "path").agg(F.max_by(F.struct("mount", "ns"), F.length("mount")).alias("o"))
+    rest = F.regexp_replace(F.substr(c("path"), F.length("o.mount") + 1), "/+$", "")
+    rows = owner.select("release", "path", c("o.ns").alias("ns"), rest.alias("rest")).withColumn("segment", F.when(c("rest").contains("/"), F.substring_index("rest", "/", 1)))
+    snaps = layout.snapshots.select("release", "ns", "segment", F.lit(True).alias("known"))
+    both = rows.join(snaps, ["release", "ns", "segment"], "left")
+    within = F.coalesce("known", F.lit(False))
+    return both.select("release", "path", "ns", F.when(within, c("segment")).otherwise("").alias("segment"), F.when(within, F.substr(c("rest"), F.length("segment") + 2)).otherwise(c("rest")).alias("local"))
+
+
+def resolve(requests: DataFrame, layout: Layout, key: str = "request_id") -> DataFrame:
+    """(key, release, path, outcome, media_type, target, status) of requests (key, release, path, accept, query).
+
+    A term is served in the default type, or redirected to the chosen one. What is no published term passes through: paths
+    that go deeper, have the suffix of a representation or a name that isn't a term.
+    """
+    found = match(requests, layout).join(layout.terms.select("release", "ns", "local", "style"), ["release", "ns", "local"]).join(layout.entries.select("release", "ns", "segment", "mount"), ["release", "ns", "segment"])
+    return outcomes(requests.join(found, ["release", "path"], "left"), key)
+
+
+def outcomes(rows: DataFrame, key: str) -> DataFrame:
+    """The outcomes of requests with the term of each (mount, local, style; null without one). Stateless, so rows may be a stream."""
+    suffix = F.create_map(*(F.lit(x) for pair in REPRESENTATIONS.items() for x in pair))
+    negotiated = c("mount").isNotNull() & ~F.exists(F.array(*(F.lit(s) for t, s in REPRESENTATIONS.items() if t != DEFAULT)), lambda s: F.endswith(c("local"), s))
+    chosen = rows.withColumn("media_type", F.when(negotiated, select_representation(c("accept"), c("query"))))
     serve = c("media_type") == DEFAULT
-    return chosen.select(
-        key,
-        F.when(c("mount").isNull(), "pass-through").when(serve, "serve").otherwise("redirect").alias("outcome"),
-        "media_type",
-        F.when(serve, F.concat(F.regexp_replace("mount", "^/+", ""), "local", suffix)).otherwise(F.concat("mount", "local", suffix)).alias("target"),
-        F.when(serve, 200).when(c("mount").isNotNull(), status).alias("status"),
-    )
+    file = F.regexp_replace(term_path(c("mount"), c("local"), c("style"), suffix[c("media_type")]), "^/+", "")
+    public = public_path(c("mount"), c("local"), c("style"), suffix[c("media_type")])
+    outcome = F.when(c("media_type").isNull(), "pass-through").when(serve, "serve").otherwise("redirect")
+    return chosen.select(key, "release", "path", outcome.alias("outcome"), "media_type", F.when(serve, file).otherwise(public).alias("target"), F.when(serve, 200).when(c("media_type").isNotNull(), STATUS).alias("status"))
+
+
+def answers(requests: DataFrame, layout: Layout, files: DataFrame, key: str = "request_id") -> DataFrame:
+    """(key, outcome, status, target, content_type): what a host answers; what isn't negotiated is looked up, to the letter, in files (release, path): as it is, as a folder's index with or without a slash, else it is missing."""
+    resolved = resolve(requests, layout, key)
+    plain = F.regexp_replace("path", "^/+", "")
+    ways = F.array(*(F.struct(F.lit(i).alias("at"), F.concat(plain, F.lit(end)).alias("file")) for i, end in enumerate(("", "index.html", "/index.html"))))
+    asked = resolved.filter("outcome = 'pass-through'").select("release", "path").distinct().select("release", "path", F.explode(ways).alias("x")).select("release", "path", "x.*")
+    there = asked.join(files.select("release", c("path").alias("file")).distinct(), ["release", "file"]).groupBy("release", "path").agg(F.min_by("file", "at").alias("file"))
+    rows = resolved.join(there, ["release", "path"], "left")
+    passed = c("outcome") == "pass-through"
+    outcome = F.when(passed & c("file").isNotNull(), "file").when(passed, "missing").otherwise(c("outcome"))
+    kind = F.when(c("outcome") == "serve", I.media_type_of(c("target"))).when(passed & c("file").isNotNull(), I.media_type_of(c("file")))
+    return rows.select(key, outcome.alias("outcome"), F.when(passed, F.when(c("file").isNotNull(), 200).otherwise(404)).otherwise(c("status")).alias("status"), F.when(passed, c("file")).otherwise(c("target")).alias("target"), kind.alias("content_type"))

@@ -178,7 +178,7 @@ def ordered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(order))
 
 
-def _short(m: Model, rows: DataFrame, column: str) -> DataFrame:
+def short_forms(m: Model, rows: DataFrame, column: str) -> DataFrame:
     """(…, short): an IRI column's prefix:local, else the IRI."""
     names = m.prefix_of.select("release", c("ns").alias("_ns"), "declared")
     known = rows.withColumn("_ns", I.namespace_part(c(column))).join(names, ["release", "_ns"], "left")
@@ -190,8 +190,8 @@ def record_template(m: Model) -> DataFrame:
     rows = m.keep(ordered(constraints(m)), "ordered_constraints")
     key = ["release", "shape", "place"]
     each = rows.select(*key, F.posexplode(F.concat("datatypes", "classes")).alias("at", "iri"))
-    types = _short(m, each, "iri").groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "short"))), lambda x: x["short"]), " or ").alias("types"))
-    path = _short(m, rows.filter("path_kind in ('predicate', 'inverse')").select(*key, "path"), "path").select(*key, "short")
+    types = short_forms(m, each, "iri").groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "short"))), lambda x: x["short"]), " or ").alias("types"))
+    path = short_forms(m, rows.filter("path_kind in ('predicate', 'inverse')").select(*key, "path"), "path").select(*key, "short")
     labels = m.terms.select("release", c("iri").alias("path"), text.pick_lang(c("labels"), F.lit("en"))["value"].alias("label"))
     whole = rows.join(types, key, "left").join(path, key, "left").join(labels, ["release", "path"], "left")
     kind = I.local_name(c("node_kind"))
@@ -208,7 +208,7 @@ def targeting(m: Model) -> DataFrame:
     shapes = m.keep(node_shapes(m), "node_shapes")
     marked = lambda kind: F.transform(kind, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), x.alias("iri")))
     each = shapes.select("release", "shape", F.explode(F.concat(*map(marked, list(TARGETS)[:3]))).alias("x")).select("release", "shape", "x.*")
-    named = _short(m, each, "iri").groupBy("release", "shape").agg(F.array_sort(F.collect_list(F.struct("kind", "at", "short"))).alias("all"))
+    named = short_forms(m, each, "iri").groupBy("release", "shape").agg(F.array_sort(F.collect_list(F.struct("kind", "at", "short"))).alias("all"))
     of = lambda kind: F.transform(F.filter("all", lambda x: x["kind"] == kind), lambda x: x["short"])
     classes = F.when(F.size("target_classes") > 0, F.concat(F.lit("instances of "), F.array_join(of("target_classes"), ", ")))
     subjects = F.transform(of("target_subjects_of"), lambda x: F.concat(F.lit("anything with a "), x, F.lit(" statement")))

@@ -100,7 +100,6 @@ def query(name: str, build: Callable[[Model], DataFrame], sql: str) -> None:
 
 
 joined = lambda column: F.array_join(column, " ").alias(column)
-query("scan_triples", lambda m: m.quads.groupBy("release", "file", "o_kind").agg(F.count("*").alias("n"), F.countDistinct("s").alias("subjects")), "SELECT release, file, o_kind, count(*) AS n, count(DISTINCT s) AS subjects FROM q GROUP BY ALL")
 query("file_stats", lambda m: m.quads.groupBy("release", "file").agg(F.count("*").alias("triples")), "SELECT release, file, count(*) AS triples FROM q GROUP BY ALL")
 query("prefix_map", lambda m: m.prefix_map, "SELECT * FROM pmap")
 query("bnode_labels", lambda m: m.quads.filter("s_kind = 'bnode'").groupBy("release", "s").agg(F.count("*").alias("n")), "SELECT release, s, count(*) AS n FROM q WHERE s_kind = 'bnode' GROUP BY ALL")
@@ -118,7 +117,6 @@ query("minted_namespaces", lambda m: m.minted, "SELECT * FROM minted")
 query("file_signals", lambda m: m.file_signals.select("release", "file", joined("file_types"), joined("file_predicates")), "SELECT release, file, array_to_string(file_types, ' ') AS file_types, array_to_string(file_predicates, ' ') AS file_predicates FROM sig")
 query("profile_detect", lambda m: m.document_profiles.select(*KEY, "profile"), "SELECT release, iri, profile FROM prof")
 query("document_kind", lambda m: m.documents.select(*KEY, "document_kind"), "SELECT release, iri, document_kind FROM docs")
-query("document_header", lambda m: m.documents.select(*KEY, "file", *HEADER_SCALARS, *(joined(n) for n in HEADER_IRIS)), f"SELECT release, iri, file, {', '.join(HEADER_SCALARS)}, {', '.join(f'''array_to_string({n}, ' ') AS {n}''' for n in HEADER_IRIS)} FROM docs")
 query("first_scalar", lambda m: m.named.groupBy("release", "s").agg(first_of(c("p") == RDFS + "label").alias("label")).dropna(), f"SELECT release, s, {_scalar(RDFS + 'label')} AS label FROM q WHERE s_kind = 'iri' AND p = '{RDFS}label' GROUP BY ALL")
 query("agents", lambda m: m.agents(DCTERMS + "creator"), f"""SELECT q.release, q.s AS iri, q.seq, CASE q.o_kind WHEN 'iri' THEN q.o END AS agent, CASE q.o_kind WHEN 'literal' THEN q.o ELSE coalesce(f.foaf, f.label) END AS name, CASE WHEN q.o_kind <> 'literal' THEN f.kind END AS kind
   FROM q JOIN doc ON doc.release = q.release AND doc.iri = q.s LEFT JOIN (SELECT release, s, {_scalar(FOAF + 'name')} AS foaf, {_scalar(RDFS + 'label')} AS label, min(o) FILTER (p = '{TYPE}') AS kind FROM q GROUP BY ALL) f ON f.release = q.release AND f.s = q.o WHERE q.p = '{DCTERMS}creator'""")
@@ -144,6 +142,4 @@ query("namespace_table", lambda m: m.namespaces.withColumn("reserved", F.array_j
 query("release_stats", lambda m: m.stats, "SELECT release, count(*) FILTER (NOT \"foreign\") AS terms_local, count(*) FILTER (\"foreign\") AS terms_foreign, (SELECT count(*) FROM q WHERE q.release = t.release) AS triples, (SELECT count(DISTINCT file) FROM q WHERE q.release = t.release) AS files, (SELECT count(*) FROM doc WHERE doc.release = t.release) AS documents, (SELECT count(*) FROM minted WHERE minted.release = t.release) AS namespaces FROM placed t GROUP BY release")
 query("kind_counts", lambda m: m.local.groupBy("release", "kind").agg(F.count("*").alias("n")), "SELECT release, kind, count(*) AS n FROM terms WHERE NOT \"foreign\" GROUP BY ALL")
 query("case_folded_terms", lambda m: case_folds(m.local).select(*KEY, "local_name"), "SELECT release, iri, local_name FROM (SELECT *, row_number() OVER (PARTITION BY release, namespace, lower(local_name) ORDER BY local_name) AS n FROM terms WHERE NOT \"foreign\") WHERE n > 1")
-query("reference_view", lambda m: m.terms.select("release", F.explode("super_terms").alias("iri")).distinct().join(m.terms.select(*KEY, F.get("labels", 0)["value"].alias("label"), "curie", "foreign"), KEY, "left").select(*KEY, F.coalesce("label", I.local_name(c("iri"))).alias("label"), "curie", "foreign"), f"SELECT DISTINCT x.release, x.iri, coalesce(t.labels[1].value, {_LOCAL.format('x.iri')}, x.iri) AS label, t.prefix || ':' || t.local_name AS curie, t.\"foreign\" FROM (SELECT release, unnest(super_terms) AS iri FROM terms) x LEFT JOIN terms t ON t.release = x.release AND t.iri = x.iri")
 query("document_sections", lambda m: m.local.groupBy("release", "defined_in", "kind").agg(F.count("*").alias("n"), F.min(F.lower(F.coalesce(F.get("labels", 0)["value"], "local_name"))).alias("first")), "SELECT release, defined_in, kind, count(*) AS n, min(lower(coalesce(labels[1].value, local_name))) AS first FROM terms WHERE NOT \"foreign\" GROUP BY ALL")
-query("bounded_description", lambda m: m.quads.filter("s_kind = 'iri' and o_kind = 'bnode'").alias("a").join(m.quads.filter("s_kind = 'bnode'").alias("b"), F.expr("a.release = b.release and a.o = b.s")).groupBy(F.col("a.release").alias("release"), F.col("a.s").alias("s")).agg(F.count("*").alias("n")), "SELECT a.release, a.s, count(*) AS n FROM q a JOIN q b ON a.release = b.release AND a.o = b.s WHERE a.s_kind = 'iri' AND a.o_kind = 'bnode' AND b.s_kind = 'bnode' GROUP BY ALL")

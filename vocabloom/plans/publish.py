@@ -33,7 +33,7 @@ _MOUNT = "regexp_replace(regexp_replace(ns, '^.*?//', ''), '^[^/]*/', '')"
 _MOUNT = f"CASE WHEN rtrim({_MOUNT}, '#') = '' THEN '' ELSE rtrim(rtrim({_MOUNT}, '#'), '/') || '/' END"
 _EN = "coalesce(list_filter({0}, lambda v: v.lang = 'en')[1].value, list_filter({0}, lambda v: v.lang IS NULL)[1].value, {0}[1].value)"
 _VERSION = "CASE WHEN length(trim({0})) <= 64 AND regexp_full_match(trim({0}), '[0-9]+(\\.[0-9]+)*([-+][A-Za-z0-9._+-]*)?') THEN struct_pack(segment := trim({0}), source := '{1}') END"
-_REPS = "(VALUES " + ", ".join(f"('{m}', '{e}', {i})" for i, (_, m, e) in enumerate(REPRESENTATIONS)) + ") AS r(media_type, extension, rep_at)"
+REPS = "(VALUES " + ", ".join(f"('{m}', '{e}', {i})" for i, (_, m, e) in enumerate(REPRESENTATIONS)) + ") AS r(media_type, extension, rep_at)"
 _RES = "(SELECT DISTINCT m.release, m.ns, rtrim(substr(d.iri, length(m.ns) + 1), '/') AS segment FROM minted m JOIN (SELECT release, iri FROM doc UNION SELECT release, version_iri FROM docs WHERE version_iri IS NOT NULL) d ON d.release = m.release AND starts_with(d.iri, m.ns))"
 _FLIP = "CASE WHEN regexp_matches({0}, '^[A-Z]') THEN lower(left({0}, 1)) || substr({0}, 2) WHEN regexp_matches({0}, '^[a-z]') THEN upper(left({0}, 1)) || substr({0}, 2) ELSE {0} END"
 
@@ -54,8 +54,8 @@ man AS MATERIALIZED (SELECT n.release, n.ns, coalesce(n.prefix, replace(rtrim(n.
   FROM nsp n LEFT JOIN docs d ON d.release = n.release AND d.iri = n.document LEFT JOIN vals v ON v.release = d.release AND v.iri = d.iri AND v.field = 'document_title'),
 ent AS MATERIALIZED (SELECT release, ns, '' AS segment, ns AS iri_base, doc_base, mount, llms, cache, base_url FROM man UNION ALL SELECT s.release, s.ns, s.segment, s.url, s.url, m.mount || s.segment || '/', s.url || 'llms.txt', '{SNAPSHOT_CACHE}', m.base_url FROM snap s JOIN man m USING (release, ns)),
 adr AS MATERIALIZED (SELECT e.*, t.local, t.style, r.*, e.mount || t.local || CASE t.style WHEN 'dir' THEN '/' ELSE '' END AS request, CASE WHEN extension = '.html' THEN e.mount || t.local || CASE t.style WHEN 'dir' THEN '/' ELSE '' END ELSE e.mount || t.local || CASE t.style WHEN 'dir' THEN '/index' ELSE '' END || extension END AS public,
-  ltrim(e.mount || t.local || CASE t.style WHEN 'dir' THEN '/index' ELSE '' END || extension, '/') AS file FROM ent e JOIN st t USING (release, ns), {_REPS}),
-lnk2 AS (SELECT a.release, a.ns, a.segment, a.local, a.media_type, '<' || rtrim(base_url, '/') || request || '>; rel="canonical", <' || iri_base || local || '>; rel="cite-as"' || (SELECT string_agg(', <' || CASE WHEN a.style = 'dir' THEN CASE WHEN r.extension = '.html' THEN './' ELSE 'index' || r.extension END ELSE a.local || CASE WHEN r.extension = '.html' THEN '' ELSE r.extension END END || '>; rel="alternate"; type="' || r.media_type || '"', '' ORDER BY r.rep_at) FROM {_REPS} WHERE r.media_type <> a.media_type) || ', <' || CASE WHEN a.style = 'dir' THEN '../' ELSE '' END || 'llms.txt>; rel="describedby"; type="text/plain"' AS link FROM adr a)
+  ltrim(e.mount || t.local || CASE t.style WHEN 'dir' THEN '/index' ELSE '' END || extension, '/') AS file FROM ent e JOIN st t USING (release, ns), {REPS}),
+lnk2 AS (SELECT a.release, a.ns, a.segment, a.local, a.media_type, '<' || rtrim(base_url, '/') || request || '>; rel="canonical", <' || iri_base || local || '>; rel="cite-as"' || (SELECT string_agg(', <' || CASE WHEN a.style = 'dir' THEN CASE WHEN r.extension = '.html' THEN './' ELSE 'index' || r.extension END ELSE a.local || CASE WHEN r.extension = '.html' THEN '' ELSE r.extension END END || '>; rel="alternate"; type="' || r.media_type || '"', '' ORDER BY r.rep_at) FROM {REPS} WHERE r.media_type <> a.media_type) || ', <' || CASE WHEN a.style = 'dir' THEN '../' ELSE '' END || 'llms.txt>; rel="describedby"; type="text/plain"' AS link FROM adr a)
 """
 
 
@@ -68,7 +68,7 @@ joined = lambda n: F.array_join(n, " ").alias(n)
 query("namespace_plan", lambda s: s.namespaces, "SELECT * FROM nsp")
 query("term_style", lambda s: s.terms, "SELECT * FROM st")
 query("term_paths", lambda s: s.term_paths, "SELECT a.release, a.ns, a.local, a.media_type, a.file AS path, rtrim(base_url, '/') || public AS url, rtrim(base_url, '/') || request AS page_url, request AS request_path FROM adr a WHERE segment = ''")
-_DOCUMENT_PATHS = f"(SELECT release, ns, media_type, mount || CASE media_type WHEN 'text/markdown' THEN '_index' WHEN 'text/html' THEN 'index' ELSE stem END || extension AS path, base_url, mount FROM nsp, {_REPS})"
+_DOCUMENT_PATHS = f"(SELECT release, ns, media_type, mount || CASE media_type WHEN 'text/markdown' THEN '_index' WHEN 'text/html' THEN 'index' ELSE stem END || extension AS path, base_url, mount FROM nsp, {REPS})"
 query("document_paths", lambda s: s.document_paths("_index"), f"SELECT release, ns, media_type, path, base_url || CASE media_type WHEN 'text/html' THEN mount ELSE path END AS url FROM {_DOCUMENT_PATHS} UNION ALL SELECT release, ns, 'text/plain', mount || 'llms.txt', base_url || mount || 'llms.txt' FROM nsp")
 query("version_of", lambda s: s.versions, "SELECT * FROM ver")
 query("snapshot_plan", lambda s: s.snapshots.withColumn("refused", F.lit(None).cast("string")).unionByName(s.refusals, allowMissingColumns=True).select("release", "ns", "segment", "source", "url", "refused"), "SELECT release, ns, segment, CASE WHEN refused IS NULL THEN source END AS source, CASE WHEN refused IS NULL THEN url END AS url, refused FROM cand WHERE refused IS DISTINCT FROM 'no version IRI'")

@@ -41,6 +41,17 @@ def _escaped(text: Column) -> Column:
     return out
 
 
+# The extensions of files that hold statements.
+FORMATS = ("ttl", "nt", "nq", "rdf", "trig", "jsonld", "owl", "xml")
+
+
+def expanded(files: DataFrame, folder: str) -> DataFrame:
+    """(path, format): of listed files (path) those right in a folder whose extension is of a known format, each once."""
+    name = F.substr("path", F.lit(len(folder) + 2))
+    kind = F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1))
+    return files.filter(c("path").startswith(folder + "/") & ~name.contains("/") & kind.isin(list(FORMATS))).select("path", kind.alias("format")).distinct()
+
+
 def _place() -> Column:
     """The number of a line's block of 64 KB, then the line's number in its partition (the low 33 bits of its id)."""
     block = F.floor(c("_metadata.file_block_start") / 65536).cast("long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -15,13 +16,21 @@ def _temporary() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where that is unset, as in local runs and tests."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or _temporary()).rstrip("/")
+    """The folder of spark.checkpoint.dir. Where that is unset, a local master gets a temporary one (tests); others get an error."""
+    given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not given and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (given or _temporary()).rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}/{name}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it again: its plan is then a scan, and lost executors don't matter."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}/{name}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

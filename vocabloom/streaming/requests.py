@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.negotiate import select_representation
+from ..operators import probe
+from ..operators.layout import Layout
+from ..operators.negotiate import outcomes, select_representation
+from ..sources.tables import shared_path
 
 c = F.col
 
@@ -24,3 +29,26 @@ def counts_by_window(requests: DataFrame, window: str = "1 hour", late: str = "1
 def first_findings(findings: DataFrame, late: str = "10 minutes") -> DataFrame:
     """One finding for each url and rule within the watermark of a stream (url, rule, ts)."""
     return findings.withWatermark("ts", late).dropDuplicatesWithinWatermark(["url", "rule"])
+
+
+def resolved(requests: DataFrame, layout: Layout) -> DataFrame:
+    """Outcomes of a stream of requests (request_id, release, path, accept, query): joined to the table of terms by path, without state."""
+    terms = layout.terms.select("release", "ns", "local", "style").join(layout.entries.select("release", "ns", "mount"), ["release", "ns"])
+    static = terms.select("release", F.concat("mount", "local").alias("at"), "mount", "local", "style")
+    rows = requests.withColumn("at", F.regexp_replace("path", "/+$", "")).join(static, ["release", "at"], "left")
+    return outcomes(rows, "request_id")
+
+
+def judged(answers: DataFrame) -> DataFrame:
+    """Findings on a stream of answered asks."""
+    return probe.judge(answers)
+
+
+def through(table: DataFrame, make: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Run a table through a stream: write it as files, read those as a stream until no more are there, and read what was written."""
+    spark = table.sparkSession
+    source, sink, marks = (shared_path(spark, f"{name}-{x}") for x in ("in", "out", "marks"))
+    table.write.parquet(source)
+    made = make(spark.readStream.schema(table.schema).parquet(source))
+    made.writeStream.format("parquet").option("checkpointLocation", marks).trigger(availableNow=True).start(sink).awaitTermination()
+    return spark.read.schema(made.schema).parquet(sink)
