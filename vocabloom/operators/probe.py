@@ -49,6 +49,18 @@ def probe_plan(layout: Layout, origin: str, sample: int | None = None) -> DataFr
     return out
 
 
+def scan_responses(asks: DataFrame, log: DataFrame, key: str = "n") -> DataFrame:
+    """Asks with the fields of a response log (key, line): status, type, vary, link, location, cache-control and open origins, between tabs.
+
+    An ask without a line, or with one whose first field is no number, has status 0; fields that a line lacks are empty.
+    """
+    names = ["content_type", "vary", "link", "location", "cache_control", "cors"]
+    got = log.select(key, F.split("line", "\t").alias("f"))
+    both = asks.join(got, key, "left")
+    status = F.coalesce(F.get("f", 0).try_cast("int"), F.lit(0))
+    return both.select(*asks.columns, status.alias("status"), *(F.coalesce(F.get("f", i + 1), F.lit("")).alias(n) for i, n in enumerate(names)))
+
+
 def answered(asks: DataFrame, responses: DataFrame) -> DataFrame:
     """Asks with the response to each (by url and accept, and by release if responses have it): status 0 and empty headers where there is none."""
     headers, keys = ["content_type", "vary", "link", "redirect"], [k for k in ("release", "url", "accept") if k in responses.columns]

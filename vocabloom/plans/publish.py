@@ -12,7 +12,7 @@ from ..operators.layout import LATEST_CACHE, REPRESENTATIONS, SNAPSHOT_CACHE, ST
 from ..sources.tables import written
 from ..vocabulary import DCTERMS, OWL
 from .derived import GEO
-from .inputs import BASE
+from .inputs import BASE, duck, view
 from .models import KNOWN, PRELUDE, kept, model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,3 +237,9 @@ QUERIES["resolve_cases"], ORACLE["resolve_cases"] = cases, CASES + "SELECT * FRO
 QUERIES["judge_case"], ORACLE["judge_case"] = verdicts, VERDICTS + "SELECT * FROM verdict"
 QUERIES["conformance_report"] = lambda spark, sf_dir: conform.conformance_report(verdicts(spark, sf_dir), conform.unresolved(layout(spark, sf_dir), cases(spark, sf_dir)))
 ORACLE["conformance_report"] = VERDICTS + 'SELECT release, grp, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed, (SELECT count(*) FROM gap g WHERE g.release = v.release) AS unresolved, (SELECT count(*) FROM gap g WHERE g.release = v.release) = 0 AND (SELECT count(*) FROM verdict w WHERE w.release = v.release AND NOT passed) = 0 AS conformant FROM verdict v GROUP BY release, grp'
+#: A request for each event, and the lines of a response log: some are missing, some are short.
+ASKED = "SELECT event_id AS n, '/part/' || user_id AS path FROM {events}"
+LOG = "SELECT event_id AS n, CASE WHEN event_id % 11 = 0 THEN 'timeout' WHEN event_id % 13 = 0 THEN '404' ELSE '200' || chr(9) || 'text/turtle' || chr(9) || 'Accept' || chr(9) || event_type || chr(9) || '/part/' || user_id || chr(9) || 'no-store' || CASE WHEN event_id % 2 = 0 THEN chr(9) || '*' ELSE '' END END AS line FROM {events} WHERE event_id % 7 > 0"
+QUERIES["scan_responses"] = lambda spark, sf_dir: probe.scan_responses(view(spark, sf_dir, ASKED), view(spark, sf_dir, LOG))
+_AT = "coalesce(split_part(line, chr(9), {}), '')"
+ORACLE["scan_responses"] = f"SELECT n, path, coalesce(TRY_CAST(split_part(line, chr(9), 1) AS INTEGER), 0) AS status, {', '.join(f'{_AT.format(i + 2)} AS {x}' for i, x in enumerate(('content_type', 'vary', 'link', 'location', 'cache_control', 'cors')))} FROM ({duck(ASKED)}) a LEFT JOIN ({duck(LOG)}) l USING (n)"

@@ -16,8 +16,9 @@ c = F.col
 
 
 def _code_point(hexadecimal: Column) -> Column:
-    """The character of a code point, by way of UTF-32."""
-    return F.decode(F.unhex(F.lpad(hexadecimal, 8, "0")), "UTF-32BE")
+    """The character of a code point, by way of UTF-32; null for numbers that are none."""
+    number = F.lpad(hexadecimal, 8, "0")
+    return F.when(number.rlike("^(0000(?![dD][89a-fA-F])|000[1-9a-fA-F]|0010)"), F.decode(F.unhex(number), "UTF-32"))
 
 
 def _plain(text: Column) -> Column:
