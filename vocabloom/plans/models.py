@@ -8,7 +8,6 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import iri as I
 from ..operators import profiles
 from ..operators.model import CHARACTERISTICS, HEADER_IRIS, HEADER_SCALARS, KIND_OF_TYPE, MAPPING_RELATIONS, STRUCTURAL, TERM_IRIS, Model, case_folds, first_of
 from ..sources.tables import written
