@@ -70,7 +70,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = [F.expr(f"CAST(size(filter(base_spans, s -> s.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in pii.KINDS]
     joined = {c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",") for c in ("base_spans", "spans")}
-    return found.select("doc_id", *count, F.sha2(joined["base_spans"], 256).alias("base_sha256"), joined["spans"].alias("spans"))
+    return found.select("doc_id", *count, F.sha2(joined["base_spans"], 256).alias("base_sha256"), joined["spans"].alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
