@@ -16,6 +16,10 @@ ANCHORS = (
 ).split()
 
 
+#: Bytes of a signature.
+_BYTES = 5
+
+
 def _signed(df: DataFrame, text_col: str, name: str, chain: int, anchors: list[str], few: int = 5) -> DataFrame:
     """Add the sorted distinct signatures of a text column, as 40-bit numbers, in the array column `name`."""
     words, content, places = f"{name}_words", f"{name}_content", f"{name}_places"
@@ -27,7 +31,7 @@ def _signed(df: DataFrame, text_col: str, name: str, chain: int, anchors: list[s
     single = F.transform(F.when(F.size(content) > 0, F.col(content)).otherwise(F.col(words)), lambda w: F.xxhash64(w))
     rest = F.when(F.size(words) > 0, F.concat(places, single)).when(F.length(text_col) > 0, F.array(F.xxhash64(text_col))).otherwise(F.array().cast("array<long>"))
     chosen = F.when(F.size(places) >= few, F.col(places)).otherwise(rest)
-    return df.withColumn(name, F.array_sort(F.array_distinct(F.transform(chosen, lambda x: x.bitwiseAND(F.lit((1 << 40) - 1)))))).drop(words, content, places)
+    return df.withColumn(name, F.array_sort(F.array_distinct(F.transform(chosen, lambda x: x.bitwiseAND(F.lit((1 << 8 * _BYTES) - 1)))))).drop(words, content, places)
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", name: str = "signatures", chain: int = 2, anchors: list[str] = ANCHORS) -> DataFrame:
@@ -53,6 +57,18 @@ def jaccard(a: str, b: str, threshold: float = 0.0) -> Column:
     return F.when(most == 0, 1.0).when((least == 0) | (least < most * threshold - 1e-9), 0.0).otherwise(common / (F.size(a) + F.size(b) - common))
 
 
+def packed(signatures: str) -> Column:
+    """Signatures as bytes, five each: what is written or shuffled is then a third smaller than an array of longs."""
+    return F.unhex(F.array_join(F.transform(signatures, lambda x: F.lpad(F.hex(x), 2 * _BYTES, "0")), ""))
+
+
+def unpacked(name: str) -> Column:
+    """The array of signatures that `packed` made bytes of."""
+    places = F.sequence(F.lit(0), (F.octet_length(name) / _BYTES).cast("int") - 1)
+    each = F.transform(places, lambda i: F.conv(F.hex(F.substring(F.col(name), i * _BYTES + 1, F.lit(_BYTES))), 16, 10).cast("long"))
+    return F.when(F.octet_length(name) > 0, each).otherwise(F.array().cast("array<long>"))
+
+
 def text_of(signatures: str) -> Column:
     """A fingerprint as a string: its signatures in lower-case hexadecimal, comma-joined."""
     return F.lower(F.array_join(F.transform(signatures, lambda x: F.hex(x)), ","))
@@ -102,38 +118,41 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     name, of likeness 1, and sets are paired by their names (an id with several texts can be paired with itself). Rows of one id and one set count once, null ids are left
     out, null texts count as empty, and empty sets are alike. An empty table gives no rows.
 
-    - Of two sets of that likeness, the shorter is in a length class between those of the longer and of `threshold` times
-      its length, and among the first signatures of each, n - ceil(threshold * n) + 1 of n, one is common, whatever the
-      order of signatures. They are joined by class and signature, and then compared on whole sets.
+    - Of two sets of that likeness, the longer is in a length class between those of the shorter's length and of this
+      length divided by `threshold`, and they share at least 2 * threshold / (1 + threshold) times the length of the shorter and threshold
+      times that of the longer. So one is common among the first signatures of each, which are n less that share (rounded
+      up) and one more, whatever the order of signatures. They are joined by class and signature, and then compared on
+      whole sets.
       Two sets can't share more than their common first signatures and what follows the last of these in either, so
       pairs for which that is too little are not compared.
     - Signatures are in the order of their values, which are hashes, but the 10,000 most frequent ones of a sample of the
       sets come last, the most frequent one at the end. That bears on the number of candidates only.
     """
     signed = fingerprints(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter("_id is not null"), "_text", "_sigs", chain, anchors)
-    keyed = written(signed.select("_id", F.xxhash64("_sigs").alias("_k1"), F.xxhash64(F.lit(1), "_sigs").alias("_k2"), "_sigs"), "signed")
+    keyed = written(signed.select("_id", F.xxhash64("_sigs").alias("_k1"), F.xxhash64(F.lit(1), "_sigs").alias("_k2"), packed("_sigs").alias("_sigs")), "signed")
     sets = keyed.groupBy("_k1", "_k2").agg(F.min("_id").alias("_name"), F.count("*").alias("_rows"), F.first("_sigs").alias("_sigs"))
-    sets = written(sets.select("*", F.size("_sigs").alias("_n"), F.monotonically_increasing_id().alias("_set")), "sets")
+    sets = written(sets.select("*", (F.octet_length("_sigs") / _BYTES).cast("int").alias("_n"), F.monotonically_increasing_id().alias("_set")), "sets")
 
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("_salt")
     shared = sets.filter("_rows > 1").select("_k1", "_k2", "_name", salts)
     same = keyed.select("_id", "_k1", "_k2", F.pmod(F.xxhash64("_id"), F.lit(64)).alias("_salt")).join(shared, ["_k1", "_k2", "_salt"]).filter("_id <> _name")
     same = same.select(F.col("_name").alias("first_id"), F.col("_id").alias("second_id"), F.lit(1.0).alias("likeness")).distinct()
 
-    sample = sets.filter(F.pmod("_k1", F.lit(8)) == 0).select(F.explode("_sigs").alias("_sig")).groupBy("_sig").count()
+    sample = sets.filter(F.pmod("_k1", F.lit(8)) == 0).select(F.explode(unpacked("_sigs")).alias("_sig")).groupBy("_sig").count()
     often = sample.filter("count > 1").orderBy(F.desc("count"), "_sig").limit(10_000)
     common = often.agg(F.array_sort(F.collect_list(F.struct("count", "_sig")))["_sig"].alias("_common"))
     least = F.greatest(F.ceil(F.col("_n") * threshold - 1e-9), F.lit(1)).cast("int")
-    ordered = sets.filter("_n > 0").crossJoin(F.broadcast(common)).withColumn("_ordered", F.concat(F.array_except("_sigs", "_common"), F.array_intersect("_common", "_sigs")))
-    first = ordered.select("_set", "_n", least.alias("_least"), F.posexplode(F.slice("_ordered", F.lit(1), F.col("_n") - least + 1)).alias("_at", "_sig"))
-    short = first.select(F.col("_set").alias("_a"), F.col("_n").alias("_na"), F.col("_at").alias("_ia"), "_sig", length_class(F.col("_n"), threshold).alias("_class"))
-    classes = F.sequence(length_class(F.col("_least"), threshold), length_class(F.col("_n"), threshold))
-    long = first.select(F.col("_set").alias("_b"), F.col("_n").alias("_nb"), F.col("_at").alias("_ib"), "_sig", F.explode(classes).alias("_class"))
+    shared_least = F.ceil(F.col("_n") * (2 * threshold / (1 + threshold)) - 1e-9).cast("int")
+    ordered = sets.filter("_n > 0").withColumn("_sigs", unpacked("_sigs")).crossJoin(F.broadcast(common)).withColumn("_ordered", F.concat(F.array_except("_sigs", "_common"), F.array_intersect("_common", "_sigs")))
+    first = ordered.select("_set", "_n", F.posexplode(F.slice("_ordered", F.lit(1), F.col("_n") - least + 1)).alias("_at", "_sig"))
+    classes = F.sequence(length_class(F.col("_n"), threshold), length_class(F.floor(F.col("_n") / threshold + 1e-9), threshold))
+    short = first.filter(F.col("_at") <= F.col("_n") - shared_least).select(F.col("_set").alias("_a"), F.col("_n").alias("_na"), F.col("_at").alias("_ia"), "_sig", F.explode(classes).alias("_class"))
+    long = first.select(F.col("_set").alias("_b"), F.col("_n").alias("_nb"), F.col("_at").alias("_ib"), "_sig", length_class(F.col("_n"), threshold).alias("_class"))
     ahead = (F.col("_na") < F.col("_nb")) | ((F.col("_na") == F.col("_nb")) & (F.col("_a") < F.col("_b")))
     found = short.join(long, ["_class", "_sig"]).filter(ahead & (F.col("_na") >= F.col("_nb") * threshold - 1e-9))
     found = found.groupBy("_a", "_b", "_na", "_nb").agg(F.count("*").alias("_c"), F.max("_ia").alias("_ia"), F.max("_ib").alias("_ib"))
     most = F.col("_c") + F.least(F.col("_na") - F.col("_ia"), F.col("_nb") - F.col("_ib")) - 1
     found = found.filter(most * (1 + threshold) >= (F.col("_na") + F.col("_nb")) * threshold - 1e-9).select("_a", "_b")
     of = {x: sets.select(F.col("_set").alias(f"_{x}"), F.col("_name").alias(f"_{x}_name"), F.col("_sigs").alias(f"_{x}_sigs")) for x in "ab"}
-    both = found.join(of["a"], "_a").join(of["b"], "_b").withColumn("likeness", jaccard("_a_sigs", "_b_sigs", threshold)).filter(F.col("likeness") >= threshold)
+    both = found.join(of["a"], "_a").join(of["b"], "_b").withColumns({f"_{x}_sigs": unpacked(f"_{x}_sigs") for x in "ab"}).withColumn("likeness", jaccard("_a_sigs", "_b_sigs", threshold)).filter(F.col("likeness") >= threshold)
     return same.unionByName(both.select(F.least("_a_name", "_b_name").alias("first_id"), F.greatest("_a_name", "_b_name").alias("second_id"), "likeness"))
