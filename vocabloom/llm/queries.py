@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lines, neardup, packing, pii, quality, sharding, spotsigs, substrings
+from . import decontaminate, language, lines, neardup, packing, pii, quality, sharding, spotsigs, substrings, whitening
 from .shared import table
 
 
@@ -73,8 +73,26 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(joined["base_spans"], 256).alias("base_sha256"), joined["spans"].alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_packing, op3_line_dedup, op4_language_id, op5_sharding, op6_substring_dedup, op7_minhash_near_dedup, op8_quality_classifier, op9_spotsigs, op9_spotsigs_pairs, op10_pii)}
+    made = (
+        op1_decontamination,
+        op2_packing,
+        op3_line_dedup,
+        op4_language_id,
+        op5_sharding,
+        op6_substring_dedup,
+        op7_minhash_near_dedup,
+        op8_quality_classifier,
+        op9_spotsigs,
+        op9_spotsigs_pairs,
+        op10_pii,
+        op13_embedding_whitening,
+    )
+    return {f.__name__: f for f in made}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
