@@ -38,6 +38,9 @@ class Encoder:
         rest = [b for b in range(256) if b not in _PRINTED]
         byte_of = {chr(b): b for b in _PRINTED} | {chr(256 + i): b for i, b in enumerate(rest)}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if all(c in byte_of for c in token) and not token.startswith("<|")}
+        self.token_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in ranks.items():
+            self.token_bytes[i] = token
         simple, whole = (tiktoken.Encoding("file", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (_SIMPLE, public_tokenizers.PATTERN))
         self.simple, self.whole = simple.encode_ordinary, whole.encode_ordinary
 

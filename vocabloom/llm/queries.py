@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lines, neardup, packing, pii, quality, sharding, spotsigs, substrings, whitening
+from . import alignment, decontaminate, language, lines, neardup, packing, pii, quality, sharding, spotsigs, substrings, whitening
 from .shared import table
 
 
@@ -73,6 +73,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(joined["base_spans"], 256).alias("base_sha256"), joined["spans"].alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    made = alignment.align(table(spark, sf_dir, "documents"), *paths)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return alignment.with_pair_counts(made.withColumn("groups_sha256", digest).drop("groups"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -90,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_spotsigs,
         op9_spotsigs_pairs,
         op10_pii,
+        op12_token_alignment,
         op13_embedding_whitening,
     )
     return {f.__name__: f for f in made}
