@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, language, lines, neardup, packing, pii, quality, sharding, spotsigs, substrings, whitening
+from . import alignment, credentials, decontaminate, language, lines, neardup, packing, pii, quality, sharding, spotsigs, substrings, whitening
 from .shared import table
 
 
@@ -73,6 +73,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(joined["base_spans"], 256).alias("base_sha256"), joined["spans"].alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
+def op11_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = [F.expr(f"CAST(size(filter(spans, s -> s.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in credentials.BASE]
+    base = F.filter("spans", lambda s: s["kind"].isin(*credentials.BASE))
+    return found.select("doc_id", *count, F.sha2(text(base), 256).alias("base_sha256"), text("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     made = alignment.align(table(spark, sf_dir, "documents"), *paths)
@@ -97,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_spotsigs,
         op9_spotsigs_pairs,
         op10_pii,
+        op11_credential_linking,
         op12_token_alignment,
         op13_embedding_whitening,
     )
@@ -187,5 +196,51 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 """
 
 
+def _op11() -> str:
+    """Parts of each text with their places, scopes and neighbours in both directions, as in `find_secrets`."""
+    c = credentials
+    quoted = [p.replace("'", "''") for p in (c.ASSIGN, c.ACCESS, c.HEX, c.SECRET, c.IDENTIFIER, c.ENDPOINT, c.BREAK)]
+    each = "\nUNION ALL\n".join(
+        f"SELECT r, {i} AS kind, unnest(regexp_extract_all(t, '{p}', 0)) AS m, unnest(string_split_regex(t, '{p}')[:-2]) AS gap, "
+        f"unnest(range(len(regexp_extract_all(t, '{p}', 0)))) AS nth FROM d WHERE regexp_matches(t, '{p}')"
+        for i, p in enumerate(quoted)
+    )
+    mixed = "(regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9]'))"
+    named, user = c._NAMED.replace("'", "''"), c._USER.replace("'", "''")
+    sides, near = [], {}
+    for role, at in {"access": "role = 1", "identifier": "role = 4", "endpoint": "role = 5", "secret": "role IN (0, 2, 3)"}.items():
+        sides.append(f"max(e) FILTER ({at}) OVER (PARTITION BY r, scope ORDER BY s, (role = 3), kind, nth) AS {role}_before")
+        sides.append(f"min(s) FILTER ({at}) OVER (PARTITION BY r, scope ORDER BY s DESC, (role <> 3), kind DESC, nth DESC) AS {role}_after")
+        near[role] = f"(coalesce(s - {role}_before <= 200, false) OR coalesce({role}_after - e <= 200, false))"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+x AS ({each}),
+p AS (
+  SELECT r, kind, nth, m, sum(length(gap) + length(m)) OVER (PARTITION BY r, kind ORDER BY nth) AS e,
+    CASE kind WHEN 0 THEN length(regexp_extract(m, '{quoted[0]}', 2)) >= 8 WHEN 3 THEN regexp_matches(m, '^(?:{named})$') OR {mixed} ELSE true END AS counts,
+    kind = 5 AND regexp_matches(m, '{user}') AS whole
+  FROM x),
+q AS (SELECT r, kind, nth, e, e - length(m) AS s, whole, CASE WHEN counts THEN kind END AS role FROM p),
+b AS (
+  SELECT *, count(*) FILTER (role = 6) OVER (PARTITION BY r ORDER BY s, (role = 3), kind, nth) AS scope,
+    max(e) FILTER (role NOT IN (3, 6)) OVER (PARTITION BY r ORDER BY s, (role = 3), kind, nth) AS ended,
+    min(s) FILTER (role NOT IN (3, 6)) OVER (PARTITION BY r ORDER BY s DESC, (role <> 3), kind DESC, nth DESC) AS next
+  FROM q),
+a AS (SELECT r, kind, nth, s, e, scope, whole, CASE WHEN role <> 3 OR (coalesce(ended <= s, true) AND coalesce(next >= e, true)) THEN role END AS role FROM b),
+n AS (SELECT *, {", ".join(sides)} FROM a),
+t AS (
+  SELECT r, s, kind, ['assign', 'access', 'hex', 'secret', 'identifier', 'endpoint'][kind + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT) AS span FROM n
+  WHERE role IN (0, 1, 2) OR (role = 3 AND ({near["access"]} OR ({near["identifier"]} AND {near["endpoint"]})))
+    OR (role = 4 AND {near["secret"]} AND {near["endpoint"]}) OR (role = 5 AND whole)),
+g AS (
+  SELECT r, count(*) AS n_spans, string_agg(span, ',' ORDER BY s, kind) AS spans, string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3) AS base,
+    count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex
+  FROM t GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_spans, 0) AS n_spans
+FROM d LEFT JOIN g USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": _OP1, "op3_line_dedup": _OP3, "op5_sharding": _OP5, "op6_substring_dedup": _OP6, "op7_minhash_near_dedup": _OP7}
+    return {"op1_decontamination": _OP1, "op3_line_dedup": _OP3, "op5_sharding": _OP5, "op6_substring_dedup": _OP6, "op7_minhash_near_dedup": _OP7, "op11_credential_linking": _op11()}
