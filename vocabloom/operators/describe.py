@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import iri as I
 from ..functions.text import oneline, pick_lang, rule_heading, summary, yaml_scalar
 from ..vocabulary import DCTERMS, RDF, TYPE, XSD
+from .jsonld import context_entries
 from .layout import DEFAULT_TYPE, NS, Layout
 from .model import KEY, TERM_KINDS, Model
 
@@ -210,39 +211,10 @@ def schema_org(layout: Layout) -> DataFrame:
     return terms.unionByName(docs)
 
 
-def jsonld_context(m: Model) -> DataFrame:
-    """(release, iri, key, coercion): the name of each term in a JSON-LD context: its local name, if no other has it first (local terms do), else its CURIE; and how its values read."""
-    order = Window.partitionBy("release", "local_name").orderBy("foreign", "iri")
-    rows = m.terms.filter("local_name <> ''").withColumn("n", F.row_number().over(order))
-    one = F.when(F.size("range") == 1, F.get("range", 0))
-    coercion = F.when(c("kind") == "ObjectProperty", "@id").when(one.startswith(XSD) & (one != XSD + "string"), one)
-    return rows.select(*KEY, F.when(c("n") == 1, c("local_name")).otherwise(F.coalesce("curie", "iri")).alias("key"), coercion.alias("coercion"))
-
-
 def context_subset(m: Model) -> DataFrame:
     """(release, file, iri, key): the entries of the context that each file's statements use."""
     used = m.quads.select("release", "file", F.explode(F.array(c("p"), F.when((c("p") == TYPE) & (c("o_kind") == "iri"), c("o")))).alias("iri")).filter("iri is not null").distinct()
-    return used.join(jsonld_context(m).select(*KEY, "key"), KEY).select("release", "file", "iri", "key")
-
-
-def jsonld_nodes(m: Model) -> DataFrame:
-    """(release, iri, types, fields): a flat node for each local term: its types and its sorted (predicate, value) pairs as JSON text."""
-    about = m.named.join(m.local.select("release", c("iri").alias("s")), ["release", "s"], "left_semi")
-    value = F.struct(c("p").alias("p"), c("o").alias("o"), F.coalesce("lang", F.lit("")).alias("lang"))
-    rows = about.groupBy("release", c("s").alias("iri")).agg(F.array_sort(F.collect_set(F.when(c("p") == TYPE, c("o")))).alias("types"), F.array_sort(F.collect_list(F.when(c("p") != TYPE, value))).alias("fields"))
-    return rows.select(*KEY, F.to_json("types").alias("types"), F.to_json("fields").alias("fields"))
-
-
-def roundtrip(m: Model) -> DataFrame:
-    """(release, written, read, lost, invented): distinct statements of local terms against those read back from their nodes."""
-    about = m.named.join(m.local.select("release", c("iri").alias("s")), ["release", "s"], "left_semi")
-    ours = about.select("release", c("s").alias("iri"), "p", "o", F.coalesce("lang", F.lit("")).alias("lang")).distinct()
-    nodes = jsonld_nodes(m)
-    fields = nodes.select(*KEY, F.explode(F.from_json("fields", "array<struct<p:string,o:string,lang:string>>")).alias("x")).select(*KEY, "x.*")
-    types = nodes.select(*KEY, F.lit(TYPE).alias("p"), F.explode(F.from_json("types", "array<string>")).alias("o"), F.lit("").alias("lang"))
-    theirs = fields.unionByName(types).distinct()
-    both = ours.withColumn("w", F.lit(1)).join(theirs.withColumn("r", F.lit(1)), [*KEY, "p", "o", "lang"], "full_outer")
-    return both.groupBy("release").agg(F.count("w").alias("written"), F.count("r").alias("read"), F.count_if(c("r").isNull()).alias("lost"), F.count_if(c("w").isNull()).alias("invented"))
+    return used.join(context_entries(m).select(*KEY, "key"), KEY).select("release", "file", "iri", "key")
 
 
 def relative_links(layout: Layout) -> DataFrame:

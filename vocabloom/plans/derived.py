@@ -74,6 +74,7 @@ for _s, _kind in (("hasSize", "DatatypeProperty"), ("madeBy", "ObjectProperty"))
     _constant("part.ttl", next(_n), PARTS + _s, RDFS + "label", _s, "literal", "en")
     _constant("part.ttl", next(_n), PARTS + _s, RDFS + "isDefinedBy", PARTS)
 _constant("part.ttl", next(_n), PARTS + "hasSize", TYPE, OWL + "FunctionalProperty")
+_constant("part.ttl", next(_n), PARTS + "hasSize", RDFS + "range", XSD + "integer")
 _constant("part.ttl", next(_n), PARTS + "hasSize", RDFS + "domain", PARTS + "LARGE", release="new")
 _constant("part.ttl", next(_n), PARTS + "hasSize", RDFS + "domain", PARTS + "SMALL", release="old")
 _constant("part.ttl", next(_n), PARTS + "madeBy", RDFS + "range", SUPPLIERS + "1", release="new")
@@ -97,6 +98,9 @@ _add("part.ttl", _seq + " + 5", _PART, OWL + "deprecated", "'true'", "literal",
 _add("part.ttl", _seq + " + 6", _PART, DCTERMS + "isReplacedBy", f"'{PARTS}' || (p_partkey - 1)", "iri", _PARTS, "p_size > 45 AND p_partkey % 2 = 0")
 _add("part.ttl", _seq + " + 7", _PART, RDFS + "label", "'Teil ' || p_name", "literal", _PARTS, "p_partkey % 9 = 0")
 _add("part.ttl", _seq + " + 8", _PART, SKOS + "closeMatch", f"'http://example.net/p/' || p_size", "iri", _PARTS, "p_partkey % 6 = 0")
+_add("part.ttl", _seq + " + 9", _PART, PARTS + "hasSize", "CASE p_partkey % 8 WHEN 1 THEN '0' || p_size ELSE CAST(p_size AS STRING) END", "literal", _PARTS, "p_partkey % 4 = 1", dt=XSD + "integer")
+_add("part.ttl", "500000000 + p_partkey * 10", _PART, PARTS + "madeBy", f"'{SUPPLIERS}' || (p_partkey % 10 + 1)", "iri", _PARTS, "p_partkey % 4 = 2")
+_add("part.ttl", "500000001 + p_partkey * 10", _PART, BASE + "vocab#size", "CASE p_partkey % 12 WHEN 3 THEN '0' || p_size ELSE CAST(p_size AS STRING) END", "literal", _PARTS, "p_partkey % 6 = 3", dt=XSD + "integer")
 _seq = "100000000 + s_suppkey * 10"
 _add("supplier.nt", _seq, _SUPPLIER, TYPE, f"'{OWL}NamedIndividual'", "iri", f"{{supplier}}, {_BOTH}")
 _add("supplier.nt", _seq + " + 1", _SUPPLIER, RDFS + "label", "s_name", "literal", f"{{supplier}}, {_BOTH}")

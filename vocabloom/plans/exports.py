@@ -18,6 +18,7 @@ from .changes import EVERY_CHANGE
 from .inputs import duck, view
 from .models import PRELUDE, kept, model
 from .publish import SITE, layout
+from .renditions import CONTEXT as _CONTEXT
 from .shacl import SHAPES, ns, short
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,7 +52,6 @@ on_model("local_terms", lambda m: m.local.select(*KEY, "kind"), 'SELECT release,
 on_model("term_lookup", lambda m: m.quads.filter(c("p") == RDFS + "subClassOf").select("release", c("o").alias("iri")).distinct().join(m.terms.select(*KEY, "kind", "foreign"), KEY, "left"), f"SELECT x.release, x.iri, kind, \"foreign\" FROM (SELECT DISTINCT release, o AS iri FROM q WHERE p = '{RDFS}subClassOf') x LEFT JOIN terms t ON t.release = x.release AND t.iri = x.iri")
 on_model("document_lookup", lambda m: m.placed.groupBy("release", c("defined_in").alias("iri")).agg(F.count("*").alias("n")).join(m.documents.select(*KEY, "document_kind"), KEY, "left"), "SELECT x.release, x.iri, n, document_kind FROM (SELECT release, defined_in AS iri, count(*) AS n FROM placed GROUP BY ALL) x LEFT JOIN docs d ON d.release = x.release AND d.iri = x.iri")
 on_model("iri_values", lambda m: m.named.filter((c("o_kind") == "iri") & c("p").isin(RDFS + "isDefinedBy", RDFS + "seeAlso", DCTERMS + "isReplacedBy")).groupBy("release", "s").agg(F.array_join(F.array_sort(F.collect_set("o")), " ").alias("iris")), f"SELECT release, s, string_agg(DISTINCT o, ' ' ORDER BY o) AS iris FROM q WHERE s_kind = 'iri' AND o_kind = 'iri' AND p IN ('{RDFS}isDefinedBy', '{RDFS}seeAlso', '{DCTERMS}isReplacedBy') GROUP BY ALL")
-on_model("profile_inherit", lambda m: m.quads.groupBy("release", c("p").alias("predicate")).agg(F.count("*").alias("uses")).join(F.broadcast(profiles.predicates(m.spark)), "predicate").select("release", "profile", "field", "predicate", "rank", "uses"), "SELECT u.release, r.profile, field, r.p AS predicate, rank, uses FROM rules r JOIN (SELECT release, p, count(*) AS uses FROM q GROUP BY ALL) u USING (p)")
 on_model("profile_list", lambda m: profiles.detection(m.spark).select("profile", "title").join(m.document_profiles.groupBy("profile").agg(F.count("*").alias("documents")), "profile", "left"), "SELECT l.profile, l.title, documents FROM (VALUES " + ", ".join(f"('{k}', '{v['title']}')" for k, v in profiles.PROFILES.items()) + ") AS l(profile, title) LEFT JOIN (SELECT profile, count(*) AS documents FROM prof GROUP BY ALL) d USING (profile)")
 on_model("namespaces_used_by", describe.prefixes_needed, f"SELECT DISTINCT x.release, x.iri, n.declared AS prefix FROM (SELECT q.release, q.s AS iri, unnest([q.s, CASE WHEN p <> '{TYPE}' THEN p END, CASE o_kind WHEN 'iri' THEN o END, CASE WHEN dt NOT IN ('{XSD}string', '{RDF}langString') THEN dt END]) AS u FROM q JOIN terms t ON t.release = q.release AND t.iri = q.s AND NOT t.\"foreign\") x JOIN pof n ON n.release = x.release AND n.ns = {ns('x.u')}")
 
@@ -85,12 +85,9 @@ on_model("removed_terms", lambda m: describe.removed_terms(m, "old", "new"), f"S
 on_model("changelog_rows", lambda m: describe.changelog(compare.changes(m)).drop("place"), f"SELECT CASE severity WHEN 'breaking' THEN 1 WHEN 'additive' THEN 2 ELSE 3 END AS rank, severity, rule, upper(left(h, 1)) || substr(h, 2) || ' (' || n || ')' AS heading, iri FROM (SELECT *, translate(rule, '.-_', '   ') AS h, count(*) OVER (PARTITION BY severity, rule) AS n FROM {EVERY_CHANGE} AS f)", SHAPES)
 on_model("diff_counts", lambda m: compare.changes(m).groupBy(I.namespace_part(c("iri")).alias("namespace"), "rule", "severity").agg(F.count("*").alias("n")), f"SELECT {ns('iri')} AS namespace, rule, severity, count(*) AS n FROM {EVERY_CHANGE} AS f GROUP BY ALL", SHAPES)
 on_model("status_banner", describe.status_banners, "SELECT release, iri, trim(lower(regexp_replace(split_part(status, '/', -1), '(.)([A-Z])', '\\1 \\2', 'g'))) AS status, version_info AS version FROM docs WHERE status IS NOT NULL")
-_CONTEXT = f"(SELECT release, iri, CASE WHEN n = 1 THEN local_name ELSE coalesce(prefix || ':' || local_name, iri) END AS key, CASE WHEN kind = 'ObjectProperty' THEN '@id' WHEN len(range) = 1 AND starts_with(range[1], '{XSD}') AND range[1] <> '{XSD}string' THEN range[1] END AS coercion FROM (SELECT *, row_number() OVER (PARTITION BY release, local_name ORDER BY \"foreign\", iri) AS n FROM terms WHERE local_name <> ''))"
-on_model("jsonld_context", describe.jsonld_context, f"SELECT * FROM {_CONTEXT}")
+
 on_model("context_subset", describe.context_subset, f"SELECT u.release, u.file, u.iri, x.key FROM (SELECT DISTINCT release, file, unnest([p, CASE WHEN p = '{TYPE}' AND o_kind = 'iri' THEN o END]) AS iri FROM q) u JOIN {_CONTEXT} x ON x.release = u.release AND x.iri = u.iri")
 _ABOUT_LOCAL = 'q JOIN terms t ON t.release = q.release AND t.iri = q.s AND NOT t."foreign"'
-on_model("jsonld_nodes", lambda m: describe.jsonld_nodes(m).select(*KEY, "types", F.size(F.from_json("fields", "array<struct<p:string,o:string,lang:string>>")).alias("n_fields"), F.get_json_object("fields", "$[0].p").alias("first_p"), F.get_json_object("fields", "$[0].o").alias("first_o")), f"SELECT q.release, q.s AS iri, '[' || string_agg(DISTINCT '\"' || o || '\"', ',' ORDER BY '\"' || o || '\"') FILTER (p = '{TYPE}') || ']' AS types, CAST(count(*) FILTER (p <> '{TYPE}') AS INTEGER) AS n_fields, min(p) FILTER (p <> '{TYPE}') AS first_p, arg_min(o, p || chr(1) || o) FILTER (p <> '{TYPE}') AS first_o FROM {_ABOUT_LOCAL} GROUP BY ALL")
-on_model("roundtrip_check", describe.roundtrip, f"SELECT release, count(*) AS written, count(*) AS read, 0 AS lost, 0 AS invented FROM (SELECT DISTINCT q.release, q.s, q.p, q.o, coalesce(q.lang, '') AS lang FROM {_ABOUT_LOCAL}) GROUP BY ALL")
 
 # exports of a site
 _FIRST = f"CASE WHEN contains({_LINE.format('d')}, '. ') AND strlen(split_part({_LINE.format('d')}, '. ', 1)) > 40 THEN split_part({_LINE.format('d')}, '. ', 1) || '.' ELSE {_LINE.format('d')} END"

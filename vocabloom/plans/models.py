@@ -101,8 +101,7 @@ def query(name: str, build: Callable[[Model], DataFrame], sql: str) -> None:
 joined = lambda column: F.array_join(column, " ").alias(column)
 query("file_stats", lambda m: m.quads.groupBy("release", "file").agg(F.count("*").alias("triples")), "SELECT release, file, count(*) AS triples FROM q GROUP BY ALL")
 query("prefix_map", lambda m: m.prefix_map, "SELECT * FROM pmap")
-query("bnode_labels", lambda m: m.quads.filter("s_kind = 'bnode'").groupBy("release", "s").agg(F.count("*").alias("n")), "SELECT release, s, count(*) AS n FROM q WHERE s_kind = 'bnode' GROUP BY ALL")
-query("about", lambda m: m.quads.join(m.quads.filter((c("p") == TYPE) & (c("o") == SKOS + "Concept")).select("release", "s"), ["release", "s"], "left_semi").select("release", "s", "seq", "p", "o"), f"SELECT release, s, seq, p, o FROM q WHERE (release, s) IN (SELECT (release, s) FROM q WHERE p = '{TYPE}' AND o = '{SKOS}Concept')")
+query("about", lambda m: m.quads.join(m.quads.filter((c("p") == TYPE) & (c("o") == SKOS + "Concept")).select("release", "s"), ["release", "s"], "left_semi").select("release", "s", "seq", "p", "o"), f"SELECT q.release, q.s, seq, p, o FROM q SEMI JOIN (SELECT release, s FROM q WHERE p = '{TYPE}' AND o = '{SKOS}Concept') x ON x.release = q.release AND x.s = q.s")
 query("objects", lambda m: m.quads.filter(c("p") == RDFS + "label").groupBy("release", "s").agg(F.min_by("o", "seq").alias("first"), F.count("*").alias("n")), f"SELECT release, s, arg_min(o, seq) AS first, count(*) AS n FROM q WHERE p = '{RDFS}label' GROUP BY ALL")
 query("iri_objects", lambda m: m.quads.filter((c("p") == RDFS + "subClassOf") & (c("o_kind") == "iri")).groupBy("release", "s").agg(F.array_join(F.array_sort(F.collect_set("o")), " ").alias("objects")), f"SELECT release, s, string_agg(DISTINCT o, ' ' ORDER BY o) AS objects FROM q WHERE p = '{RDFS}subClassOf' AND o_kind = 'iri' GROUP BY ALL")
 query("subjects_of", lambda m: m.quads.filter(c("p") == OWL + "deprecated").select("release", "s").distinct(), f"SELECT DISTINCT release, s FROM q WHERE p = '{OWL}deprecated'")
