@@ -1,11 +1,13 @@
 """Stable blank labels, JSON-LD written and read back, profile chains, links, ordered digests and concatenation."""
 
+import hashlib
 import json
 
 from pyspark.sql import functions as F
 
-from vocabloom.operators import blanks, jsonld
+from vocabloom.operators import blanks, files, jsonld
 from vocabloom.operators.model import Model
+from vocabloom.operators.spread import before
 from vocabloom.sources.tables import written
 from vocabloom.vocabulary import OWL, RDFS, TYPE, XSD
 
@@ -100,3 +102,63 @@ def test_round_trip_finds_losses(spark):
         broken = nodes.withColumn("json", F.replace("json", F.lit(old), F.lit(new)))
         row = jsonld.compared(jsonld.statements(m), jsonld.expanded(m, broken)).first()
         assert row.lost >= 1 and row.invented >= 1 and gone in row.lost_examples and gone not in row.invented_examples
+
+
+def plain_links(body, path, base):
+    """The same for one text, from left to right."""
+    mark, out, n = "](" + base.rstrip("/") + "/", "", 0
+    while mark in body:
+        head, body = body.split(mark, 1)
+        out += head
+        if ")" not in body:
+            out += mark
+            continue
+        target, body = body.split(")", 1)
+        here, there = path.split("/")[:-1], [x for x in target.split("/")[:-1] if x]  # empty segments don't count
+        same = 0
+        while same < min(len(here), len(there)) and here[same] == there[same]:
+            same += 1
+        out += "](" + ("../" * (len(here) - same) + "".join(f"{x}/" for x in there[same:]) + target.split("/")[-1] or "./") + ")"
+        n += 1
+    return out + body, n
+
+
+def test_relative_links(spark):
+    base = "https://x.example/v/"
+    bodies = {
+        "a/b.md": f"no links, but {base} itself (and) more",
+        "a/c.md": f"[b]({base}a/b.md) then [z]({base}z/y/x.md#f) and [c]({base}a/c.md)\nend",
+        "z/y/x.md": f"[up]({base}a/b.md) [open]({base}a/b.md and [next]({base}q) ) rest",
+        "d.md": f"text [open]({base}a and ]({base}b",
+        "e.md": f"[other](https://y.example/v/a) [it]({base})",
+        "f.md": "",
+    }
+    rows = [("r", p, base.rstrip("/") if p == "a/c.md" else base, b) for p, b in bodies.items()] + [("r", "n.md", None, f"[a]({base}a)"), ("s", "a/b.md", "https://x.(b)/", "[a](https://x.(b)/a/b.md)")]
+    got = {(r.release, r.path): r for r in files.relativised(spark.createDataFrame(rows, "release string, path string, base_url string, body string").repartition(3)).collect()}
+    for path, body in bodies.items():
+        assert (got["r", path].body, got["r", path].n_links) == plain_links(body, path, base), path
+    assert got["r", "a/c.md"].n_missing == 0 and got["r", "e.md"].n_missing == 1
+    assert got["r", "n.md"].body == f"[a]({base}a)" and got["s", "a/b.md"].body == "[a](b.md)"
+
+
+def test_ordered_digest(spark):
+    rows = [(r, f"p{i:03}", f"content {r} {i}") for r in "ab" for i in range(57)] + [("c", "one", "x")]
+    schema = "release string, path string, content string"
+    one = {r.release: r for r in files.ordered_digest(spark.createDataFrame(rows, schema), written, leaf=4).collect()}
+    two = {r.release: r for r in files.ordered_digest(spark.createDataFrame(rows[::-1], schema).repartition(7), written, leaf=4).collect()}
+    assert one == two and one["a"].files == 57 and one["a"].bytes == sum(len(t) for r, _, t in rows if r == "a")
+    level = [hashlib.sha256(f"{p}\0{hashlib.sha256(t.encode()).hexdigest()}".encode()).hexdigest() for r, p, t in sorted(rows) if r == "a"]
+    while len(level) > 1:
+        groups = [level[i : i + 4] for i in range(0, len(level), 4)]
+        level = [g[0] if len(g) == 1 else hashlib.sha256(",".join(g).encode()).hexdigest() for g in groups]
+    assert one["a"].digest == level[0]
+    swapped = [("a", p, f"content a {1 - i}" if i < 2 else t) for i, (r, p, t) in enumerate(rows) if r == "a"]
+    assert files.ordered_digest(spark.createDataFrame(swapped, schema), written, leaf=4).first().digest != level[0]
+
+
+def test_running_sums(spark):
+    """Sums before each row, by group, equal those of one window, for any number of partitions and hot groups."""
+    rows = [("hot" if i % 3 else f"g{i % 7}", i * 37 % 501, i, i % 11) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, k int, id int, w int").repartition(5)
+    got = {r.id: r.x for r in before(df, ["g"], ["k", "id"], "x", written, F.col("w")).collect()}
+    assert got == {i: sum(w2 for g2, k2, i2, w2 in rows if g2 == g and (k2, i2) < (k, i)) for g, k, i, _ in rows}

@@ -217,15 +217,6 @@ def context_subset(m: Model) -> DataFrame:
     return used.join(context_entries(m).select(*KEY, "key"), KEY).select("release", "file", "iri", "key")
 
 
-def relative_links(layout: Layout) -> DataFrame:
-    """(release, ns, local, body): each term's line of links to its parents, relative to its own file."""
-    paths = layout.term_paths.filter("media_type = 'text/markdown'").join(layout.terms.select(*NS, "local", "iri"), [*NS, "local"]).select("release", "iri", *(["ns", "local"]), F.concat(F.lit("/"), "path").alias("path"))
-    links = layout.m.local.select(*KEY, F.posexplode("super_terms").alias("at", "parent")).join(paths, KEY)
-    to = paths.select("release", c("iri").alias("parent"), c("path").alias("to"))
-    made = links.join(to, ["release", "parent"]).withColumn("link", F.concat(F.lit("[parent]("), I.relative_to(c("path"), c("to")), F.lit(")")))
-    return made.groupBy(*NS, "local").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "link"))), lambda x: x["link"]), ", ").alias("body"))
-
-
 def markdown_links_of(layout: Layout) -> DataFrame:
     """(release, iri, target, link): links from local terms to their parents: to the page of a local term, else the short form."""
     m = layout.m
@@ -242,14 +233,3 @@ def artifacts(layout: Layout) -> DataFrame:
     cards = term_cards(layout).join(layout.term_paths.filter("media_type = 'text/markdown'").select(*NS, "local", "path"), [*NS, "local"])
     docs = document_cards(layout).withColumnRenamed("iri", "ns").join(layout.document_paths().filter("media_type = 'text/markdown'").select(*NS, "path"), NS)
     return cards.select("release", "path", c("card").alias("content")).unionByName(docs.select("release", "path", c("card").alias("content")))
-
-
-def tree_digests(files: DataFrame) -> DataFrame:
-    """(release, files, bytes, digest): a digest of all files of a release that doesn't depend on their order, so it is summed up task by task.
-
-    It is the exclusive or of the SHA-256 of each path and content, in four pieces of 60 bits.
-    """
-    rows = files.withColumn("h", F.sha2(F.concat("path", F.lit("\n"), "content"), 256))
-    pieces = [F.bit_xor(F.conv(F.substring("h", 1 + 16 * i, 15), 16, 10).cast("long")).alias(f"d{i}") for i in range(4)]
-    sums = rows.groupBy("release").agg(F.count("*").alias("files"), F.sum(F.octet_length("content")).alias("bytes"), *pieces)
-    return sums.select("release", "files", "bytes", F.concat_ws("-", *(f"d{i}" for i in range(4))).alias("digest"))

@@ -111,16 +111,12 @@ _DOCCARD = f"""(SELECT release, iri, array_to_string(list_filter(['# ' || coales
 CARDS = SITE.rstrip() + _AGT[len(PRELUDE.rstrip()) :]
 on_site("document_cards", describe.document_cards, f"SELECT * FROM {_DOCCARD}", CARDS)
 _FILES = f"(SELECT x.release, a.file AS path, x.card AS content FROM {_CARD} x JOIN adr a ON a.release = x.release AND a.ns = x.ns AND a.local = x.local AND a.segment = '' AND a.extension = '.md' UNION ALL SELECT x.release, n.mount || 'index.md', x.card FROM {_DOCCARD} x JOIN nsp n ON n.release = x.release AND n.ns = x.iri)"
-on_site("corpus_concat", lambda s: describe.artifacts(s).select("release", "path", F.sha2("content", 256).alias("sha256")), f"SELECT release, path, sha256(content) AS sha256 FROM {_FILES}", CARDS)
 on_site("artifact_manifest", lambda s: describe.artifacts(s).select("release", "path", F.octet_length("content").cast("long").alias("bytes")), f"SELECT release, path, strlen(content) AS bytes FROM {_FILES}", CARDS)
-_PIECE = "CAST('0x' || substr(h, {}, 15) AS BIGINT)"
-on_site("tree_digest", lambda s: describe.tree_digests(describe.artifacts(s)), f"SELECT release, count(*) AS files, CAST(sum(strlen(content)) AS BIGINT) AS bytes, {' || '.join(f'''CAST(bit_xor({_PIECE.format(1 + 16 * i)}) AS VARCHAR)''' + (" || '-'" if i < 3 else '') for i in range(4))} AS digest FROM (SELECT *, sha256(path || chr(10) || content) AS h FROM {_FILES}) GROUP BY release", CARDS)
 on_site("front_matter", describe.front_matter, f"SELECT release, namespace AS ns, local_name AS local, CAST(weight AS INTEGER) AS weight, array_to_string(['---', 'title: \"' || replace(label, '\"', '\\\"') || '\"', 'iri: \"' || iri || '\"', 'kind: ' || kind, 'weight: ' || weight, '---'], chr(10)) AS front FROM (SELECT t.*, {_LABEL} AS label, row_number() OVER (PARTITION BY release, namespace ORDER BY iri) AS weight FROM terms t WHERE NOT \"foreign\")")
 _STR = "'\"' || replace(replace({0}, '\\', '\\\\'), '\"', '\\\"') || '\"'"
 on_site("schema_org_rows", describe.schema_org, f"SELECT release, iri, '{{' || array_to_string(list_filter(['\"@type\":\"DefinedTerm\"', '\"@id\":' || {_STR.format('iri')}, '\"name\":' || {_STR.format(_LABEL)}, '\"termCode\":' || {_STR.format('local_name')}, '\"inDefinedTermSet\":' || {_STR.format('defined_in')}], lambda x: x IS NOT NULL), ',') || '}}' AS json FROM terms t WHERE NOT \"foreign\" UNION ALL SELECT release, iri, '{{' || array_to_string(list_filter(['\"@type\":\"DefinedTermSet\"', '\"@id\":' || {_STR.format('iri')}, '\"name\":' || {_STR.format('coalesce(title, iri)')}, '\"version\":' || {_STR.format('version_info')}, '\"license\":' || {_STR.format('license')}], lambda x: x IS NOT NULL), ',') || '}}' FROM (SELECT d.*, {_TITLE} AS title FROM docs d)")
 _LINKS_TO = f"(SELECT x.release, x.iri, x.target, CASE WHEN a.local IS NOT NULL THEN '[' || {_LABEL} || '](' || rtrim(a.base_url, '/') || a.request || ')' ELSE coalesce(t.prefix || ':' || t.local_name, x.target) END AS link FROM (SELECT DISTINCT release, iri, unnest(list_concat(super_terms, replaced_by)) AS target FROM terms WHERE NOT \"foreign\") x LEFT JOIN terms t ON t.release = x.release AND t.iri = x.target LEFT JOIN adr a ON a.release = x.release AND a.ns = t.namespace AND a.local = t.local_name AND a.segment = '' AND a.extension = '.html' AND NOT t.\"foreign\")"
 on_site("link_md", describe.markdown_links_of, f"SELECT * FROM {_LINKS_TO}")
-on_site("relativise_links", describe.relative_links, "SELECT s.release, s.ns, s.local, string_agg('[parent](' || CASE s.style WHEN 'dir' THEN '../' ELSE '' END || p.local || CASE p.style WHEN 'dir' THEN '/index.md' ELSE '.md' END || ')', ', ' ORDER BY x.k) AS body FROM (SELECT release, iri, unnest(super_terms) AS parent, generate_subscripts(super_terms, 1) AS k FROM terms WHERE NOT \"foreign\") x JOIN st s ON s.release = x.release AND s.iri = x.iri JOIN st p ON p.release = x.release AND p.iri = x.parent AND p.ns = s.ns GROUP BY ALL")
 
 # sinks and sources
 
