@@ -178,6 +178,27 @@ def _role(name: str, path: str, iri: str, source: str, local: str = _NONE, segme
     return _ENTRY.format(name, segment, local, path, iri, source)
 
 
+#: What clients have asked for, by event.
+ASKED_FOR = """
+SELECT CASE event_id % 5 WHEN 0 THEN 'text/turtle;q=0.' || (event_id % 7 + 1) || ', text/html;q=0.4' WHEN 1 THEN 'application/ld+json'
+    WHEN 2 THEN event_type || '/*, */*;q=0.' || (event_id % 3 + 1) WHEN 3 THEN CAST(NULL AS STRING) ELSE 'text/markdown, */*' END AS accept,
+  CASE WHEN event_id % 35 = 4 THEN 'format=ttl' WHEN event_id % 55 = 9 THEN '_mediatype=application/ld+json' END AS query
+FROM {events}
+"""
+_CHOSEN = """
+CASE WHEN query = 'format=ttl' THEN 'text/turtle' WHEN query IS NOT NULL THEN 'application/ld+json'
+  WHEN accept LIKE 'text/turtle;%' THEN CASE WHEN substr(accept, 16, 2) >= '.4' THEN 'text/turtle' ELSE 'text/html' END
+  WHEN accept = 'application/ld+json' THEN accept WHEN accept LIKE 'text/markdown%' THEN 'text/markdown' ELSE 'text/html' END
+"""
+_WANTED = f"SELECT DISTINCT accept, query, {_CHOSEN} AS media_type FROM ({duck(ASKED_FOR)})"
+_CONTRACT = f"""
+cas AS MATERIALIZED (
+  SELECT role || ' ' || coalesce(accept, '-') || ' ' || coalesce(query, '-') AS "case", grp, role, accept, query, expect, media_type
+  FROM (
+    SELECT 'pages' AS grp, unnest({conform.PAGES}) AS role, accept, query, CASE media_type WHEN 'text/html' THEN 'serve' ELSE 'redirect' END AS expect, media_type FROM ({_WANTED})
+    UNION ALL SELECT 'files', unnest({list(conform.FILES)}), NULL, NULL, 'file', unnest({list(conform.FILES.values())})
+    UNION ALL SELECT 'absent', unnest({conform.ABSENT}), NULL, NULL, 'absent', NULL))
+"""
 CASES = f"""{SITE},
 nam AS (SELECT release, ns, min(local) AS term, min(local) FILTER (in_directory) AS dir_term FROM st GROUP BY ALL),
 rb AS MATERIALIZED (SELECT e.*, n.term, n.dir_term, m.reserved, m.versions FROM ent e LEFT JOIN nam n USING (release, ns) JOIN man m USING (release, ns) WHERE segment = ''),
@@ -199,7 +220,7 @@ roles AS MATERIALIZED (
   UNION ALL {_role('case-variant', "mount || variant", "iri_base || variant", 'rb JOIN vari USING (release, ns)')}
   UNION ALL {_role('sibling-unpublished', "mount || term || '.nt'", "iri_base || term", 'rb WHERE term IS NOT NULL')}
   UNION ALL {_role('absent-release-name', f"mount || '{_ABSENT}'", f"iri_base || '{_ABSENT}'", 'fs')}),
-cas AS (SELECT * FROM (VALUES {', '.join('(' + ', '.join('NULL' if x is None else f"'{x}'" for x in row) + ')' for row in conform.CASES)}) AS k("case", grp, role, accept, query, expect, media_type)),
+{_CONTRACT},
 resolved AS MATERIALIZED (SELECT r.release, r.ns, k."case", k.grp, k.role, r.path, k.accept, k.query, k.expect, k.media_type, CASE expect WHEN 'serve' THEN r.iri END AS names, CASE expect WHEN 'redirect' THEN a.public END AS location, CASE expect WHEN 'redirect' THEN {STATUS} END AS status, CASE WHEN expect <> 'absent' THEN e.cache END AS cache, CASE WHEN expect IN ('serve', 'redirect') THEN l.link END AS link
   FROM cas k JOIN roles r USING (role) JOIN ent e ON e.release = r.release AND e.ns = r.ns AND e.segment = r.segment LEFT JOIN adr a ON a.release = r.release AND a.ns = r.ns AND a.segment = r.segment AND a.local = r.local AND a.media_type = k.media_type LEFT JOIN lnk2 l ON l.release = r.release AND l.ns = r.ns AND l.segment = r.segment AND l.local = r.local AND l.media_type = k.media_type
   WHERE expect IN ('file', 'absent') OR l.link IS NOT NULL)
@@ -221,9 +242,13 @@ gap AS (SELECT release, "case" FROM (SELECT DISTINCT release FROM man), cas WHER
 """
 
 
+def contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "contract", lambda: written(conform.contract(view(spark, sf_dir, ASKED_FOR)), "contract"))
+
+
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = layout(spark, sf_dir)
-    return kept(spark, sf_dir, "cases", lambda: written(conform.resolve_cases(s), "cases"))
+    s, asked = layout(spark, sf_dir), contract(spark, sf_dir)
+    return kept(spark, sf_dir, "cases", lambda: written(conform.resolve_cases(s, asked), "cases"))
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,11 +256,11 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("case_roles", conform.roles, "SELECT * FROM roles", CASES)
-for _name in dict.fromkeys(r[2] for r in conform.CASES):
+for _name in [*conform.PAGES, *conform.FILES, *conform.ABSENT]:
     query("role_" + _name.replace("-", "_"), lambda s, name=_name: conform.roles(s).filter(c("role") == name).drop("role"), f"SELECT * EXCLUDE (role) FROM roles WHERE role = '{_name}'", CASES)
 QUERIES["resolve_cases"], ORACLE["resolve_cases"] = cases, CASES + "SELECT * FROM resolved"
 QUERIES["judge_case"], ORACLE["judge_case"] = verdicts, VERDICTS + "SELECT * FROM verdict"
-QUERIES["conformance_report"] = lambda spark, sf_dir: conform.conformance_report(verdicts(spark, sf_dir), conform.unresolved(layout(spark, sf_dir), cases(spark, sf_dir)))
+QUERIES["conformance_report"] = lambda spark, sf_dir: conform.conformance_report(verdicts(spark, sf_dir), conform.unresolved(layout(spark, sf_dir), contract(spark, sf_dir), cases(spark, sf_dir)))
 ORACLE["conformance_report"] = VERDICTS + 'SELECT release, grp, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed, (SELECT count(*) FROM gap g WHERE g.release = v.release) AS unresolved, (SELECT count(*) FROM gap g WHERE g.release = v.release) = 0 AND (SELECT count(*) FROM verdict w WHERE w.release = v.release AND NOT passed) = 0 AS conformant FROM verdict v GROUP BY release, grp'
 #: A request for each event, and the lines of a response log: some are missing, some are short.
 ASKED = "SELECT event_id AS n, '/part/' || user_id AS path FROM {events}"
