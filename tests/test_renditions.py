@@ -162,3 +162,19 @@ def test_running_sums(spark):
     df = spark.createDataFrame(rows, "g string, k int, id int, w int").repartition(5)
     got = {r.id: r.x for r in before(df, ["g"], ["k", "id"], "x", written, F.col("w")).collect()}
     assert got == {i: sum(w2 for g2, k2, i2, w2 in rows if g2 == g and (k2, i2) < (k, i)) for g, k, i, _ in rows}
+
+
+def test_kept_tables_follow_every_source(spark, tmp_path):
+    """What queries share is made anew when any file of any of its tables has come, changed or gone."""
+    from vocabloom.plans.models import SOURCES, kept
+
+    assert {"part", "supplier", "nation", "region", "lineitem"} <= set(SOURCES)
+    for name in ("one", "two"):
+        spark.range(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    calls = []
+    get = lambda: kept(spark, str(tmp_path), "x", lambda: calls.append(1) or len(calls), ("one", "two"))
+    assert (get(), get()) == (1, 1)
+    spark.range(5).write.mode("append").parquet(f"{tmp_path}/two.parquet")
+    assert (get(), get()) == (2, 2)
+    next((tmp_path / "one.parquet").glob("part*")).unlink()
+    assert (get(), get()) == (3, 3)

@@ -188,7 +188,15 @@ def test_pages(spark):
     t = pages.tags(pages_)
     sites = pages_.selectExpr("page", "'s' AS site", "'p' AS path", "'' AS base_url", "'/' AS base_path", "array('/ext') AS external_paths")
     links = pages.page_links(t, sites, spark.createDataFrame([("s", "a.html")], "site string, path string"))
-    got = {(r.page, r.rule) for r in pages.audit(pages_, t, links).collect() if r.page < 6}
+    findings = pages.audit(pages_, t, links)
+    got = {(r.page, r.rule) for r in findings.collect() if r.page < 6}
+    bare = {"a11y.no-html-element", "a11y.no-viewport", "a11y.no-title", "a11y.missing-landmark", "a11y.no-h1", "a11y.charset-late"}
+    assert all({r.rule for r in findings.filter(F.col("page") == p).collect()} == bare for p in (6, 7))  # without html
+    one_by_one = [(r.page, rule, level, r.subject) for rule, (level, find) in pages.RULES.items() for r in find(t).collect()]
+    together = pages.audit(pages_.limit(0), t, links.limit(0)).select("page", "rule", "level", "subject").collect()
+    assert sorted(one_by_one) == sorted(map(tuple, together))
+    told = {r.rule: r for r in pages.audit_summary(pages_, findings).collect()}
+    assert told["a11y.no-h1"].n == 2 and told["a11y.no-h1"].example_page == 6 and told["a11y.no-h1"].checked == 8
     assert got == {(1, "a11y.table-no-caption"), (1, "a11y.th-no-scope"), (2, "a11y.empty-link"), (3, "html.escaped-markup"), (4, "a11y.charset-late"), (5, "a11y.lang-part-invalid")}
     bodies = spark.createDataFrame([("s", "p", "[a](a.html) [b](/gone) [c](#x) [d](https://o/) [e](https://s/a)", "https://s/", "/")], "site string, path string, body string, base_url string, base_path string")
     assert {(r.target, r.rule) for r in pages.markdown_links(bodies, spark.createDataFrame([("s", "a.html")], "site string, path string")).collect()} == {("/gone", "markdown.broken-link"), ("https://s/a", "markdown.absolute-link")}

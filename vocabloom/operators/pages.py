@@ -15,9 +15,13 @@ c = F.col
 
 
 def tags(pages: DataFrame, key: str = "page", html: str = "html") -> DataFrame:
-    """(page, pos, name, closing, text, raw): the comments, tags and texts of each page in order. What follows an unended comment isn't read."""
-    whole = F.regexp_replace(c(html), r"(?s)<!--(?:(?!-->).)*$", "")
+    """(page, pos, name, closing, text, raw): the comments, tags and texts of each page in order. What follows an unended comment isn't read.
+
+    A page without any, such as an empty or missing one, has one row of an empty text, so rules judge it too.
+    """
+    whole = F.regexp_replace(F.coalesce(c(html), F.lit("")), r"(?s)<!--(?:(?!-->).)*$", "")
     pieces = F.regexp_extract_all(whole, F.lit(r"(<!--[\s\S]*?-->|<![^>]*>|<[^>]*>|[^<]+)"), 1)
+    pieces = F.when(F.size(pieces) > 0, pieces).otherwise(F.array(F.lit("")))
     rows = pages.select(c(key).alias("page"), F.posexplode(pieces).alias("pos", "raw"))
     name = F.lower(F.regexp_extract("raw", r"^</?([A-Za-z][A-Za-z0-9-]*)", 1))
     return rows.select("page", "pos", name.alias("name"), c("raw").startswith("</").alias("closing"), F.when(~c("raw").startswith("<"), c("raw")).alias("text"), "raw")
@@ -42,8 +46,8 @@ def page_counts(t: DataFrame) -> DataFrame:
     return t.groupBy("page").agg(*counted.values(), viewport.alias("n_viewport"), named_navs.alias("named_navs"), lang.alias("lang"))
 
 
-def _whole_page(condition: Callable[[], Column]) -> Callable[[DataFrame], DataFrame]:
-    return lambda t: page_counts(t).filter(condition()).select("page", F.lit("").alias("subject"))
+def _whole_page(rule: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda t: page_counts(t).filter(PAGE_CONDITIONS[rule]()).select("page", F.lit("").alias("subject"))
 
 
 def missing_landmark(t: DataFrame) -> DataFrame:
@@ -122,7 +126,7 @@ def lang_part_invalid(t: DataFrame) -> DataFrame:
 
 def charset_late(pages: DataFrame, key: str = "page", html: str = "html") -> DataFrame:
     """Pages that don't name their encoding in the first 1024 bytes."""
-    head = F.lower(F.decode(F.substring(F.encode(html, "UTF-8"), 1, 1024), "ISO-8859-1"))
+    head = F.lower(F.decode(F.substring(F.encode(F.coalesce(html, F.lit("")), "UTF-8"), 1, 1024), "ISO-8859-1"))
     return pages.filter(~head.contains("charset")).select(c(key).alias("page"), F.lit("").alias("subject"))
 
 
@@ -171,16 +175,16 @@ def markdown_links(bodies: DataFrame, known: DataFrame) -> DataFrame:
 
 #: Rule -> level and query from the tag table to (page, subject).
 RULES: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
-    "a11y.no-html-element": ("error", _whole_page(lambda: c("n_html") == 0)),
-    "a11y.no-lang": ("error", _whole_page(lambda: (c("n_html") > 0) & c("lang").isNull())),
-    "a11y.lang-invalid": ("error", _whole_page(lambda: c("lang").isNotNull() & ~language_tag_valid(c("lang")))),
-    "a11y.no-viewport": ("error", _whole_page(lambda: c("n_viewport") == 0)),
-    "a11y.no-title": ("error", _whole_page(lambda: c("n_title") == 0)),
+    "a11y.no-html-element": ("error", _whole_page("a11y.no-html-element")),
+    "a11y.no-lang": ("error", _whole_page("a11y.no-lang")),
+    "a11y.lang-invalid": ("error", _whole_page("a11y.lang-invalid")),
+    "a11y.no-viewport": ("error", _whole_page("a11y.no-viewport")),
+    "a11y.no-title": ("error", _whole_page("a11y.no-title")),
     "a11y.missing-landmark": ("error", missing_landmark),
-    "a11y.multiple-main": ("error", _whole_page(lambda: c("n_main") > 1)),
-    "a11y.unnamed-nav": ("error", _whole_page(lambda: (c("n_nav") > 1) & (c("named_navs") < c("n_nav")))),
-    "a11y.no-h1": ("error", _whole_page(lambda: c("n_h1") == 0)),
-    "a11y.multiple-h1": ("warning", _whole_page(lambda: c("n_h1") > 1)),
+    "a11y.multiple-main": ("error", _whole_page("a11y.multiple-main")),
+    "a11y.unnamed-nav": ("error", _whole_page("a11y.unnamed-nav")),
+    "a11y.no-h1": ("error", _whole_page("a11y.no-h1")),
+    "a11y.multiple-h1": ("warning", _whole_page("a11y.multiple-h1")),
     "a11y.heading-skip": ("error", heading_skip),
     "a11y.empty-id": ("error", lambda t: _ids(t).filter("id = ''").select("page", c("id").alias("subject"))),
     "a11y.invalid-id": ("error", lambda t: _ids(t).filter(c("id").rlike("[: ]")).select("page", c("id").alias("subject"))),
@@ -195,9 +199,60 @@ RULES: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
 }
 
 
+#: Rules that look at a page's counts, and those that look at one tag: what the subject is, where there is a finding.
+PAGE_CONDITIONS: dict[str, Callable[[], Column]] = {
+    "a11y.no-html-element": lambda: c("n_html") == 0,
+    "a11y.no-lang": lambda: (c("n_html") > 0) & c("lang").isNull(),
+    "a11y.lang-invalid": lambda: c("lang").isNotNull() & ~language_tag_valid(c("lang")),
+    "a11y.no-viewport": lambda: c("n_viewport") == 0,
+    "a11y.no-title": lambda: c("n_title") == 0,
+    "a11y.multiple-main": lambda: c("n_main") > 1,
+    "a11y.unnamed-nav": lambda: (c("n_nav") > 1) & (c("named_navs") < c("n_nav")),
+    "a11y.no-h1": lambda: c("n_h1") == 0,
+    "a11y.multiple-h1": lambda: c("n_h1") > 1,
+}
+
+
+def _finding(rule: str, level: str, met: Column, subject: Column) -> Column:
+    return F.when(met, F.struct(F.lit(rule).alias("rule"), F.lit(level).alias("level"), subject.alias("subject")))
+
+
+def page_findings(t: DataFrame) -> DataFrame:
+    """(page, rule, level, subject): the findings of all rules over whole pages, from one aggregate of the tag table."""
+    whole = [_finding(rule, RULES[rule][0], met(), F.lit("")) for rule, met in PAGE_CONDITIONS.items()]
+    marks = [_finding("a11y.missing-landmark", "error", c(f"n_{n}") == 0, F.lit(n)) for n in ("header", "main", "footer")]
+    return page_counts(t).select("page", F.inline(F.array_compact(F.array(*whole, *marks))))
+
+
+def tag_findings(t: DataFrame) -> DataFrame:
+    """(page, rule, level, subject): the findings of all rules over single tags, from one pass over the tag table."""
+    opening = ~c("closing") & (c("name") != "")
+    has_id, lang = opening & attribute("id").isNotNull(), attribute("lang")
+    found = [
+        _finding("a11y.empty-id", "error", has_id & (attribute("id") == ""), attribute("id")),
+        _finding("a11y.invalid-id", "error", has_id & attribute("id").rlike("[: ]"), attribute("id")),
+        _finding("a11y.lang-part-invalid", "error", ~c("name").isin("html", "") & ~language_tag_valid(lang), lang),
+    ]
+    return t.filter("name <> ''").select("page", F.inline(F.array_compact(F.array(*found))))
+
+
 def audit(pages: DataFrame, t: DataFrame, links: DataFrame) -> DataFrame:
-    """(page, rule, level, subject): the findings of all rules on pages, their tag table and their links."""
-    parts = [find(t).select("page", F.lit(rule).alias("rule"), F.lit(level).alias("level"), "subject") for rule, (level, find) in RULES.items()]
+    """(page, rule, level, subject): the findings of all rules on pages, their tag table and their links.
+
+    Rules over whole pages are one aggregate and rules over single tags one pass; the others need the order of tags.
+    """
+    together = {*PAGE_CONDITIONS, "a11y.missing-landmark", "a11y.empty-id", "a11y.invalid-id", "a11y.lang-part-invalid"}
+    parts = [page_findings(t), tag_findings(t)]
+    parts += [find(t).select("page", F.lit(rule).alias("rule"), F.lit(level).alias("level"), "subject") for rule, (level, find) in RULES.items() if rule not in together]
     parts.append(charset_late(pages).select("page", F.lit("a11y.charset-late").alias("rule"), F.lit("error").alias("level"), "subject"))
     parts += [links.filter(where).select("page", F.lit(rule).alias("rule"), F.lit(level).alias("level"), c("href").alias("subject")) for rule, (level, where) in LINK_RULES.items()]
     return reduce(DataFrame.unionByName, parts)
+
+
+def audit_summary(pages: DataFrame, findings: DataFrame) -> DataFrame:
+    """(rule, level, n, pages, example_page, example, checked): the findings of each rule, the first of them, and how many pages were checked."""
+    rules = findings.groupBy("rule", "level").agg(
+        F.count("*").alias("n"), F.countDistinct("page").alias("pages"), F.min(F.struct("page", "subject")).alias("first")
+    )
+    checked = pages.agg(F.count("*").alias("checked"))  # one row
+    return rules.crossJoin(checked).select("rule", "level", "n", "pages", c("first.page").alias("example_page"), c("first.subject").alias("example"), "checked")

@@ -23,6 +23,8 @@ SELECT page, site, path, CASE page % 16
   WHEN 10 THEN regexp_replace(body, '<html lang="[^"]*">', '<body>')
   WHEN 11 THEN replace(replace(replace(body, '<title>', '<titel>'), '<h1>', '<h2>'), '</h1>', '</h2>')
   WHEN 12 THEN replace(body, 'charset', 'chars-t')
+  WHEN 13 THEN CASE WHEN page % 32 = 13 THEN '' END
+  WHEN 14 THEN CASE WHEN page % 32 = 14 THEN 'only text' ELSE body END
   ELSE body END AS html
 FROM (SELECT page_id AS page, site, path, replace(html, '</article>', CASE page_id % 16
   WHEN 0 THEN '<h2 id="a">x</h2><h4 id="a">y</h4><a href="#a">a</a><a href="#b">b</a></article>'
@@ -42,7 +44,7 @@ MARKDOWN = f"SELECT site, path, site || '/' AS base_url, '/' AS base_path, 'See
 _TAGS = f"""
 WITH src AS ({duck(PAGES)}),
 cut AS (SELECT page, regexp_extract_all(CASE WHEN contains(html, '<!-- > open') THEN split_part(html, '<!-- > open', 1) ELSE html END, '(<!--[\\s\\S]*?-->|<![^>]*>|<[^>]*>|[^<]+)') AS ps FROM src),
-raw AS (SELECT page, unnest(ps) AS raw, generate_subscripts(ps, 1) - 1 AS pos FROM cut),
+raw AS (SELECT page, unnest(ps) AS raw, generate_subscripts(ps, 1) - 1 AS pos FROM (SELECT page, CASE WHEN len(ps) > 0 THEN ps ELSE [''] END AS ps FROM cut)),
 t AS (SELECT page, pos, raw, lower(regexp_extract(raw, '^</?([A-Za-z][A-Za-z0-9-]*)', 1)) AS name, starts_with(raw, '</') AS closing FROM raw),
 o AS (SELECT * FROM t WHERE NOT closing AND name <> ''),
 n AS (SELECT page, count(*) FILTER (name = 'html') AS html, count(*) FILTER (name = 'title') AS title, count(*) FILTER (name = 'header') AS header, count(*) FILTER (name = 'main') AS main, count(*) FILTER (name = 'footer') AS footer, count(*) FILTER (name = 'nav') AS nav, count(*) FILTER (name = 'nav' AND contains(raw, 'aria-label')) AS named, count(*) FILTER (name = 'h1') AS h1, count(*) FILTER (name = 'meta' AND contains(raw, 'name="viewport"')) AS viewport, min(regexp_extract(raw, 'lang="([^"]*)"', 1)) FILTER (name = 'html') AS lang FROM (SELECT page, name, raw FROM o UNION ALL SELECT DISTINCT page, '', '' FROM t) GROUP BY page),
@@ -75,7 +77,7 @@ LINK_SQL = {
     "html.absolute-nav-link": "SELECT page, href AS subject FROM lin WHERE absolute AND NOT external AND found",
     "a11y.broken-internal-link": "SELECT page, href AS subject FROM lin WHERE NOT external AND NOT found",
 }
-_CHARSET = "SELECT page, '' AS subject FROM src WHERE NOT contains(lower(left(html, 1024)), 'charset')"
+_CHARSET = "SELECT page, '' AS subject FROM src WHERE NOT contains(lower(left(coalesce(html, ''), 1024)), 'charset')"
 _TAGS = _TAGS.rstrip() + f""",
 tt AS (SELECT page, pos, closing, sum(CASE WHEN closing THEN -1 ELSE 1 END) OVER (PARTITION BY page ORDER BY pos) AS depth FROM t WHERE name = 'table'),
 tab AS (SELECT b.page, CAST(b.pos AS VARCHAR) AS subject, count(*) FILTER (x.name = 'caption') AS captions, count(*) FILTER (x.name = 'th') AS headers, count(*) FILTER (x.name = 'th' AND contains(x.raw, ' scope=')) AS scoped
@@ -116,6 +118,17 @@ for _rule in ("markdown.absolute-link", "markdown.broken-link"):
     query(_rule, lambda spark, sf_dir, rule=_rule: pages.markdown_links(view(spark, sf_dir, MARKDOWN), view(spark, sf_dir, KNOWN)).filter(c("rule") == rule).drop("rule"), f"SELECT site, path, target FROM mdl WHERE rule = '{_rule}'")
 query("page_links", links, "SELECT page, pos, href, target, absolute, external, found FROM lin")
 _LEVELS = {r: x[0] for r, x in pages.RULES.items()} | {r: x[0] for r, x in pages.LINK_RULES.items()} | {"a11y.charset-late": "error"}
-_EVERY = " UNION ALL ".join(f"SELECT '{r}' AS rule, '{_LEVELS[r]}' AS level, page FROM ({sql}) AS f" for r, sql in (SQL | LINK_SQL | {"a11y.charset-late": _CHARSET}).items())
-query("audit_summary", lambda spark, sf_dir: pages.audit(source(spark, sf_dir), tags(spark, sf_dir), links(spark, sf_dir)).groupBy("rule", "level").agg(F.count("*").alias("n"), F.countDistinct("page").alias("pages")), f"SELECT rule, level, count(*) AS n, count(DISTINCT page) AS pages FROM ({_EVERY}) AS f GROUP BY ALL")
+_EVERY = " UNION ALL ".join(f"SELECT '{r}' AS rule, '{_LEVELS[r]}' AS level, page, subject FROM ({sql}) AS f" for r, sql in (SQL | LINK_SQL | {"a11y.charset-late": _CHARSET}).items())
+
+
+def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = source(spark, sf_dir)
+    return pages.audit_summary(checked, pages.audit(checked, tags(spark, sf_dir), links(spark, sf_dir)))
+
+
+query("audit_summary", audit_summary, f"""
+SELECT rule, level, count(*) AS n, count(DISTINCT page) AS pages, min(page) AS example_page, list(subject ORDER BY page, subject)[1] AS example,
+  (SELECT count(*) FROM src) AS checked
+FROM ({_EVERY}) AS f GROUP BY rule, level
+""")
 query("page_tags", lambda spark, sf_dir: tags(spark, sf_dir).groupBy("page", "name", "closing").agg(F.count("*").alias("n")), "SELECT page, name, closing, count(*) AS n FROM t GROUP BY ALL")

@@ -13,7 +13,7 @@ from ..operators.model import CHARACTERISTICS, HEADER_IRIS, HEADER_SCALARS, KIND
 from ..sources.tables import written
 from ..vocabulary import DCTERMS, FOAF, OWL, RDFS, SKOS, TYPE, VANN, WELL_KNOWN_PREFIXES
 from .derived import PREFIXES, QUADS, quads
-from .inputs import duck, view
+from .inputs import TABLES, duck, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -24,9 +24,20 @@ KEY = ["release", "iri"]
 _kept: WeakKeyDictionary = WeakKeyDictionary()
 
 
-def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object], tables: tuple[str, ...] = ("part", "lineitem")) -> object:
-    """What queries over a folder share in a session; built anew when one of the tables has changed."""
-    stamps = [spark.read.parquet(f"{sf_dir}/{t}.parquet").agg(F.max("_metadata.file_modification_time")).first()[0] for t in tables]
+#: The tables that the statements of the releases, and so all that is made of them, are derived from.
+SOURCES = tuple(t for t in TABLES if "{" + t + "}" in QUADS + PREFIXES)
+
+
+def _stamp(spark: SparkSession, paths: list[str]) -> tuple:
+    """What tells one state of some files from another: their number, bytes, last change, and names. Nothing of them is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    each = F.xxhash64("path", "length", "modificationTime")
+    return tuple(files.agg(F.count("*"), F.sum("length"), F.max("modificationTime"), F.bit_xor(each)).first())
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object], tables: tuple[str, ...] = SOURCES) -> object:
+    """What queries over a folder share in a session; built anew when a file of one of the tables has come, gone or changed."""
+    stamps = _stamp(spark, [f"{sf_dir}/{t}.parquet" for t in tables])
     own = _kept.setdefault(spark, {})
     if own.get(name, (None,))[0] != (sf_dir, stamps):
         own[name] = ((sf_dir, stamps), build())

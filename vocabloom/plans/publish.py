@@ -13,7 +13,7 @@ from ..sources.tables import written
 from ..vocabulary import DCTERMS, OWL
 from .derived import GEO
 from .inputs import BASE, duck, view
-from .models import KNOWN, PRELUDE, kept, model
+from .models import KNOWN, PRELUDE, SOURCES, kept, model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -243,12 +243,12 @@ gap AS (SELECT release, "case" FROM (SELECT DISTINCT release FROM man), cas WHER
 
 
 def contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept(spark, sf_dir, "contract", lambda: written(conform.contract(view(spark, sf_dir, ASKED_FOR)), "contract"))
+    return kept(spark, sf_dir, "contract", lambda: written(conform.contract(view(spark, sf_dir, ASKED_FOR)), "contract"), ("events",))
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, asked = layout(spark, sf_dir), contract(spark, sf_dir)
-    return kept(spark, sf_dir, "cases", lambda: written(conform.resolve_cases(s, asked), "cases"))
+    return kept(spark, sf_dir, "cases", lambda: written(conform.resolve_cases(s, asked), "cases"), (*SOURCES, "events"))
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
