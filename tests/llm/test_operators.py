@@ -110,10 +110,39 @@ def test_decontaminate(spark, docs, none):
     assert decontaminate.decontaminate(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_special_tokens(spark):
+    """Strings of special tokens in a text are those tokens, as the plain tokenizer has it."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), packing.Encoder(path, special=True)
+    mark = "<|endoftext|>"
+    texts = [f"{mark} x", mark, f"a {mark}{mark}  b", f"x\n {mark}\n\n", f"<|endoftext{mark}|>", "<|endoftext", f"don't {mark}'s", ""]
+    for t in texts:
+        assert encoder.ids(t) == tokenizer.encode(t, add_special_tokens=False).ids, t
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    assert {r.doc_id: r.length for r in got} == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+
+
+def test_null_ids_and_internal_names(spark):
+    """A null id is another document than -1, and columns named as the operators' own pass through."""
+    rows = [(i, "a shared line\nown " + str(i), f"k{i}", i, "t", 1.5) for i in [*range(8), None, -1]]
+    schema = "doc_id long, text string, _k1 string, _k2 int, _text string, _none double"
+    docs = spark.createDataFrame(rows, schema)
+    got = lines.dedup_lines(docs).collect()
+    assert len(got) == 10 and all(r.n_dropped == 1 for r in got)
+    assert {(r.doc_id, r._k1, r._k2, r._text, r._none) for r in got} == {(i, k, n, t, x) for i, _, k, n, t, x in rows}
+    same = lines.dedup_lines(spark.createDataFrame([(*r[:1], r[1], *r[2:]) for r in rows if r[0] != -1], schema)).collect()
+    assert all(r.n_dropped == 0 for r in same)
+    for work in (substrings.dedup_substrings, neardup.one_of_each, lambda d: decontaminate.decontaminate(d, spark.createDataFrame([(1, "a shared line own 1"), (2, "own 2")], "item_id long, text string"), block_pairs=1)):
+        out = work(docs)
+        assert set(docs.columns) <= set(out.columns)
+        assert {(r.doc_id, r._k1, r._k2, r._text, r._none) for r in out.collect()} == {(i, k, n, t, x) for i, _, k, n, t, x in rows}
+    renamed = docs.withColumnsRenamed({"doc_id": "_row", "text": "_T"})
+    assert sum(r.n_dropped for r in lines.dedup_lines(renamed, id_col="_row", text_col="_T").collect()) == 10
+
+
 def test_packing(docs, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     want = []
     for i, t, *_ in ROWS:
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import slices, with_columns, written
+from .shared import free_names, slices, with_columns, written
 
 #: ASCII letters and digits and everything beyond ASCII are word bytes, A-Z are lower-cased; the rest separates words.
 _WORD_BYTES = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256)).lower()
@@ -110,6 +110,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+@free_names
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,

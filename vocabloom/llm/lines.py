@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import counted, flagged, row_keys, with_columns, written
+from .shared import counted, flagged, free_names, row_keys, with_columns, written
 
 _EDGE = b" \t\n\x0b\x0c\r"
 
@@ -17,6 +17,7 @@ def line_keys(text: bytes | None) -> tuple[list[bytes], list[bytes]]:
     return lines, [x.strip(_EDGE).lower() for x in lines]
 
 
+@free_names
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """Drop from every document all lines whose key is found in at least `min_docs` documents.
 
@@ -29,7 +30,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     - An empty table gives an empty result.
     """
     docs = docs.drop("n_lines", "n_dropped", "kept_text")
-    keyed = docs.select(*row_keys(id_col, text_col, docs), "*")
+    keyed = docs.select(*row_keys(id_col, text_col, docs), F.col(id_col).isNull().alias("_none"), "*")
 
     def hashes():
         from xxhash import xxh3_128_digest
@@ -43,13 +44,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return work
 
-    texts = keyed.select("_k1", "_k2", F.col(text_col).cast("binary").alias("_text"))
-    pairs, n = counted(with_columns(texts, [T.StructField("_h", T.ArrayType(T.BinaryType()))], hashes, ["_text"]).select("_k1", "_k2", F.explode("_h").alias("_h")), "lines")
+    texts = keyed.select("_k1", "_k2", "_none", F.col(text_col).cast("binary").alias("_text"))
+    pairs, n = counted(with_columns(texts, [T.StructField("_h", T.ArrayType(T.BinaryType()))], hashes, ["_text"]).select("_k1", "_k2", "_none", F.explode("_h").alias("_h")), "lines")
     common = written(pairs.groupBy("_h").count().filter(F.col("count") >= min_docs), "common")
-    hits = flagged(pairs, common, ["_h"], n).filter("_hit").select("_k1", "_k2", "_h")
-    if keyed.groupBy("_k1").count().filter("count > 1").limit(1).count():
+    hits = flagged(pairs, common, ["_h"], n).filter("_hit").select("_k1", "_k2", "_none", "_h")
+    if keyed.groupBy("_k1", "_none").count().filter("count > 1").limit(1).count():
         hits = written(hits, "hits")
-        few = hits.select("_h", "_k1").distinct().groupBy("_h").count().filter(F.col("count") < min_docs)
+        few = hits.select("_h", "_k1", "_none").distinct().groupBy("_h").count().filter(F.col("count") < min_docs)
         hits = hits.join(few, "_h", "left_anti")
     doomed = hits.groupBy("_k1", "_k2").agg(F.collect_set("_h").alias("_doomed"))
 
@@ -74,7 +75,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return work
 
     fields = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())]
-    return with_columns(keyed.join(doomed, ["_k1", "_k2"], "left"), fields, kept, ["_k1", "_k2", "_doomed"])
+    return with_columns(keyed.join(doomed, ["_k1", "_k2"], "left"), fields, kept, ["_k1", "_k2", "_none", "_doomed"])
 
 
 def _long_enough(key: bytes, min_chars: int) -> bool:

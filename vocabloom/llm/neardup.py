@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import HEAVY_SHARE, counted, flagged, looked_up, row_keys, slices, with_columns, written
+from .shared import HEAVY_SHARE, counted, flagged, free_names, looked_up, row_keys, slices, with_columns, written
 
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _SHIFT = np.uint64(32)
@@ -308,10 +308,11 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", F.col("_least").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("_least"), F.lit(True)).alias("kept"))
 
 
+@free_names
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, rows: int = 2, collections: int = 12) -> DataFrame:
     """`docs` with one row of each group of near-duplicates: that with the least id, then with the least hash of its text.
 
-    Rows without words or id are in no group and stay. Columns of `docs` named _k1 or _k2 aren't allowed.
+    Rows without words or id are in no group and stay.
     """
     found = grouped(docs, id_col, text_col, width, percent, rows, collections)
     chosen = found.filter("_group is not null").groupBy("_group").agg(F.min(F.struct("doc_id", "_k2")).alias("_one")).select("_one.*")

@@ -27,14 +27,22 @@ _DOUBLE_SPACE = re.compile(r"\s\s")
 
 
 class Encoder:
-    """The ids of a byte-level BPE vocabulary file of the `tokenizers` library; strings of special tokens are ordinary text."""
+    """The ids of a byte-level BPE vocabulary file of the `tokenizers` library.
 
-    def __init__(self, path: str) -> None:
+    special: strings of added tokens in a text are those tokens, as the library has it, or else ordinary text.
+    """
+
+    def __init__(self, path: str, special: bool = False) -> None:
         import public_tokenizers
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            model = json.load(f)
+        vocabulary, added = model["model"]["vocab"], {x["content"]: x for x in model["added_tokens"]}
+        if special and any(x[k] for x in added.values() for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens with rules of their own can't be split off")
+        self.added = {content: x["id"] for content, x in added.items()} if special else {}
+        self.cuts = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         rest = [b for b in range(256) if b not in _PRINTED]
         byte_of = {chr(b): b for b in _PRINTED} | {chr(256 + i): b for i, b in enumerate(rest)}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if all(c in byte_of for c in token) and not token.startswith("<|")}
@@ -45,6 +53,15 @@ class Encoder:
         self.simple, self.whole = simple.encode_ordinary, whole.encode_ordinary
 
     def ids(self, text: str) -> list[int]:
+        if self.cuts and self.cuts.search(text):
+            out, at = [], 0
+            for found in self.cuts.finditer(text):
+                out += [*self.plain(text[at : found.start()]), self.added[found.group()]]
+                at = found.end()
+            return out + self.plain(text[at:])
+        return self.plain(text)
+
+    def plain(self, text: str) -> list[int]:
         return self.whole(text) if _DOUBLE_SPACE.search(text) else self.simple(text)
 
 
@@ -122,7 +139,7 @@ def pack(
     def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, first = Encoder(tokenizer_path), TaskContext.get().partitionId() << 34
+        encoder, first = Encoder(tokenizer_path, special=True), TaskContext.get().partitionId() << 34
         items, made = [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

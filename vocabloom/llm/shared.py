@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 import re
 import tempfile
 import uuid
@@ -46,10 +48,40 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
 
 
 def row_keys(id_col: str, text_col: str, docs: DataFrame) -> list[Column]:
-    """Two longs that tell rows of different id or text apart; equal rows share them. Never null."""
+    """Two longs that tell rows of different id or text apart; equal rows share them. Never null.
+
+    A null id has the first key of id -1, and another second key than any row with an id.
+    """
     whole = isinstance(docs.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
     first = F.coalesce(F.col(id_col).cast("long"), F.lit(-1)) if whole else F.xxhash64(id_col)
-    return [first.alias("_k1"), F.xxhash64(text_col).alias("_k2")]
+    second = F.when(F.col(id_col).isNull(), F.xxhash64(text_col, F.lit(1))).otherwise(F.xxhash64(text_col))
+    return [first.alias("_k1"), second.alias("_k2")]
+
+
+def free_names(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Make an operator on `docs` leave columns alone whose names begin with _, as those that it adds on the way do.
+
+    They have other names meanwhile, also where id_col or text_col is one of them.
+    """
+    shape = inspect.signature(work)
+
+    @functools.wraps(work)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        given = shape.bind(docs, *args, **kwargs)
+        given.apply_defaults()
+        taken, renamed = {n.lower() for n in docs.columns}, {}
+        for name in (n for n in docs.columns if n.startswith("_")):
+            new = f"own{name}"
+            while new.lower() in taken:
+                new = f"x{new}"
+            taken.add(new.lower())
+            renamed[name] = new
+        given.arguments["docs"] = docs.withColumnsRenamed(renamed)
+        for n in {"id_col", "text_col"} & given.arguments.keys():
+            given.arguments[n] = renamed.get(given.arguments[n], given.arguments[n])
+        return work(*given.args, **given.kwargs).withColumnsRenamed({new: name for name, new in renamed.items()})
+
+    return run
 
 
 def flagged(left: DataFrame, keys: DataFrame, on: Sequence[str], n_left: int, flag: str = "_hit") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .neardup import WordHashes, mixed
-from .shared import flagged, row_keys, slices, with_columns, written
+from .shared import flagged, free_names, row_keys, slices, with_columns, written
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 _COUNT = (1 << 24) - 1
@@ -78,6 +78,7 @@ def windows_to_spans(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
     return list(zip(starts[cut].tolist(), (starts[np.concatenate([cut[1:], [len(starts)]]) - 1] + window).tolist(), strict=True))
 
 
+@free_names
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, minimizer: int = 8) -> DataFrame:
     """Remove each word that a repeated window covers: `window` consecutive words whose sequence also starts anywhere else.
 
