@@ -5,7 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from vocabloom.operators import blanks, files, jsonld
+from vocabloom.operators import blanks, files, jsonld, profiles
 from vocabloom.operators.model import Model
 from vocabloom.operators.spread import before
 from vocabloom.sources.tables import written
@@ -178,3 +178,17 @@ def test_kept_tables_follow_every_source(spark, tmp_path):
     assert (get(), get()) == (2, 2)
     next((tmp_path / "one.parquet").glob("part*")).unlink()
     assert (get(), get()) == (3, 3)
+
+
+def test_profile_chains(spark):
+    """Three levels inherit in order; a circle and an unknown name are errors of every profile that leads there."""
+    names = [("a", "b"), ("b", "c"), ("c", None), ("x", "y"), ("y", "z"), ("z", "y"), ("lost", "gone"), ("self", "self")]
+    fields = [("a", "label", "p1", 0), ("b", "label", "p2", 0), ("b", "label", "p1", 1), ("c", "label", "p3", 0), ("c", "label", "p2", 1), ("c", "note", "p9", 0), ("x", "label", "p1", 0)]
+    got = profiles.resolved(spark.createDataFrame(names, "profile string, extends string"), spark.createDataFrame(fields, "profile string, field string, predicate string, rank int"), written).collect()
+    ranked = lambda p, f: [(r.predicate, r.source) for r in sorted((r for r in got if r.profile == p and r.field == f), key=lambda r: r.rank)]
+    assert ranked("a", "label") == [("p1", "a"), ("p2", "b"), ("p3", "c")] and ranked("a", "note") == [("p9", "c")]
+    assert ranked("b", "label") == [("p2", "b"), ("p1", "b"), ("p3", "c")]
+    assert {r.profile: r.error for r in got if r.error} == {"x": "cycle at y", "y": "cycle at y", "z": "cycle at z", "lost": "unknown profile gone", "self": "cycle at self"}
+    assert not any(r.field for r in got if r.profile in ("x", "y", "z", "lost", "self"))
+    own = {(r.profile, r.field, r.predicate): r.rank for r in profiles.resolved(*profiles.built_in(spark), written).collect()}
+    assert own == {(p, f, x): i for p, f, x, i in profiles.predicate_rows()}

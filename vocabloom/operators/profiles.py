@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..vocabulary import ADMS, DCAM, DCTERMS, OWL, RDF, RDFS, SH, SKOS, VANN
@@ -60,6 +62,7 @@ PROFILES: dict[str, dict] = {
         "example": [SKOS + "example"],
     },
 }
+c = F.col
 FIELDS = ("label", "definition", "document_title", "document_description", "comment", "alt_label", "note", "example", "status", "deprecated")
 
 
@@ -77,6 +80,45 @@ def predicates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(predicate_rows(), "profile string, field string, predicate string, rank int")
 
 
+def built_in(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """The built-in profiles (profile, extends) and their own fields (profile, field, predicate, rank)."""
+    names = [(n, None if n == "generic" else "generic") for n in PROFILES]
+    own = [(n, f, x, i) for n, profile in PROFILES.items() for f in FIELDS for i, x in enumerate(profile.get(f, []))]
+    return spark.createDataFrame(names, "profile string, extends string"), spark.createDataFrame(own, "profile string, field string, predicate string, rank int")
+
+
+def resolved(profiles: DataFrame, fields: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(profile, field, predicate, rank, source, depth, error): the fields of profiles with all that they inherit.
+
+    profiles: profile, extends (null at the end of a chain); fields: profile, field, predicate, rank. A profile's own
+    predicates come first, then those of the profile that it extends, and so on; a predicate counts where it comes first.
+    A chain that comes back to one of its profiles, or that names one that isn't there, makes its profile a row of
+    null fields with the error, and no others.
+    """
+    up = profiles.select(c("profile").alias("source"), "extends", F.lit(True).alias("known"))
+    level = profiles.select("profile", c("profile").alias("source"), "extends", F.lit(0).alias("depth"), F.array("profile").alias("seen"), F.lit(None).cast("string").alias("error"))
+    level = keep(level, "chain0")
+    chains, n = level, 0
+    while True:
+        n += 1
+        more = level.filter("extends is not null and error is null").drop("source").withColumnRenamed("extends", "source")
+        error = F.when(F.array_contains("seen", c("source")), F.concat(F.lit("cycle at "), "source")).when(c("known").isNull(), F.concat(F.lit("unknown profile "), "source"))
+        stepped = more.join(up, "source", "left").select("profile", "source", "extends", c("depth") + 1, F.concat("seen", F.array("source")), error)
+        level = keep(stepped.toDF(*level.columns), f"chain{n}")
+        if level.isEmpty():
+            break
+        chains = chains.unionByName(level)
+    faults = chains.filter("error is not null").select("profile", "error")
+    sound = chains.join(faults.select("profile"), "profile", "left_anti").select("profile", "source", "depth")
+    rows = sound.join(fields.withColumnRenamed("profile", "source"), "source")
+    first = rows.groupBy("profile", "field", "predicate").agg(F.min(F.struct("depth", "rank", "source")).alias("x")).select("profile", "field", "predicate", "x.*")
+    order = Window.partitionBy("profile", "field").orderBy("depth", "rank", "predicate")
+    ranked = first.select("profile", "field", "predicate", (F.row_number().over(order) - 1).alias("rank"), "source", "depth")
+    none = F.lit(None)
+    failed = faults.select("profile", none.cast("string").alias("field"), none.cast("string").alias("predicate"), none.cast("int").alias("rank"), none.cast("string").alias("source"), none.cast("int").alias("depth"), "error")
+    return ranked.withColumn("error", none.cast("string")).unionByName(failed)
+
+
 def detection(spark: SparkSession) -> DataFrame:
     rows = [(n, p["title"], p["priority"], *(p.get(k, []) for k in ("document_type", "file_has_type", "file_has_predicate"))) for n, p in PROFILES.items()]
     return spark.createDataFrame(rows, "profile string, title string, priority int, document_type array<string>, file_has_type array<string>, file_has_predicate array<string>")

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blanks, jsonld
-from ..vocabulary import RDF, TYPE, XSD
-from .inputs import duck, view
+from ..operators import blanks, jsonld, profiles
+from ..vocabulary import DCTERMS, RDF, RDFS, TYPE, XSD
+from .inputs import BASE, duck, view
+
+from .inputs import BASE, duck, view
 from .models import PRELUDE, model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +151,51 @@ SELECT release, count(DISTINCT {_SIGN}) AS written, count(DISTINCT {_SIGN}) AS r
   '' AS lost_examples, '' AS invented_examples
 FROM stated GROUP BY release
 """
+
+# profiles
+
+_N = "CAST(substr(p_brand, 7) AS INT)"
+#: A profile for each brand, in chains, circles and on names that aren't there, and what it adds.
+CHAINS = f"""
+SELECT DISTINCT 'brand-' || {_N} AS profile, CASE {_N} % 10 WHEN 1 THEN 'skos' WHEN 2 THEN 'brand-' || ({_N} - 1) WHEN 3 THEN 'brand-' || ({_N} - 1)
+  WHEN 4 THEN 'brand-' || ({_N} + 1) WHEN 5 THEN 'brand-' || ({_N} - 1) WHEN 6 THEN 'brand-' || ({_N} - 5) WHEN 7 THEN 'dcap' WHEN 8 THEN 'nowhere' END AS extends
+FROM {{part}}
+"""
+ADDED = f"""
+SELECT DISTINCT 'brand-' || {_N} AS profile, f.field, CASE f.rank WHEN 0 THEN '{BASE}vocab#' || f.field || {_N} % 3 ELSE f.predicate END AS predicate, f.rank
+FROM {{part}}, (VALUES ('label', '', 0), ('label', '{DCTERMS}title', 1), ('definition', '{RDFS}comment', 1)) AS f(field, predicate, rank)
+"""
+
+
+def _profile_inherit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, (names, fields) = model(spark, sf_dir), profiles.built_in(spark)
+    made = profiles.resolved(names.unionByName(view(spark, sf_dir, CHAINS)), fields.unionByName(view(spark, sf_dir, ADDED)), m.keep)
+    uses = m.quads.groupBy(c("p").alias("predicate")).agg(F.count("*").alias("uses"))
+    return made.join(uses, "predicate", "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
+
+
+def _rows(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
+
+
+_BUILT_IN = _rows([(n, None if n == "generic" else "generic") for n in profiles.PROFILES])
+_OWN = _rows([(n, f, x, i) for n, p in profiles.PROFILES.items() for f in profiles.FIELDS for i, x in enumerate(p.get(f, []))])
+QUERIES["profile_inherit"] = _profile_inherit
+ORACLE["profile_inherit"] = f"""{PRELUDE},
+pro AS MATERIALIZED (SELECT * FROM (VALUES {_BUILT_IN}) AS b(profile, extends) UNION ALL {duck(CHAINS)}),
+fld AS MATERIALIZED (SELECT * FROM (VALUES {_OWN}) AS b(profile, field, predicate, rank) UNION ALL {duck(ADDED)}),
+chn AS (
+  SELECT profile, profile AS source, extends, 0 AS depth, [profile] AS seen, CAST(NULL AS VARCHAR) AS error FROM pro
+  UNION ALL
+  SELECT h.profile, h.extends, p.extends, depth + 1, list_append(seen, h.extends),
+    CASE WHEN list_contains(seen, h.extends) THEN 'cycle at ' || h.extends WHEN p.profile IS NULL THEN 'unknown profile ' || h.extends END
+  FROM chn h LEFT JOIN pro p ON p.profile = h.extends WHERE h.extends IS NOT NULL AND error IS NULL),
+flt AS (SELECT profile, error FROM chn WHERE error IS NOT NULL),
+fst AS (
+  SELECT h.profile, field, predicate, rank, h.source, depth FROM chn h JOIN fld f ON f.profile = h.source
+  WHERE h.profile NOT IN (SELECT profile FROM flt) QUALIFY row_number() OVER (PARTITION BY h.profile, field, predicate ORDER BY depth, rank) = 1),
+res AS (
+  SELECT profile, field, predicate, CAST(row_number() OVER (PARTITION BY profile, field ORDER BY depth, rank, predicate) - 1 AS INTEGER) AS rank, source, depth, CAST(NULL AS VARCHAR) AS error FROM fst
+  UNION ALL SELECT profile, NULL, NULL, NULL, NULL, NULL, error FROM flt)
+SELECT res.*, (SELECT count(*) FROM q WHERE q.p = res.predicate) AS uses FROM res
+"""
