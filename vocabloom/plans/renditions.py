@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from ..operators import blanks, jsonld, profiles
 from ..vocabulary import DCTERMS, RDF, RDFS, TYPE, XSD
-from .inputs import BASE, duck, view
-
 from .inputs import BASE, duck, view
 from .models import PRELUDE, model
 
