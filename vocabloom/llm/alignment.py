@@ -46,6 +46,20 @@ class PieceTokens:
         self.bytes = [bytes([int(x[3:5], 16)]) if model.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(own)]
 
 
+class _Texts(dict):
+    """Ids as text with an ending, made once for each id of a vocabulary."""
+
+    def __init__(self, end: str) -> None:
+        self.end = end
+
+    def __missing__(self, i: int) -> str:
+        self[i] = f"{i}{self.end}"
+        return self[i]
+
+
+_FIRST, _SECOND, _PLAIN = _Texts("|"), _Texts(";"), _Texts("")
+
+
 def stretches(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int]]:
     """Cut two rising lists of token ends with the same last end where both end: (start, end) in `a`, then in `b`.
 
@@ -80,7 +94,7 @@ def stretches(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int]]
 
 def aligned(ids_a: list[int], ids_b: list[int], ends_a: list[int], ends_b: list[int]) -> tuple[int, int, str, Counter]:
     """Number of groups, number of links, the groups as text, and how often each pair of ids is linked."""
-    firsts, seconds, texts = [], [], []
+    firsts, seconds, left, right = [], [], [], []
     more: Counter = Counter()
     n_groups = n_links = 0
     for i, p, j, q in stretches(ends_a, ends_b):
@@ -90,12 +104,17 @@ def aligned(ids_a: list[int], ids_b: list[int], ends_a: list[int], ends_b: list[
             n_links += len(own)
             firsts += own
             seconds += other
-            texts += [f"{x}|{y}" for x, y in zip(own, other, strict=True)]
+            left += [_FIRST[x] for x in own]
+            right += [_SECOND[y] for y in other]
             continue
         n_groups += 1
         n_links += len(own) * len(other)
-        texts.append(f"{','.join(map(str, own))}|{','.join(map(str, other))}")
-        if len(own) * len(other) <= _LARGE:
+        left.append(",".join([_PLAIN[x] for x in own]) + "|")
+        right.append(",".join([_PLAIN[y] for y in other]) + ";")
+        if len(own) == 1:
+            firsts += own * len(other)
+            seconds += other
+        elif len(own) * len(other) <= _LARGE:
             for x in own:
                 firsts += [x] * len(other)
                 seconds += other
@@ -105,7 +124,9 @@ def aligned(ids_a: list[int], ids_b: list[int], ends_a: list[int], ends_b: list[
     pairs = Counter(zip(firsts, seconds, strict=True))
     if more:
         pairs.update(more)
-    return n_groups, n_links, ";".join(texts), pairs
+    texts = [""] * (2 * n_groups)
+    texts[::2], texts[1::2] = left, right
+    return n_groups, n_links, "".join(texts)[:-1], pairs
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
