@@ -74,10 +74,10 @@ def _finding(rule: str, level: str | Column, test: str | Column | None, conditio
     return F.when(condition, F.array(F.struct(F.lit(rule).alias("rule"), lit(level).alias("level"), lit(test).alias("foops"), F.lit("").alias("detail"))))
 
 
-def judge(rows: DataFrame) -> DataFrame:
+def judge(rows: DataFrame, *also: str) -> DataFrame:
     """(release, rule, level, foops, url, accept, subject, context, detail, expect): findings on answered asks. Stateless, so rows may be a stream.
 
-    An unreachable address gets no other finding.
+    An unreachable address gets no other finding. also: more columns of the asks to keep.
     """
     status, kind = c("status"), c("media_type")
     right = http.content_type_is(c("content_type"), kind)
@@ -103,7 +103,7 @@ def judge(rows: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<rule:string,level:string,foops:string,detail:string>>")
     signs = F.transform(signposts, lambda r: F.struct(F.lit("probe.no-signpost").alias("rule"), F.lit("warning").alias("level"), F.lit(None).cast("string").alias("foops"), r.alias("detail")))
     every = F.concat(*(F.coalesce(x, none) for x in found), signs)
-    return rows.select("release", I.redact_url(c("url")).alias("url"), "accept", "subject", "context", "expect", F.explode(every).alias("x")).select("release", "x.rule", "x.level", "x.foops", "url", "accept", "subject", "context", "x.detail", "expect")
+    return rows.select("release", I.redact_url(c("url")).alias("url"), "accept", "subject", "context", "expect", *also, F.explode(every).alias("x")).select("release", "x.rule", "x.level", "x.foops", "url", "accept", "subject", "context", "x.detail", "expect", *also)
 
 
 def with_unreachable_hosts(found: DataFrame, rows: DataFrame, origin: str) -> DataFrame:

@@ -12,7 +12,6 @@ from ..streaming import requests as streams
 from .inputs import duck, view
 from .models import kept
 from .publish import ASKS, REPS, SITE, answers, layout
-from .publish import ORACLE as ORACLE_OF
 from .scalars import _luminance
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,8 +50,26 @@ def stream_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(spark, sf_dir, "stream_resolve", lambda: streams.through(view(spark, sf_dir, REQUESTS), lambda rows: streams.resolved(rows, s), "requests"), ("events", "part")).drop("path")
 
 
+#: When an ask was answered, and with which of three deliveries that came: the last one brings what was held up.
+_TS = "length(url) * 600 + 1700000000"
+_DELIVERY = "CASE WHEN length(url) % 7 = 0 THEN 2 WHEN length(url) < 50 THEN 0 ELSE 1 END"
+LATE = 600
+
+
 def stream_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept(spark, sf_dir, "stream_judge", lambda: streams.through(answers(spark, sf_dir).filter("made"), streams.judged, "answers")).drop("expect")
+    def run() -> DataFrame:
+        rows = answers(spark, sf_dir).filter("made").withColumn("ts", F.timestamp_seconds(F.expr(_TS)))
+        parts = [rows.filter(F.expr(_DELIVERY) == i) for i in range(3)]
+        found, late = streams.arrivals(parts, lambda x: streams.findings_by_window(x, "1 hour", f"{LATE} seconds"), "answers")
+        return found.withColumns({"start": F.unix_timestamp("start"), "late": F.lit(late)})
+
+    return kept(spark, sf_dir, "stream_windows", run)
+
+
+def stream_requests_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = lambda rows: streams.counts_by_window(rows, "1 hour", f"{LATE} seconds")
+    hours = kept(spark, sf_dir, "stream_hours", lambda: streams.through(view(spark, sf_dir, REQUESTS), made, "hours"), ("events",))
+    return hours.withColumn("start", F.unix_timestamp("start"))
 
 
 def stream_findings_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +98,7 @@ QUERIES |= {
     "answer_log": answer_log,
     "stream_resolve": stream_resolve,
     "stream_judge": stream_judge,
+    "stream_requests_by_hour": stream_requests_by_hour,
     "stream_findings_dedup": stream_findings_dedup,
     "theme_contrast_large_text": lambda spark, sf_dir: contrast.contrast_pairs(view(spark, sf_dir, PALETTE), spark.createDataFrame([("text-muted", bg, "large-text") for bg in contrast.SURFACES], "fg string, bg string, basis string")).filter(~F.col("passed")).select("theme", "scheme", "fg", "bg"),
     "theme_token_schema": lambda spark, sf_dir: contrast.schema_faults(view(spark, sf_dir, OVERLAY)),
@@ -106,7 +124,14 @@ ORACLE |= {
     "stream_resolve": MATCHED + "SELECT request_id, release, outcome, media_type, target, status FROM res",
     "answer_log": MATCHED + f"""SELECT request_id, CASE WHEN outcome <> 'pass-through' THEN outcome WHEN file IS NOT NULL THEN 'file' ELSE 'missing' END AS outcome, CASE WHEN outcome <> 'pass-through' THEN status WHEN file IS NOT NULL THEN 200 ELSE 404 END AS status, CASE WHEN outcome <> 'pass-through' THEN target ELSE file END AS target, CASE WHEN outcome = 'serve' OR outcome = 'pass-through' AND file LIKE '%.html' THEN 'text/html; charset=utf-8' WHEN outcome = 'pass-through' AND file LIKE '%.ttl' THEN 'text/turtle; charset=utf-8' WHEN outcome = 'pass-through' AND file LIKE '%.md' THEN 'text/markdown; charset=utf-8' WHEN outcome = 'pass-through' AND file LIKE '%.txt' THEN 'text/plain; charset=utf-8' WHEN outcome = 'pass-through' AND file LIKE '%.jsonld' THEN 'application/ld+json' END AS content_type
   FROM (SELECT r.*, coalesce(f0.path, f1.path, f2.path) AS file FROM res r LEFT JOIN fil f0 ON f0.release = r.release AND f0.path = ltrim(r.path, '/') LEFT JOIN fil f1 ON f1.release = r.release AND f1.path = ltrim(r.path, '/') || 'index.html' LEFT JOIN fil f2 ON f2.release = r.release AND f2.path = ltrim(r.path, '/') || '/index.html')""",
-    "stream_judge": ORACLE_OF["judge_response"],
+    # a window comes out once the watermark has passed its end; of the last delivery, what is older than the watermark counts as late
+    "stream_judge": ASKS
+    + f""", w AS (SELECT max({_TS}) FILTER ({_DELIVERY} < 2) - {LATE} AS before, max({_TS}) - {LATE} AS after FROM ans WHERE made),
+d AS (SELECT DISTINCT *, CAST(floor(({_TS}) / 3600) * 3600 AS BIGINT) AS start FROM raw_found, w WHERE {_DELIVERY} < 2 OR {_TS} > before)
+SELECT release, start, rule, level, count(*) AS n, min(context) AS example, CAST((SELECT count(*) FROM ans, w WHERE made AND {_DELIVERY} = 2 AND {_TS} <= before) AS INTEGER) AS late
+FROM d WHERE start + 3600 <= after GROUP BY ALL""",
+    "stream_requests_by_hour": f"""WITH r AS ({duck(REQUESTS)}), w AS (SELECT max(epoch(ts)) - {LATE} AS after FROM r)
+SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS start, {_TYPE} AS media_type, count(*) AS n FROM r, w WHERE floor(epoch(ts) / 3600) * 3600 + 3600 <= after GROUP BY ALL""",
     "stream_findings_dedup": ASKS + "SELECT DISTINCT url, rule FROM raw_found WHERE release = 'new'",
     "theme_contrast_large_text": _CONTRAST.replace(_PAIRS, "(VALUES " + ", ".join(f"('text-muted', '{bg}', 'large-text', 3.0)" for bg in contrast.SURFACES) + ") AS w(fg, bg, basis, least)") + "SELECT theme, scheme, fg, bg FROM x WHERE ratio < bar",
     "theme_token_schema": f"WITH o AS ({duck(OVERLAY)}) SELECT theme, scheme, role, 'unknown' AS fault FROM o WHERE role NOT IN ({', '.join(repr(r) for r in contrast.ROLES)}) UNION ALL SELECT theme, scheme, role, 'missing' FROM (SELECT DISTINCT theme, scheme FROM o), (SELECT unnest({contrast.ROLES}) AS role) WHERE (theme, scheme, role) NOT IN (SELECT (theme, scheme, role) FROM o)",
