@@ -23,13 +23,6 @@ DEFAULT_TYPE = "text/html"
 # How long answers may be kept.
 SNAPSHOT_CACHE, LATEST_CACHE = "public, max-age=31536000, immutable", "public, max-age=300, must-revalidate"
 STATUS = 303
-#: What kinds of host cannot do with such a layout.
-HOST_LIMITS = [
-    ("static files", "no content negotiation", False),
-    ("static files", "no Vary or Link headers", False),
-    ("redirect table", "a fixed number of rules", False),
-    ("redirect table", "directory terms need a rule each", True),
-]
 NS = ["release", "ns"]
 c = F.col
 
@@ -217,11 +210,6 @@ class Layout:
         serve = c("media_type") == DEFAULT_TYPE
         return self.addresses.select("release", "request", "media_type", F.when(serve, "serve").otherwise("redirect").alias("action"), F.when(serve, c("file")).otherwise(c("public")).alias("target"), F.when(serve, 200).otherwise(STATUS).alias("status"), "cache")
 
-    def host_limits(self) -> DataFrame:
-        """(release, host, limit, ns, affected): what kinds of host can't do, with the number of terms that it matters for."""
-        limits = F.broadcast(self.m.spark.createDataFrame(HOST_LIMITS, "host string, limit string, directories boolean"))
-        return self.manifest.crossJoin(limits).select("release", "host", "limit", "ns", F.when(c("directories"), c("n_directories")).otherwise(c("n_terms")).alias("affected")).filter("affected > 0")
-
     def path_case_collisions(self) -> DataFrame:
         """(release, folded, paths): files of a site whose paths differ by case only."""
         files = self.term_paths.select("release", "path").unionByName(self.document_paths().select("release", "path"))

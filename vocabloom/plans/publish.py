@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import conform, probe
+from ..operators import conform, hosts, probe
 from ..operators.layout import LATEST_CACHE, REPRESENTATIONS, SNAPSHOT_CACHE, STATUS, Layout
 from ..sources.tables import written
 from ..vocabulary import DCTERMS, OWL
@@ -77,7 +77,45 @@ query("version_links", lambda s: s.version_links(), f"SELECT s.release, x.* FROM
 query("versions_report", lambda s: s.versions_report().withColumn("versions", F.array_join("versions", " ")), f"SELECT m.release, m.ns, f.snapshots AS policy, m.doc_base AS latest, '{LATEST_CACHE}' AS latest_cache, '{SNAPSHOT_CACHE}' AS snapshot_cache, array_to_string(m.versions, ' ') AS versions, (SELECT count(*) FROM cand k WHERE k.release = m.release AND k.ns = m.ns AND k.refused <> 'no version IRI') AS not_written FROM man m JOIN cfg f USING (release)")
 query("manifest_entries", lambda s: s.manifest.withColumns({"reserved": F.array_join("reserved", " "), "versions": F.array_join("versions", " ")}), "SELECT * REPLACE (array_to_string(reserved, ' ') AS reserved, array_to_string(versions, ' ') AS versions) FROM man")
 query("route_table", lambda s: s.route_table(), f"SELECT release, request, media_type, CASE extension WHEN '.html' THEN 'serve' ELSE 'redirect' END AS action, CASE extension WHEN '.html' THEN file ELSE public END AS target, CASE extension WHEN '.html' THEN 200 ELSE {STATUS} END AS status, cache FROM adr")
-query("host_limits", lambda s: s.host_limits(), "SELECT * FROM (SELECT release, host, l AS \"limit\", ns, CASE WHEN d THEN n_directories ELSE n_terms END AS affected FROM man, (VALUES ('static files', 'no content negotiation', false), ('static files', 'no Vary or Link headers', false), ('redirect table', 'a fixed number of rules', false), ('redirect table', 'directory terms need a rule each', true)) AS h(host, l, d)) WHERE affected > 0")
+#: Five kinds of host. A rule of the second can list 300 names, a fixed value.
+HOSTS = """SELECT * FROM (VALUES
+  ('edge worker', true, true, 'term', true, true, true, CAST(NULL AS INT)),
+  ('rewrite rules', true, false, 'none', true, true, true, 300),
+  ('header rules', true, false, 'namespace', true, true, true, CAST(NULL AS INT)),
+  ('resolver', true, true, 'term', false, false, false, CAST(NULL AS INT)),
+  ('plain files', false, false, 'none', true, true, true, CAST(NULL AS INT))
+) AS h(host, negotiates, ranks_quality, links, layouts, suffixes, versions, names)"""
+_ODD = "SELECT t.release, t.ns, t.iri, t.local, t.style, '/' || n.mount AS mount FROM st t JOIN nsp n ON n.release = t.release AND n.ns = t.ns WHERE t.style <> n.style"
+query(
+    "host_limits",
+    lambda s: hosts.host_limits(s, s.m.spark.sql(HOSTS)),
+    f"""SELECT release, host, x."limit" AS "limit", ns, x.affected AS affected FROM (
+  SELECT m.release, h.host, m.ns, unnest([
+    struct_pack("limit" := 'no negotiation', affected := CASE WHEN NOT negotiates THEN n_terms END),
+    struct_pack("limit" := 'no ranking by quality', affected := CASE WHEN negotiates AND NOT ranks_quality THEN n_terms END),
+    struct_pack("limit" := 'no Link headers', affected := CASE WHEN links = 'none' THEN n_terms END),
+    struct_pack("limit" := 'Link headers by namespace', affected := CASE WHEN links = 'namespace' THEN n_terms END),
+    struct_pack("limit" := 'one layout', affected := CASE WHEN NOT layouts THEN odd END),
+    struct_pack("limit" := 'one representation', affected := CASE WHEN NOT suffixes THEN n_terms END),
+    struct_pack("limit" := 'no snapshots', affected := CASE WHEN NOT h.versions THEN len(m.versions) END),
+    struct_pack("limit" := 'names not listed', affected := CASE WHEN n_terms > names THEN n_terms END)]) AS x
+  FROM man m LEFT JOIN (SELECT release, ns, count(*) AS odd FROM ({_ODD}) GROUP BY ALL) o ON o.release = m.release AND o.ns = m.ns CROSS JOIN ({HOSTS}) h) WHERE x.affected > 0""",
+)
+query(
+    "host_exceptions",
+    lambda s: hosts.host_exceptions(s, s.m.spark.sql(HOSTS)),
+    f"SELECT release, host, ns, iri, mount || local || CASE style WHEN 'dir' THEN '/' ELSE '' END AS request, mount AS instead FROM ({_ODD}), ({HOSTS}) h WHERE NOT layouts",
+)
+_ESCAPED = "regexp_replace({0}, '([.+*?()\\[\\]{{}}^$|\\\\])', '\\\\\\1', 'g')"
+query(
+    "term_rules",
+    lambda s: hosts.term_rules(s, s.m.spark.sql(HOSTS)),
+    f"""SELECT m.release, host, m.ns, n_terms <= names AS listed, CASE
+  WHEN n_terms <= names THEN '(' || listed_names || ')'
+  WHEN len(reserved) > 0 THEN '(?!(?:' || array_to_string(list_transform(reserved, lambda r: {_ESCAPED.format('r')}), '|') || ')(?:/|$))' || '{hosts.ANY_NAME}'
+  ELSE '{hosts.ANY_NAME}' END AS pattern
+FROM man m LEFT JOIN (SELECT release, ns, string_agg({_ESCAPED.format('local')}, '|' ORDER BY local) AS listed_names FROM st GROUP BY ALL) l ON l.release = m.release AND l.ns = m.ns CROSS JOIN ({HOSTS}) h WHERE names IS NOT NULL AND n_terms > 0""",
+)
 query("path_case_collisions", lambda s: s.path_case_collisions().withColumn("paths", F.array_join("paths", " ")), f"SELECT release, lower(path) AS folded, array_to_string(list_sort(list(DISTINCT path)), ' ') AS paths FROM (SELECT release, file AS path FROM adr WHERE segment = '' UNION ALL SELECT release, replace(path, '_index', 'index') FROM {_DOCUMENT_PATHS} UNION ALL SELECT release, mount || 'llms.txt' FROM nsp) GROUP BY ALL HAVING count(DISTINCT path) > 1")
 query("link_header", lambda s: s.link_headers(), "SELECT * FROM lnk2")
 query("public_url", lambda s: s.addresses.select("release", "ns", "segment", "local", "media_type", "public"), "SELECT release, ns, segment, local, media_type, public FROM adr")
