@@ -11,6 +11,7 @@ from ..vocabulary import DCTERMS, RDF, TYPE, XSD
 from .jsonld import context_entries
 from .layout import DEFAULT_TYPE, NS, Layout
 from .model import KEY, TERM_KINDS, Model
+from .spread import before
 
 # No tree is deeper.
 TREE_DEPTH = 9
@@ -203,12 +204,48 @@ def status_banners(m: Model) -> DataFrame:
     return m.documents.filter("status is not null").select(*KEY, I.humanise(c("status")).alias("status"), c("version_info").alias("version"))
 
 
-def schema_org(layout: Layout) -> DataFrame:
-    """(release, iri, json): schema.org data of each local term and document."""
-    m = layout.m
-    terms = m.local.select(*KEY, F.to_json(F.struct(F.lit("DefinedTerm").alias("@type"), c("iri").alias("@id"), F.coalesce(label(), "local_name").alias("name"), c("local_name").alias("termCode"), c("defined_in").alias("inDefinedTermSet"))).alias("json"))
-    docs = m.documents.select(*KEY, F.to_json(F.struct(F.lit("DefinedTermSet").alias("@type"), c("iri").alias("@id"), F.coalesce(pick_lang(c("title"), F.lit("en"))["value"], c("iri")).alias("name"), c("version_info").alias("version"), c("license").alias("license"))).alias("json"))
-    return terms.unionByName(docs)
+def schema_org(layout: Layout, title: str = "Vocabularies", lang: str = "en", most: int = 1000) -> DataFrame:
+    """(release, kind, iri, part, json): schema.org data of terms, documents and the site of each release.
+
+    A term has a page and the term that it is about, which names its set; a document is a set of terms and a dataset, with a
+    download for each other representation of its namespace; a site is a catalogue of the datasets of its namespaces, in
+    objects of `most` of them at most, all with the site's address and numbered by part. What is null is left out.
+    """
+    m, context = layout.m, F.lit("https://schema.org").alias("@context")
+    null = F.lit(None).cast("string")
+    url = layout.term_paths.filter(c("media_type") == DEFAULT_TYPE).select(*NS, "local", c("page_url").alias("url"))
+    terms = m.local.select(*KEY, c("namespace").alias("ns"), c("local_name").alias("local"), F.coalesce(label(), "local_name").alias("name"), oneline(label("definitions")).alias("about"), "defined_in").join(url, [*NS, "local"], "left")
+    node = lambda kind, iri, code, about, of, spoken, main: F.struct(F.lit(kind).alias("@type"), iri.alias("@id"), c("name"), code.alias("termCode"), c("url"), about.alias("description"), of.alias("inDefinedTermSet"), spoken.alias("inLanguage"), main.alias("mainEntity"))
+    subject = F.struct(c("iri").alias("@id"))
+    page = node("WebPage", null, null, null, null, F.lit(lang), subject)
+    term = node("DefinedTerm", c("iri"), c("local"), c("about"), c("defined_in"), null, F.when(F.lit(False), subject))
+    of_terms = terms.select("release", F.lit("term").alias("kind"), "iri", F.lit(0).alias("part"), F.to_json(F.struct(context, F.array(page, term).alias("@graph"))).alias("json"))
+
+    files = layout.document_paths().filter("media_type <> 'text/plain'").withColumnRenamed("ns", "iri")
+    other = F.when(c("media_type") != DEFAULT_TYPE, F.struct(F.lit("DataDownload").alias("@type"), c("media_type").alias("encodingFormat"), c("url").alias("contentUrl")))
+    downloads = files.groupBy(*KEY).agg(F.max(F.when(c("media_type") == DEFAULT_TYPE, c("url"))).alias("url"), F.array_sort(F.collect_list(other)).alias("distribution"))
+    own = pick_lang(c("title"), F.lit("en"))["value"]
+    docs = m.documents.join(downloads, KEY, "left")
+    group = F.struct(
+        F.array(F.lit("DefinedTermSet"), F.lit("Dataset")).alias("@type"),
+        c("iri").alias("@id"),
+        F.coalesce(own, c("iri")).alias("name"),
+        c("url"),
+        F.lit(lang).alias("inLanguage"),
+        oneline(pick_lang(c("description"), F.lit("en"))["value"]).alias("description"),
+        c("license"),
+        c("version_info").alias("version"),
+        c("modified").alias("dateModified"),
+        c("distribution"),
+    )
+    of_sets = docs.select("release", F.lit("set").alias("kind"), "iri", F.lit(0).alias("part"), F.to_json(F.struct(context, F.array(group).alias("@graph"))).alias("json"))
+
+    spaces = before(layout.manifest.select(*NS, F.coalesce("title", "ns").alias("name"), c("doc_base").alias("url")), ["release"], ["ns"], "at", m.keep)
+    dataset = F.struct(c("ns").alias("@id"), F.lit("Dataset").alias("@type"), c("name"), c("url"))
+    parts = spaces.groupBy("release", F.floor(c("at") / most).cast("int").alias("part")).agg(F.array_sort(F.collect_list(dataset)).alias("dataset")).join(layout.config.select("release", "base_url"), "release")
+    catalogue = F.struct(context, F.lit("DataCatalog").alias("@type"), F.lit(title).alias("name"), c("base_url").alias("url"), F.lit(lang).alias("inLanguage"), c("dataset"))
+    of_site = parts.select("release", F.lit("catalogue").alias("kind"), c("base_url").alias("iri"), "part", F.to_json(catalogue).alias("json"))
+    return of_terms.unionByName(of_sets).unionByName(of_site)
 
 
 def context_subset(m: Model) -> DataFrame:

@@ -17,7 +17,7 @@ from ..vocabulary import DCTERMS, OWL, RDF, RDFS, TYPE, XSD
 from .changes import EVERY_CHANGE
 from .inputs import duck, view
 from .models import PRELUDE, kept, model
-from .publish import SITE, layout
+from .publish import REPS, SITE, layout
 from .renditions import CONTEXT as _CONTEXT
 from .shacl import SHAPES, ns, short
 
@@ -114,7 +114,39 @@ _FILES = f"(SELECT x.release, a.file AS path, x.card AS content FROM {_CARD} x J
 on_site("artifact_manifest", lambda s: describe.artifacts(s).select("release", "path", F.octet_length("content").cast("long").alias("bytes")), f"SELECT release, path, strlen(content) AS bytes FROM {_FILES}", CARDS)
 on_site("front_matter", describe.front_matter, f"SELECT release, namespace AS ns, local_name AS local, CAST(weight AS INTEGER) AS weight, array_to_string(['---', 'title: \"' || replace(label, '\"', '\\\"') || '\"', 'iri: \"' || iri || '\"', 'kind: ' || kind, 'weight: ' || weight, '---'], chr(10)) AS front FROM (SELECT t.*, {_LABEL} AS label, row_number() OVER (PARTITION BY release, namespace ORDER BY iri) AS weight FROM terms t WHERE NOT \"foreign\")")
 _STR = "'\"' || replace(replace({0}, '\\', '\\\\'), '\"', '\\\"') || '\"'"
-on_site("schema_org_rows", describe.schema_org, f"SELECT release, iri, '{{' || array_to_string(list_filter(['\"@type\":\"DefinedTerm\"', '\"@id\":' || {_STR.format('iri')}, '\"name\":' || {_STR.format(_LABEL)}, '\"termCode\":' || {_STR.format('local_name')}, '\"inDefinedTermSet\":' || {_STR.format('defined_in')}], lambda x: x IS NOT NULL), ',') || '}}' AS json FROM terms t WHERE NOT \"foreign\" UNION ALL SELECT release, iri, '{{' || array_to_string(list_filter(['\"@type\":\"DefinedTermSet\"', '\"@id\":' || {_STR.format('iri')}, '\"name\":' || {_STR.format('coalesce(title, iri)')}, '\"version\":' || {_STR.format('version_info')}, '\"license\":' || {_STR.format('license')}], lambda x: x IS NOT NULL), ',') || '}}' FROM (SELECT d.*, {_TITLE} AS title FROM docs d)")
+_NODES = "'{{\"@context\":\"https://schema.org\",\"@graph\":[' || {0} || ']}}'"
+
+
+def _object(fields: dict[str, str]) -> str:
+    """A JSON object in SQL, of fields whose values are JSON; null ones are left out."""
+    listed = ", ".join(f"'\"{k}\":' || {v}" for k, v in fields.items())
+    return f"'{{' || array_to_string(list_filter([{listed}], lambda x: x IS NOT NULL), ',') || '}}'"
+
+
+_text = _STR.format
+_PAGE = _object({"@type": "'\"WebPage\"'", "name": _text("name"), "url": _text("url"), "inLanguage": "'\"en\"'", "mainEntity": _object({"@id": _text("iri")})})
+_TERM = _object({"@type": "'\"DefinedTerm\"'", "@id": _text("iri"), "name": _text("name"), "termCode": _text("local_name"), "url": _text("url"), "description": _text("about"), "inDefinedTermSet": _text("defined_in")})
+_DOWNLOAD = _object({"@type": "'\"DataDownload\"'", "encodingFormat": _text("media_type"), "contentUrl": _text("url")})
+_SET = _object(
+    {"@type": "'[\"DefinedTermSet\",\"Dataset\"]'", "@id": _text("iri"), "name": _text("coalesce(title, iri)"), "url": _text("url"), "inLanguage": "'\"en\"'", "description": _text("about")}
+    | {"license": _text("license"), "version": _text("version_info"), "dateModified": _text("modified"), "distribution": "'[' || downloads || ']'"}
+)
+_DATASET = _object({"@id": _text("ns"), "@type": "'\"Dataset\"'", "name": _text("coalesce(title, ns)"), "url": _text("doc_base")})
+_CATALOGUE = _object({"@context": "'\"https://schema.org\"'", "@type": "'\"DataCatalog\"'", "name": "'\"Vocabularies\"'", "url": _text("base_url"), "inLanguage": "'\"en\"'", "dataset": "'[' || datasets || ']'"})
+on_site(
+    "schema_org_rows",
+    describe.schema_org,
+    f"""SELECT release, 'term' AS kind, iri, 0 AS part, {_NODES.format(_PAGE + " || ',' || " + _TERM)} AS json
+FROM (SELECT t.*, {_LABEL} AS name, {_LINE.format(_EN.format('t.definitions'))} AS about, rtrim(a.base_url, '/') || a.request AS url FROM terms t
+  LEFT JOIN adr a ON a.release = t.release AND a.ns = t.namespace AND a.local = t.local_name AND a.segment = '' AND a.extension = '.html' WHERE NOT t."foreign") x
+UNION ALL SELECT release, 'set', iri, 0, {_NODES.format(_SET)}
+FROM (SELECT d.*, {_TITLE} AS title, {_LINE.format(_ABOUT)} AS about, f.url, f.downloads FROM docs d LEFT JOIN (
+  SELECT release, ns, max(url) FILTER (media_type = 'text/html') AS url, string_agg({_DOWNLOAD}, ',' ORDER BY media_type) FILTER (media_type <> 'text/html') AS downloads
+  FROM (SELECT release, ns, media_type, base_url || mount || CASE media_type WHEN 'text/html' THEN '' WHEN 'text/markdown' THEN 'index' || extension ELSE stem || extension END AS url FROM nsp, {REPS}) u GROUP BY ALL) f ON f.release = d.release AND f.ns = d.iri) x
+UNION ALL SELECT release, 'catalogue', base_url, part, {_CATALOGUE}
+FROM (SELECT release, base_url, part, string_agg({_DATASET}, ',' ORDER BY ns) AS datasets
+  FROM (SELECT *, CAST((row_number() OVER (PARTITION BY release ORDER BY ns) - 1) // 1000 AS INTEGER) AS part FROM man) m GROUP BY release, base_url, part) x""",
+)
 _LINKS_TO = f"(SELECT x.release, x.iri, x.target, CASE WHEN a.local IS NOT NULL THEN '[' || {_LABEL} || '](' || rtrim(a.base_url, '/') || a.request || ')' ELSE coalesce(t.prefix || ':' || t.local_name, x.target) END AS link FROM (SELECT DISTINCT release, iri, unnest(list_concat(super_terms, replaced_by)) AS target FROM terms WHERE NOT \"foreign\") x LEFT JOIN terms t ON t.release = x.release AND t.iri = x.target LEFT JOIN adr a ON a.release = x.release AND a.ns = t.namespace AND a.local = t.local_name AND a.segment = '' AND a.extension = '.html' AND NOT t.\"foreign\")"
 on_site("link_md", describe.markdown_links_of, f"SELECT * FROM {_LINKS_TO}")
 
