@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import iri as I
 from .describe import label, term_cards
 from .layout import NS, Layout
-from .model import KEY
+from .model import KEY, large
 from .spread import before
 
 #: Files, and then digests, that one digest of the next level covers.
@@ -28,12 +28,12 @@ def linked_cards(layout: Layout) -> DataFrame:
     paths = layout.term_paths.filter("media_type = 'text/markdown'").select(*NS, "local", "path", "url")
     terms = layout.terms.select(*NS, "local", "iri").join(paths, [*NS, "local"])
     labels = layout.m.local.select(*KEY, F.coalesce(label(), "local_name").alias("label"))
-    to = terms.join(labels, KEY).select("release", c("iri").alias("target"), "label", "url")
-    each = layout.m.local.select(*KEY, F.posexplode(F.concat("super_terms", "replaced_by")).alias("at", "target")).join(to, ["release", "target"], "left")
+    to = terms.join(large(labels), KEY).select("release", c("iri").alias("target"), "label", "url")
+    each = layout.m.local.select(*KEY, F.posexplode(F.concat("super_terms", "replaced_by")).alias("at", "target")).join(large(to), ["release", "target"], "left")
     line = F.concat(F.lit("- "), F.coalesce(F.concat(F.lit("["), "label", F.lit("]("), "url", F.lit(")")), c("target")))
     lines = each.groupBy(*KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
     bases = layout.namespaces.select(*NS, "base_url")
-    whole = terms.join(lines, KEY, "left").join(term_cards(layout), [*NS, "local"]).join(bases, NS)
+    whole = terms.join(lines, KEY, "left").join(large(term_cards(layout)), [*NS, "local"]).join(bases, NS)
     return whole.select(*NS, "local", "path", "base_url", F.concat("card", F.lit("\n\n"), F.coalesce("lines", F.lit("")), F.lit("\n")).alias("body"))
 
 

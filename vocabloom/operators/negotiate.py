@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import http
 from ..functions import iri as I
 from .layout import STATUS, Layout, public_path, term_path
-from .model import prefixes_of
+from .model import large, prefixes_of
 
 #: Media types of a term's representations with their suffixes; the first is the default and has none in its address.
 REPRESENTATIONS = {"text/html": ".html", "text/markdown": ".md", "text/turtle": ".ttl", "application/ld+json": ".jsonld"}
@@ -59,7 +59,7 @@ def resolve(requests: DataFrame, layout: Layout, key: str = "request_id") -> Dat
     A term is served in the default type, or redirected to the chosen one. What is no published term passes through: paths
     that go deeper, have the suffix of a representation or a name that isn't a term.
     """
-    found = match(requests, layout).join(layout.terms.select("release", "ns", "local", "style"), ["release", "ns", "local"]).join(layout.entries.select("release", "ns", "segment", "mount"), ["release", "ns", "segment"])
+    found = match(requests, layout).join(large(layout.terms.select("release", "ns", "local", "style")), ["release", "ns", "local"]).join(layout.entries.select("release", "ns", "segment", "mount"), ["release", "ns", "segment"])
     return outcomes(requests.join(found, ["release", "path"], "left"), key)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import probe
 from ..operators.layout import Layout
+from ..operators.model import large
 from ..operators.negotiate import outcomes, select_representation
 from ..sources.tables import shared_path
 
@@ -35,7 +36,7 @@ def resolved(requests: DataFrame, layout: Layout) -> DataFrame:
     """Outcomes of a stream of requests (request_id, release, path, accept, query): joined to the table of terms by path, without state."""
     terms = layout.terms.select("release", "ns", "local", "style").join(layout.entries.select("release", "ns", "mount"), ["release", "ns"])
     static = terms.select("release", F.concat("mount", "local").alias("at"), "mount", "local", "style")
-    rows = requests.withColumn("at", F.regexp_replace("path", "/+$", "")).join(static, ["release", "at"], "left")
+    rows = requests.withColumn("at", F.regexp_replace("path", "/+$", "")).join(large(static), ["release", "at"], "left")
     return outcomes(rows, "request_id")
 
 
