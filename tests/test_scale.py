@@ -1,9 +1,8 @@
 """What keeps steps that several queries share in proportion to their input."""
 
-import pytest
 from pyspark.sql import functions as F
 
-from vocabloom.plans import derived
+from vocabloom.plans import derived, publish
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,3 +16,13 @@ def test_statements_of_parts_are_made_by_many_tasks(spark):
     assert plan_of(made).count("RoundRobinPartitioning(2)") == 1
     parts = made.filter("file = 'part.ttl' and seq >= 10000 and release = 'new'").groupBy(F.spark_partition_id()).count()
     assert parts.count() == 2
+
+
+def test_answers_are_stored_once(spark, monkeypatch):
+    rows = [("new", f"https://host.example.net/a/{'x' * i}", "text/turtle", "sibling", "text/turtle", "https://host.example.net/a", False, "namespace", "x") for i in range(22)]
+    plan = spark.createDataFrame(rows, "release string, url string, accept string, expect string, media_type string, location string, required boolean, subject string, context string")
+    monkeypatch.setattr(publish, "asks", lambda spark, sf_dir: plan)
+    monkeypatch.setattr(publish, "kept", lambda spark, sf_dir, name, build, *tables: build())
+    got = publish.answers(spark, SF)
+    assert "Join" not in plan_of(got) and got.count() == 22
+    assert {r.status for r in got.collect()} == {0, 200, 303, 404}
