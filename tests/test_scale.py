@@ -2,7 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from test_growth import NS, tables
+from vocabloom.operators import jsonld
+from vocabloom.operators.model import Model
 from vocabloom.plans import derived, publish
+from vocabloom.sources.tables import written
+from vocabloom.vocabulary import OWL, RDFS, TYPE
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +31,20 @@ def test_answers_are_stored_once(spark, monkeypatch):
     got = publish.answers(spark, SF)
     assert "Join" not in plan_of(got) and got.count() == 22
     assert {r.status for r in got.collect()} == {0, 200, 303, 404}
+
+
+def test_nodes_leave_terms_of_other_names_alone(spark):
+    far = "https://elsewhere.example/"
+    extra = [(NS + "A", NS + "of", NS + "d/", "iri"), (NS + "A", far + "of", NS + "d/", "iri"), (far + "of", RDFS + "range", NS + "A", "iri"), (far + "x/rdf:type", TYPE, OWL + "Class", "iri"), (far + "rdfs:subClassOf", TYPE, OWL + "Class", "iri"), (NS + "of", TYPE, OWL + "ObjectProperty", "iri")]
+    made = []
+    m = Model(*tables(spark, extra), lambda df, name: made.append(name) or written(df, name))
+    row = jsonld.roundtrip(m).filter("release = 'r'").first()
+    assert row.written > 5
+    assert not [x for x in made if x in ("far_terms", "far_placed", "far_subjects")]
+    words = jsonld.statements(m).select("release", F.col("p").alias("word")).distinct()
+    words = words.unionByName(jsonld.nodes(m).select("release", F.explode(F.json_object_keys("json")).alias("word"))).distinct()
+    ours = jsonld.entries_of(m, words)
+    known = {r.word for r in words.collect()}
+    asked = lambda rows: sorted((tuple(r) for r in rows.collect() if r.iri in known or r.key in known), key=str)
+    assert asked(ours) == asked(jsonld.context(m)) and len(asked(ours)) == 2
+    assert ours.count() < m.terms.count()
