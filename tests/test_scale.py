@@ -1,5 +1,7 @@
 """What keeps steps that several queries share in proportion to their input."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from test_growth import NS, tables
@@ -7,6 +9,7 @@ from vocabloom.operators import jsonld
 from vocabloom.operators.model import Model
 from vocabloom.plans import derived, publish
 from vocabloom.sources.tables import written
+from vocabloom.streaming import requests as streams
 from vocabloom.vocabulary import OWL, RDFS, TYPE
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +51,13 @@ def test_nodes_leave_terms_of_other_names_alone(spark):
     asked = lambda rows: sorted((tuple(r) for r in rows.collect() if r.iri in known or r.key in known), key=str)
     assert asked(ours) == asked(jsonld.context(m)) and len(asked(ours)) == 2
     assert ours.count() < m.terms.count()
+
+
+def test_windows_hold_a_digest_of_each_answer(spark):
+    row = {"release": "r", "url": "u", "accept": "a", "expect": "page", "media_type": "t", "location": None, "required": False, "subject": "s", "context": "x", "status": 0, "content_type": "", "vary": "", "link": "", "redirect": "", "ts": 1_700_000_000}
+    names = ", ".join(f"{n} {'boolean' if n == 'required' else 'long' if n in ('status', 'ts') else 'string'}" for n in row)
+    rows = spark.createDataFrame([tuple((row | more).values()) for more in ({}, {}, {"location": ""}, {"location": "x"}, {"link": "x"})], names)
+    made = streams.findings_by_window(rows.withColumn("ts", F.timestamp_seconds("ts")))
+    assert [(r.rule, r.n) for r in made.collect()] == [("probe.unreachable", 4)]
+    keys = re.findall(r"Aggregate\(keys?=\[([^\]]*)\]", plan_of(made))
+    assert any("_whole#" in k for k in keys) and not any("link#" in k for k in keys), keys
