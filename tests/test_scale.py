@@ -4,7 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from test_growth import NS, tables
+from test_growth import NS, ODD, tables
+from vocabloom.functions import iri
 from vocabloom.operators import jsonld
 from vocabloom.operators.model import Model
 from vocabloom.plans import derived, publish
@@ -61,3 +62,47 @@ def test_windows_hold_a_digest_of_each_answer(spark):
     assert [(r.rule, r.n) for r in made.collect()] == [("probe.unreachable", 4)]
     keys = re.findall(r"Aggregate\(keys?=\[([^\]]*)\]", plan_of(made))
     assert any("_whole#" in k for k in keys) and not any("link#" in k for k in keys), keys
+
+
+def test_statements_of_local_terms_and_documents_come_from_one_pass(spark):
+    made = []
+    m = Model(*tables(spark), lambda df, name: made.append((name, plan_of(df))) or written(df, name))
+    assert m.local.count() == 5 and m.documents.count() == 1
+    passes = [name for name, plan in made if "/quads" in plan and re.search(r"ReadSchema: struct<[^>]*\bseq:", plan)]
+    assert passes == ["picked"], passes
+
+
+def test_facts_and_texts_of_terms_are_not_broadcast(spark):
+    m = Model(*tables(spark, [(NS + "A", RDFS + "label", "a", "literal")]), written)
+    made = []
+    m.keep = lambda df, name: made.append((name, plan_of(df))) or written(df, name)
+    assert [v.value for r in m.local.filter("iri = 'https://example.org/v/A'").collect() for v in r.labels] == ["a"]
+    joins = [line for line in dict(made)["near_terms"].splitlines() if "Join" in line and re.search(r"\[release#\d+L?, (iri|s)#", line)]
+    assert len(joins) == 3 and all("SortMergeJoin" in line for line in joins), joins
+
+
+def test_order_lines_are_plain_projections(spark):
+    lines = derived.quads(spark, SF).filter("file = 'lineitem.nt'")
+    assert not [line for line in plan_of(lines).splitlines() if "Generate" in line and "l_" in line]
+    assert lines.count() == 4 * spark.read.parquet(f"{SF}/lineitem.parquet").count()
+
+
+def test_folders_are_those_of_the_pattern(spark):
+    iris = ["", "a", "a/", "a//", "/", "//", "#", "/a", "a/b", "a/b/", "a/b#", "a#b/c", "a/b#c", "é/ü", "é/ü/", "x/𝒳", "x/𝒳/", "/#", "#/", None, "urn:x"]
+    rows = spark.createDataFrame([(x,) for x in iris], "x string")
+    pattern, own = F.nullif(F.regexp_extract("x", r"(?s)^(.*[#/]).", 1), F.lit("")), F.nullif(F.regexp_extract("x", r"(?s)^(.*[#/])[^#/]+$", 1), F.lit(""))
+    assert not rows.filter(~pattern.eqNullSafe(iri.folder_of(F.col("x"))) | ~own.eqNullSafe(iri.namespace_part(F.col("x")))).collect()
+    assert "regexp" not in plan_of(rows.select(iri.folder_of(F.col("x"))))
+
+
+def test_documents_that_define_terms_are_found_from_few_foreign_ones(spark):
+    far = "https://elsewhere.example/"
+    doc = lambda x: (x, TYPE, OWL + "Ontology", "iri")
+    for extra in ([], [doc(far), doc(far + "in/"), (far + "in/x", NS + "of", "1", "iri"), (far + "in/y", RDFS + "isDefinedBy", NS, "iri")], [doc(ODD), doc("https://example.org/items/")], [doc("https://example.org/items/x-3"), (far + "a", RDFS + "isDefinedBy", "https://example.org/items/x-3", "iri")]):
+        sizes = {}
+        m = Model(*tables(spark, extra), lambda df, name: sizes.setdefault(name, written(df, name)))
+        m.prefixes = m.prefixes.limit(1)
+        ours = {r.iri for r in m.defining.collect()}
+        if not extra:
+            assert sizes["some_statements"].count() == 1
+        assert ours == {r.defined_in for r in m.placed.collect()} - {None}
