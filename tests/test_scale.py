@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from test_growth import NS, ODD, tables
 from vocabloom.functions import iri
-from vocabloom.operators import jsonld
+from vocabloom.operators import describe, jsonld
 from vocabloom.operators.model import Model
 from vocabloom.plans import derived, publish
 from vocabloom.sources.tables import written
@@ -106,3 +106,17 @@ def test_documents_that_define_terms_are_found_from_few_foreign_ones(spark):
         if not extra:
             assert sizes["some_statements"].count() == 1
         assert ours == {r.defined_in for r in m.placed.collect()} - {None}
+
+
+def test_references_make_only_the_foreign_terms_that_are_asked_for(spark):
+    far = "https://elsewhere.example/"
+    extra = [(NS + "A", RDFS + "subClassOf", far + "x", "iri"), (NS + "A", RDFS + "subClassOf", "urn:y", "iri"), (NS + "A", RDFS + "subClassOf", far + "none", "iri"), *((s, RDFS + "label", s[-1] * 3, "literal") for s in (far + "x", far + "z", "urn:y", "urn:w"))]
+    made = {}
+    m = Model(*tables(spark, extra), lambda df, name: made.setdefault(name, written(df, name)))
+    asked = m.local.select("release", F.explode("super_terms").alias("iri"))
+    ours = describe.references(m, asked)
+    rows = {r.iri: (r.label, r.curie, r.foreign, r.kind) for r in ours.collect()}
+    assert not [x for x in made if x.startswith("far")] and {r.s for r in made["asked_statements"].collect()} == {far + "x", "urn:y"}
+    assert m.terms.count() > 0  # all are there now
+    assert rows == {r.iri: (r.label, r.curie, r.foreign, r.kind) for r in describe.references(m, asked).collect()}
+    assert rows[far + "x"][0] == "xxx" and rows[far + "none"] == ("none", None, True, "external")
