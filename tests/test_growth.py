@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vocabloom.functions import iri
-from vocabloom.operators import describe, shapes
+from vocabloom.operators import compare, describe, negotiate, shapes
 from vocabloom.operators.layout import Layout
 from vocabloom.operators.model import Model
 from vocabloom.plans import exports
@@ -82,3 +82,34 @@ def test_link_references_are_those_between_the_paths(spark):
     for r in index.collect():
         assert ours[r.segment, r.local, r.media_type].endswith(f'<{r.to}>; rel="describedby"; type="text/plain"')
     assert "filter(array(" not in plan  # a walk of paths for each row and type
+
+
+SITE_QUERIES = {
+    "breaking_gate": lambda m, s: compare.changes(m, "r", "r"),
+    "answer_log": lambda m, s: negotiate.answers(m.spark.sql("SELECT 1L AS request_id, 'r' AS release, '/v/A' AS path, '' AS accept, '' AS query"), s, s.term_paths.select("release", "path")),
+    "llms_index": lambda m, s: describe.llms_lines(s, 100),
+    "namespaces_used_by": lambda m, s: describe.prefixes_needed(m),
+    "schema_org_rows": lambda m, s: describe.schema_org(s),
+}
+
+
+@pytest.mark.parametrize("query", SITE_QUERIES)
+def test_statements_of_other_subjects_are_not_stored(spark, query):
+    sizes = {}
+
+    def keep(df, name):
+        out = written(df, name)
+        sizes[name] = out.count()
+        return out
+
+    m = Model(*tables(spark), keep)
+    SITE_QUERIES[query](m, site(spark, m)).collect()
+    assert "picked" in sizes and "quads" not in sizes
+    assert max(sizes.values()) < 40, sizes
+
+
+def test_blank_and_foreign_shapes_keep_their_statements(spark):
+    shape = "https://elsewhere.example/s/Shape"
+    m = Model(*tables(spark, [(shape, SH + "property", "p", "bnode"), (shape, RDFS + "label", "none", "literal")]), written)
+    assert {(r.shape, r.path) for r in shapes.constraints(m).collect()} == {(NS + "shape", NS + "A"), (shape, NS + "A")}
+    assert m.shape_statements.filter(F.col("s") == shape).count() == 1 and m.near_statements.filter(F.col("s") == shape).count() == 0
