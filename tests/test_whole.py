@@ -1,9 +1,10 @@
 """What queries return of the whole of their input, and make of no more than it takes."""
 
 from test_growth import NS, site, tables
-from vocabloom.operators import describe
+from vocabloom.operators import describe, shapes
 from vocabloom.operators.model import Model
 from vocabloom.sources.tables import written
+from vocabloom.vocabulary import RDFS, SH
 
 
 def test_all_terms_of_a_large_namespace_are_listed(spark):
@@ -13,3 +14,25 @@ def test_all_terms_of_a_large_namespace_are_listed(spark):
     assert names == [((1, 1), "A"), ((1, 2), "b/C"), ((1, 3), "index"), ((10, 1), "shape"), ((13, 1), "d/")]
     assert rows[0, 3] == "Terms: 5" and rows[0, 4].startswith("See https://example.org/v/") and len(rows) == 9
     assert describe.llms_lines(s, 5).count() == 8
+
+
+def test_fields_of_a_shape_take_labels_of_their_paths_alone(spark):
+    far = "https://elsewhere.example/"
+    paths = {"q": far + "x", "u": "urn:y", "w": far + "none", "z": "https://nowhere.example/n"}
+    extra = [(NS + "shape", SH + "property", node, "bnode") for node in paths] + [(s, RDFS + "label", s[-1] * 3, "literal") for s in (NS + "A", far + "x", far + "z", "urn:y", "urn:w")]
+    quads, prefixes = tables(spark, extra)
+    quads = quads.unionByName(spark.createDataFrame([("r", "v.ttl", 2000 + i, n, "bnode", SH + "path", p, "iri", None, None) for i, (n, p) in enumerate(paths.items())], quads.schema))
+    made = {}
+
+    def keep(df, name):
+        made[name] = written(df, name)
+        return made[name]
+
+    m = Model(quads, prefixes, keep)
+    named = lambda: {r.path: r.name for r in shapes.record_template(m).collect()}
+    ours = named()
+    assert ours == {"v:A": "AAA", far + "x": "xxx", "urn:y": "yyy", far + "none": "none", "https://nowhere.example/n": "n"}
+    assert "quads" not in made and {r.s for r in made["near_of"].collect()} == {NS + "A"} and {r.s for r in made["far_of"].collect()} == {far + "x", "urn:y"}
+    asked = spark.createDataFrame([("r", x) for x in (NS + "A", NS + "A", far + "x", far + "none", NS)], "release string, iri string")
+    rows = sorted(map(str, m.terms_of(asked).collect()))
+    assert m.terms.count() == 49 and rows == sorted(map(str, m.terms_of(asked).collect())) and len(rows) == 2 and ours == named()
